@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, packing, sharding, simhash, tiff, token_counts
+from . import common, decontaminate, line_dedup, packing, sharding, simhash, tiff, token_counts, toxicity
 
 
 def op1_min_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op1_min_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op2_pigeonhole_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op3_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir).select("doc_id", "text")
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
@@ -59,13 +63,28 @@ def op6_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(common.documents(spark, sf_dir), words=4, budget=4)
 
 
+def op7_line_deletion_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.documents(spark, sf_dir)
+    return line_dedup.dedup_lines(docs.select("doc_id", "text", F.size(F.split("text", "\n")).alias("n_lines")))
+
+
+def op8_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.documents(spark, sf_dir)
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(docs, model).select(
+        "doc_id", toxicity.is_held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_min_bin_slack_packing": op1_min_bin_slack_packing,
+        "op2_pigeonhole_decontamination": op2_pigeonhole_decontamination,
         "op3_two_pass_shuffle": op3_two_pass_shuffle,
         "op4_separator_scan": op4_separator_scan,
         "op5_tiff_pages": op5_tiff_pages,
         "op6_simhash_trie": op6_simhash_trie,
+        "op7_line_deletion_join": op7_line_deletion_join,
+        "op8_compression_toxicity": op8_compression_toxicity,
     }
 
 

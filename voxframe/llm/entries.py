@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontaminate, line_dedup, packing, sharding, simhash, suffix_dedup, tiff, token_counts, toxicity
+from . import common, decontaminate, line_dedup, packing, sharding, simhash, suffix_dedup, tiff, token_counts, toxicity, wrapper
 
 
 def op1_min_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,6 +75,11 @@ def op8_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", toxicity.is_held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op9_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper.extract(spark.read.parquet(f"{sf_dir}/pages.parquet")).select(
+        "page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op10_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
     return suffix_dedup.remove_repeats(common.documents(spark, sf_dir)).select(
@@ -91,6 +96,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_simhash_trie": op6_simhash_trie,
         "op7_line_deletion_join": op7_line_deletion_join,
         "op8_compression_toxicity": op8_compression_toxicity,
+        "op9_wrapper_induction": op9_wrapper_induction,
         "op10_run_length_index": op10_run_length_index,
     }
 

@@ -26,10 +26,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet under the scratch root and read it back.
 
     Cuts lineage with a durable copy that all executors can read: a lost executor costs
-    only its own tasks, and a table used twice is computed once. The shuffles behind the
-    table are garbage from then on; the cleaner deletes their files once it is collected.
+    only its own tasks, and a table used twice is computed once. Shuffles behind tables
+    stored before are garbage by now: collecting it lets Spark's cleaner delete their files
+    before this step writes its own.
     """
     spark = df.sparkSession
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     path = f"{scratch_root(spark)}/voxframe/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -1,41 +1,12 @@
-"""Shared helpers of the corpus operators: scratch tables and null-safe keys."""
+"""Shared helpers of the corpus operators."""
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL: dict[str, str] = {}
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """Folder for intermediate tables: the one the cluster names in
-    ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL:
-        _LOCAL[app] = tempfile.mkdtemp(prefix="voxframe-")
-    return _LOCAL[app]
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet under the scratch root and read it back.
+from ..sources.scratch import materialize, scratch_root
 
-    Cuts lineage with a durable copy all executors can read, so that a lost
-    executor costs only its own tasks, and a table used twice is computed once.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/voxframe/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    # the stored table replaces the shuffles behind it; once collected, the cleaner deletes their files
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["documents", "materialize", "scratch_root"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,8 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import connected_components
 from .common import materialize
-from .components import connected_components
 
 BITS = 64
 #: Fingerprints that share a key by chance, about; sets how many blocks are used.

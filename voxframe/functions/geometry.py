@@ -217,14 +217,18 @@ def rotation_about(axis: Vector, angle: Column) -> list[list[Column]]:
 
 
 def rotation_to_x(direction: Vector, roll: Column) -> list[list[Column]]:
-    """Rotation that takes ``direction`` to the x axis and then rolls about it."""
-    d = unit(direction, (1.0, 0.0, 0.0))
-    axis = (lit(0), d[2], -d[1])  # d cross x
-    sine = norm(axis)
-    flip = F.when(d[0] < 0, F.pi()).otherwise(lit(0))
-    unit_axis = (lit(0), F.when(sine > 1e-9, F.try_divide(axis[1], sine)).otherwise(lit(0)), F.when(sine > 1e-9, F.try_divide(axis[2], sine)).otherwise(lit(1)))
-    turn = rotation_about(unit_axis, F.when(sine > 1e-9, F.atan2(sine, d[0])).otherwise(flip))
-    return multiply(rotation_about((lit(1), lit(0), lit(0)), roll), turn)
+    """Rotation that takes ``direction`` to the x axis and then rolls about it.
+
+    The first row is the direction itself; the others follow from the shortest turn, which is
+    about z where the direction points along -x.
+    """
+    x, y, z = unit(direction, (1.0, 0.0, 0.0))
+    back = x < -0.999999
+    q = F.when(back, lit(0)).otherwise(F.try_divide(lit(1), x + 1))
+    second = (-y, F.when(back, lit(-1)).otherwise(lit(1) - y * y * q), -(y * z * q))
+    third = (-z, -(y * z * q), lit(1) - z * z * q)
+    c, s = F.cos(roll), F.sin(roll)
+    return [[x, y, z], [c * u - s * v for u, v in zip(second, third)], [s * u + c * v for u, v in zip(second, third)]]
 
 
 def multiply(a: list[list[Column]], b: list[list[Column]]) -> list[list[Column]]:

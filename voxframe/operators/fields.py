@@ -190,9 +190,6 @@ def taubin_bricks(field: DataFrame, rounds: int, lam: float = 0.5, mu: float = -
 
     Group size is bounded by (16 + 2 halo)^3 rows whatever the grid. Voxels must fill the sample's box.
     """
-    import numpy as np
-    import pandas as pd
-
     from ..sources.scratch import materialize
 
     passes = [f for _ in range(rounds) for f in (lam, mu)]
@@ -208,27 +205,36 @@ def taubin_bricks(field: DataFrame, rounds: int, lam: float = 0.5, mu: float = -
             around = F.array_distinct(F.array(*(F.floor((F.col(c) + d) / BRICK).cast("int") for d in (-reach, 0, reach))))
             spread = spread.withColumn(f"b{c}", F.explode(around)).withColumn(f"_own{c}", F.col(f"b{c}") == inside)
 
-        def smooth(pdf: pd.DataFrame, part=part, reach=reach) -> pd.DataFrame:
-            lo = pdf[CELL].min().to_numpy()
-            shape = pdf[CELL].max().to_numpy() - lo + 1
-            at = tuple((pdf[c] - lo[n]).to_numpy() for n, c in enumerate(CELL))
-            v = np.full(shape, np.nan)
-            v[at] = pdf["value"]
-            top = pdf[["_ni", "_nj", "_nk"]].iloc[0].to_numpy()
-            fixed = np.zeros(shape, bool)
-            for n in range(3):
-                index = np.arange(shape[n]) + lo[n]
-                rim = (index == 0) | (index == top[n])
-                fixed |= np.expand_dims(rim, tuple(m for m in range(3) if m != n))
-            for factor in part:
-                padded = np.pad(v, 1, constant_values=np.nan)
-                mean = sum(w[n] * (np.take(padded, range(0, shape[n]), n) + np.take(padded, range(2, shape[n] + 2), n))[
-                    tuple(slice(None) if m == n else slice(1, -1) for m in range(3))] for n in range(3)) / (2 * sum(w))
-                v = np.where(fixed, v, v + (mean - v) * factor)
-            own = pdf["_owni"] & pdf["_ownj"] & pdf["_ownk"]
-            out = pdf.loc[own, ["sample_id", *CELL]].copy()
-            out["value"] = v[tuple(a[own.to_numpy()] for a in at)]
-            return out
-
-        field = materialize(spread.groupBy("sample_id", "bi", "bj", "bk").applyInPandas(smooth, "sample_id long, i int, j int, k int, value double"), "bricks")
+        field = materialize(spread.groupBy("sample_id", "bi", "bj", "bk").applyInPandas(
+            _brick_passes(part, w), "sample_id long, i int, j int, k int, value double"), "bricks")
     return field
+
+
+def _brick_passes(factors: list[float], w: list[float]):
+    """Function that runs the passes on one brick with its halo and returns the brick's own voxels."""
+    import numpy as np
+    import pandas as pd
+
+    def smooth(pdf: pd.DataFrame) -> pd.DataFrame:
+        lo = pdf[CELL].min().to_numpy()
+        shape = pdf[CELL].max().to_numpy() - lo + 1
+        at = tuple((pdf[c] - lo[n]).to_numpy() for n, c in enumerate(CELL))
+        v = np.full(shape, np.nan)
+        v[at] = pdf["value"]
+        top = pdf[["_ni", "_nj", "_nk"]].iloc[0].to_numpy()
+        fixed = np.zeros(shape, bool)
+        for n in range(3):
+            index = np.arange(shape[n]) + lo[n]
+            rim = (index == 0) | (index == top[n])
+            fixed |= np.expand_dims(rim, tuple(m for m in range(3) if m != n))
+        for factor in factors:
+            padded = np.pad(v, 1, constant_values=np.nan)
+            mean = sum(w[n] * (np.take(padded, range(0, shape[n]), n) + np.take(padded, range(2, shape[n] + 2), n))[
+                tuple(slice(None) if m == n else slice(1, -1) for m in range(3))] for n in range(3)) / (2 * sum(w))
+            v = np.where(fixed, v, v + (mean - v) * factor)
+        own = pdf["_owni"] & pdf["_ownj"] & pdf["_ownk"]
+        out = pdf.loc[own, ["sample_id", *CELL]].copy()
+        out["value"] = v[tuple(a[own.to_numpy()] for a in at)]
+        return out
+
+    return smooth

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..sources.scratch import materialize
 
-CELL = ["cx", "cy", "cz"]
+CELL = ["_cell_x", "_cell_y", "_cell_z"]
 
 
 def resolve_seed(seed: int) -> int:

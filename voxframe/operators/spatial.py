@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..sources.scratch import materialize
 
-CELL = ["cx", "cy", "cz"]
+#: Cell columns; named apart from the corners of triangles.
+CELL = ["_cell_x", "_cell_y", "_cell_z"]
 
 
 def cell_of(size: Column | float, names: str = "xyz") -> list[Column]:
@@ -188,12 +189,12 @@ def inside_mesh(points: DataFrame, triangles: DataFrame, point_id: list[str], ce
         others = [a for a in range(3) if a != axis]
         flat = lambda prefix: [F.col(prefix + "xyz"[o]) - F.col(prefix + "xyz"[axis]) * (ray[o] / ray[axis]) for o in others]
         tri = triangles
-        for n, c in enumerate(("cx", "cy")):
+        for n, c in enumerate(CELL[:2]):
             shades = [flat(v)[n] for v in "abc"]
             tri = tri.withColumn(c, F.explode(F.sequence(F.floor(F.least(*shades) / cell).cast("int"), F.floor(F.greatest(*shades) / cell).cast("int"))))
-        here = points.select(by, *point_id, "x", "y", "z", *(F.floor(e / cell).cast("int").alias(c) for e, c in zip(flat(""), ("cx", "cy"))))
+        here = points.select(by, *point_id, "x", "y", "z", *(F.floor(e / cell).cast("int").alias(c) for e, c in zip(flat(""), CELL)))
         hit = g.ray_meets_triangle(g.vec(), tuple(g.lit(r) for r in ray), *corners())
-        votes.append(here.join(tri, [by, "cx", "cy"]).filter(hit.isNotNull()).groupBy(by, *point_id).agg((F.count("*") % 2).alias("odd")))
+        votes.append(here.join(tri, [by, *CELL[:2]]).filter(hit.isNotNull()).groupBy(by, *point_id).agg((F.count("*") % 2).alias("odd")))
     return reduce(DataFrame.unionByName, votes).groupBy(by, *point_id).agg(F.sum("odd").alias("votes")).filter("votes >= 2").drop("votes")
 
 

@@ -109,7 +109,7 @@ def iso_surface(field: DataFrame, iso: float) -> tuple[DataFrame, DataFrame]:
     Every cell is cut into the same six tetrahedra, so neighbours agree on their common faces and
     the mesh is closed wherever the surface does not leave the grid. A vertex belongs to a pair of
     grid points, which is its key: no coordinates are matched. Only crossing cells are read further;
-    the case table is a literal of the plan.
+    the case table is a broadcast of about a hundred fixed rows.
     """
     codes = cell_codes(field, iso).select("sample_id", *CELL)
     span = 1 << 20
@@ -119,21 +119,24 @@ def iso_surface(field: DataFrame, iso: float) -> tuple[DataFrame, DataFrame]:
     cube = [(x, y, z) for z in (0, 1) for y in (0, 1) for x in (0, 1)]
     wanted = codes.select("sample_id", *CELL, F.posexplode(F.array(*(node(d) for d in cube))).alias("c", "node"))
     corner = wanted.join(points.select("sample_id", "node", "v"), ["sample_id", "node"]).groupBy("sample_id", *CELL).agg(
-        F.sum(F.when(F.col("v") < iso, F.shiftleft(F.lit(1), F.col("c"))).otherwise(0)).alias("code"))
-    triangles = []
-    for tet in _tetrahedra():
-        bits = [cube.index(d) for d in tet]
-        code = reduce(lambda a, b: a + b, (F.shiftleft(F.shiftright(F.col("code"), b).bitwiseAND(1), n) for n, b in enumerate(bits)))
-        pick = None
+        F.sum(F.when(F.col("v") < iso, F.expr("shiftleft(1, c)")).otherwise(0)).alias("code"))
+    # case table: for each tetrahedron and case, its triangles as offsets of node pairs from the cell's own node
+    shift = lambda d: (d[0] * span + d[1]) * span + d[2]
+    table = []
+    for n, tet in enumerate(_tetrahedra()):
         for case, tris in enumerate(_cases()):
-            if not tris:
-                continue
-            made = F.array(*(F.struct(*(F.struct(F.least(node(tet[p]), node(tet[q])).alias("lo"), F.greatest(node(tet[p]), node(tet[q])).alias("hi")).alias(f"e{n}")
-                                        for n, (p, q) in enumerate(t)), node(tet[t[0][0]]).alias("inner")) for t in tris))
-            pick = F.when(code == case, made) if pick is None else pick.when(code == case, made)
-        triangles.append(pick)
-    rows = corner.select("sample_id", *CELL, F.posexplode(F.flatten(F.filter(F.array(*triangles), lambda x: x.isNotNull()))).alias("t", "tri")).select(
-        "sample_id", F.struct(*CELL, "t").alias("key"), "tri.*")
+            for t, tri in enumerate(tris):
+                pairs = [sorted((shift(tet[p]), shift(tet[q]))) for p, q in tri]
+                table.append((n, case, t, *(o for pair in pairs for o in pair), shift(tet[tri[0][0]])))
+    columns = [f"e{n}{end}" for n in range(3) for end in ("lo", "hi")]
+    cases = field.sparkSession.createDataFrame(table, "tet int, case int, t int, " + ", ".join(f"{c} long" for c in columns) + ", inner long")
+    bits = [[cube.index(d) for d in tet] for tet in _tetrahedra()]
+    code = lambda b: reduce(lambda x, y: x + y, (F.shiftleft(F.shiftright("code", c).bitwiseAND(1), n) for n, c in enumerate(b)))
+    split = corner.select("sample_id", *CELL, F.posexplode(F.array(*(code(b) for b in bits))).alias("tet", "case"))
+    base = node((0, 0, 0))
+    rows = split.join(F.broadcast(cases), ["tet", "case"]).select(
+        "sample_id", F.struct(*CELL, "tet", "t").alias("key"), (base + F.col("inner")).alias("inner"),
+        *(F.struct((base + F.col(f"e{n}lo")).alias("lo"), (base + F.col(f"e{n}hi")).alias("hi")).alias(f"e{n}") for n in range(3)))
     faces = materialize(rows, "faces")
     edges = reduce(DataFrame.union, (faces.select("sample_id", F.col(f"e{n}.lo").alias("lo"), F.col(f"e{n}.hi").alias("hi")) for n in range(3))).distinct()
     ends = edges

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,13 +27,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet under the scratch root and read it back.
 
     Cuts lineage with a durable copy that all executors can read: a lost executor costs
-    only its own tasks, and a table used twice is computed once. Shuffles behind tables
-    stored before are garbage by now: collecting it lets Spark's cleaner delete their files
-    before this step writes its own.
+    only its own tasks, and a table used twice is computed once.
     """
     spark = df.sparkSession
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
     path = f"{scratch_root(spark)}/voxframe/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files behind tables that are stored by now.
+
+    The cleaner acts when the plans of finished steps are collected on the driver, which it otherwise
+    waits half an hour for. Python drops its handles on them within a second; then the JVM may collect.
+    """
+    gc.collect()
+    time.sleep(1.5)
+    spark.sparkContext._jvm.System.gc()

@@ -6,8 +6,8 @@ often). Every whole text is cut into windows; each window is compressed under bo
 and the difference of the two lengths says to which kind of text it is closer. The
 differences of a document give a few figures, which a logistic model calibrates.
 
-Labels are learnt from a bounded sample: at most MAX_DOCS documents per class, by
-hash of the id, of at most MAX_CHARS characters each; part of it trains the
+Labels are learnt from a bounded sample: at most MAX_DOCS documents per class (in
+expectation; picked by a hash of the id), of at most MAX_CHARS characters each; part of it trains the
 dictionaries, the rest the calibration, weighted to the true class sizes. Scoring
 takes the text alone, in whole. Null and empty texts are scored as one empty
 window. Without labels of both classes the score is the share of toxic labels (0
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -124,8 +125,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> Model:
     marked = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id"))).select("doc_id", "toxic").dropDuplicates(["doc_id"])
     sizes = {r["toxic"]: r["n"] for r in marked.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     prior = sizes.get(1, 0) / max(1, sum(sizes.values()))
-    known = docs.select("doc_id", "text").filter(F.length("text") <= MAX_CHARS).join(marked, "doc_id")
-    rows = [r for y in (0, 1) for r in known.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "text").limit(max_docs).collect()]
+    share = {y: min(1.0, max_docs / max(1, n)) for y, n in sizes.items()}
+    ticket = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    picked = marked.filter(ticket < F.when(F.col("toxic") == 1, share.get(1, 0.0)).otherwise(share.get(0, 0.0)))
+    # the picked labels are about 2 x max_docs rows whatever the corpus, so the texts stay where they are
+    known = docs.select("doc_id", "text").filter(F.length("text") <= MAX_CHARS).join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])
+    rows = sorted(known.collect(), key=lambda r: (r["toxic"], zlib.crc32(str(r["doc_id"]).encode())))
     first = [r for k, r in enumerate(rows) if k % 5 < 3]
     rest = [r for k, r in enumerate(rows) if k % 5 >= 3]
     if any({r["toxic"] for r in part} != {0, 1} for part in (first, rest)):

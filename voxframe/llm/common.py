@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.scratch import materialize, scratch_root
+from ..sources.scratch import materialize, release_shuffles, scratch_root
 
-__all__ = ["documents", "materialize", "scratch_root"]
+__all__ = ["documents", "materialize", "release_shuffles", "scratch_root"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,8 @@ that they agree in 0.8 of it or more. A line goes when an equal or a near line
 occurs earlier (by document id, then line number); this is judged on the input,
 not on what is left. Blank lines stay, and lines keep their order.
 
+Words are what single spaces separate; a line of white space is blank.
+
 1. Equal lines become one class with its first position.
 2. A pair within one edit shares its first or last half. Only classes that share
    a half with another class are read again; this loses none.
@@ -21,16 +23,22 @@ null ids count as one document, after all others. Extra columns are kept.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, release_shuffles
 
 LEAST_WORDS = 5
+#: Pairs up to which both ends are sent to all tasks (two longs a pair).
+SENT_HITS = 1_000_000
 
 
 def words_of(line: Column) -> Column:
-    return F.filter(F.split(line, "[ \\t\\r\\f]+"), lambda x: x != "")
+    return F.array_remove(F.split(line, " "), "")
+
+
+def is_blank(line: Column) -> Column:
+    return F.btrim(line, F.lit(" \t\r\f")) == ""
 
 
 def _half_keys(words: Column, n: Column) -> list[Column]:
@@ -47,35 +55,49 @@ def _half_keys(words: Column, n: Column) -> list[Column]:
 
 def line_classes(docs: DataFrame) -> DataFrame:
     """One row per distinct line that is not blank: its 128-bit key, word count, half keys, first position."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn("w", words_of(F.col("line")))
-    n = F.size("w")
-    keyed = lines.filter(n > 0).select(
-        F.col("doc_id").isNull().alias("no_id"), "doc_id", "line_no", F.xxhash64("w").alias("k1"), F.xxhash64(F.lit(1), "w").alias("k2"),
-        n.alias("n"), *(k.alias(f"h{i}") for i, k in enumerate(_half_keys(F.col("w"), n))))
-    return keyed.groupBy("k1", "k2", "n", "h0", "h1", "h2", "h3").agg(
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).filter(~is_blank(F.col("line")))
+    keyed = lines.select(
+        F.col("doc_id").isNull().alias("no_id"), "doc_id", "line_no", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), "line").alias("k2"),
+        words_of(F.col("line")).alias("w")).withColumn("n", F.size("w"))
+    return keyed.select("no_id", "doc_id", "line_no", "k1", "k2", "n", *(
+        k.alias(f"h{i}") for i, k in enumerate(_half_keys(F.col("w"), F.col("n"))))).groupBy("k1", "k2", "n", "h0", "h1", "h2", "h3").agg(
         F.min(F.struct("no_id", "doc_id", "line_no")).alias("first")).select("k1", "k2", "n", "h0", "h1", "h2", "h3", "first.*")
 
 
+#: What a candidate has to emit: variants with a word of its first half (head) or last half (tail)
+#: deleted, to meet lines as long (same) or shorter by one (less); or itself, to meet longer ones.
+ROLES = ("same_tail", "same_head", "less_tail", "less_head", "whole")
+
+
 def _candidates(classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Classes that share a half with another class, with their words and ``ord``, a number in order of first position."""
-    halves = classes.select("k1", "k2", F.explode(F.array("h0", "h1", "h2", "h3")).alias("half")).filter("half is not null")
-    shared = halves.groupBy("half").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).filter("lo <> hi").select("half")
-    wanted = halves.join(shared, "half", "left_semi").select("k1", "k2").distinct()
-    places = classes.join(wanted, ["k1", "k2"], "left_semi").select("doc_id", F.struct("line_no", "k1", "k2", "n").alias("place"))
-    by_doc = places.groupBy("doc_id").agg(F.collect_list("place").alias("places"))
-    texts = docs.select("doc_id", F.split("text", "\n").alias("lines")).join(
-        by_doc.withColumnRenamed("doc_id", "id"), F.col("doc_id").eqNullSafe(F.col("id")))
-    words = texts.select("doc_id", "lines", F.explode("places").alias("p")).select(
-        "doc_id", "p.*", words_of(F.get("lines", F.col("p.line_no"))).alias("w")).filter(
-        (F.xxhash64("w") == F.col("k1")) & (F.xxhash64(F.lit(1), "w") == F.col("k2"))).dropDuplicates(["k1", "k2"])
-    ordered = words.repartitionByRange(F.col("doc_id").asc_nulls_last(), F.col("line_no")).sortWithinPartitions(
-        F.col("doc_id").asc_nulls_last(), F.col("line_no"))
-    return ordered.select("k1", "k2", "n", "w", F.monotonically_increasing_id().alias("ord"))
+    """Classes that share a half with another class, with their words, their roles and ``ord``, a number in order of first position."""
+    halves = classes.select("k1", "k2", F.posexplode(F.array("h0", "h1", "h2", "h3")).alias("which", "half")).filter("half is not null")
+    shared = halves.groupBy("half").agg(
+        F.min(F.expr("case when which < 2 then k1 end")).alias("lo"), F.max(F.expr("case when which < 2 then k1 end")).alias("hi"),
+        F.max(F.expr("which >= 2")).alias("shorter")).filter("lo <> hi or (lo is not null and shorter)")
+    role = {"same_tail": "which = 0 and lo <> hi", "same_head": "which = 1 and lo <> hi",
+            "less_tail": "which = 0 and shorter", "less_head": "which = 1 and shorter", "whole": "which >= 2"}
+    wanted = halves.join(shared, "half").groupBy("k1", "k2").agg(*(F.max(F.expr(role[r])).alias(r) for r in ROLES)).filter(
+        " or ".join(ROLES))
+    places = classes.select("no_id", "doc_id", "line_no", "k1", "k2", "n").join(materialize(wanted, "roles"), ["k1", "k2"])
+    # numbered while narrow: texts are not moved for their order
+    position = [F.col("no_id"), F.col("doc_id"), F.col("line_no"), F.col("k1")]
+    placed = materialize(places.repartitionByRange(*position).sortWithinPartitions(*position).withColumn("ord", F.monotonically_increasing_id()), "places")
+    by_doc = placed.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "k1", "k2", "n", *ROLES, "ord")).alias("places")).withColumnRenamed("doc_id", "id")
+    texts = docs.select("doc_id", F.split("text", "\n").alias("lines")).join(by_doc, F.col("doc_id").eqNullSafe(F.col("id")))
+    found = texts.select("lines", F.explode("places").alias("p")).select("p.*", F.get("lines", F.col("p.line_no")).alias("line")).filter(
+        (F.xxhash64("line") == F.col("k1")) & (F.xxhash64(F.lit(1), "line") == F.col("k2")))
+    if docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count():
+        found = found.dropDuplicates(["k1", "k2"])
+    return found.select("k1", "k2", "n", *ROLES, "ord", words_of(F.col("line")).alias("w"))
+
+
+#: Kinds of keys: one word deleted, with its place; one word deleted; the line itself, to meet the second.
+SAME, LESS, WHOLE = 0, 1, 2
 
 
 def _variants(lines: DataFrame) -> DataFrame:
-    """Hashed keys of a line: kind 'same' (one word deleted, with its place), 'less' (one word deleted)
-    and 'whole' (the line itself, to meet the 'less' of lines longer by one).
+    """Hashed keys (ord, key, kind) of the variants that a line's roles ask for.
 
     The hash of a word list is the exclusive-or of hashes of (word, place). Deleting word i
     moves the later words by one, so the hash of the next deletion follows from the last one
@@ -85,20 +107,25 @@ def _variants(lines: DataFrame) -> DataFrame:
     moved = F.transform("w", lambda x, i: F.xxhash64(x, i - 1))
     xor = lambda a, x: a.bitwiseXOR(x)
     zero = F.lit(0).cast("long")
-    hashed = lines.select("n", "ord", here.alias("v"), moved.alias("u"))
-    steps = F.zip_with(F.slice("v", F.lit(1), F.col("n") - 1), F.slice("u", F.lit(2), F.col("n") - 1), lambda a, b: a.bitwiseXOR(b))
+    hashed = lines.select("n", "ord", *ROLES, here.alias("v"), moved.alias("u"))
+    steps = F.zip_with(F.slice("v", F.lit(1), F.col("n") - 1), F.slice("u", F.lit(2), F.col("n") - 1), xor)
     start = F.aggregate(F.slice("u", F.lit(2), F.greatest(F.col("n") - 1, F.lit(0))), zero, xor)
     deleted = F.aggregate(
         steps, F.struct(start.alias("last"), F.array(start).alias("all")),
         lambda s, x: F.struct(s["last"].bitwiseXOR(x).alias("last"), F.concat(s["all"], F.array(s["last"].bitwiseXOR(x))).alias("all")),
         lambda s: s["all"])
-    prepared = hashed.select("n", "ord", F.aggregate("v", zero, xor).alias("whole"), deleted.alias("deleted"))
-    own = F.array(F.struct(F.xxhash64("n", "whole").alias("key"), F.lit("whole").alias("kind")))
-    less = F.transform("deleted", lambda d: F.struct(F.xxhash64(F.col("n") - 1, d).alias("key"), F.lit("less").alias("kind")))
-    same = F.transform("deleted", lambda d, i: F.struct(F.xxhash64(F.col("n"), i, d).alias("key"), F.lit("same").alias("kind")))
-    many = F.col("n") >= LEAST_WORDS
-    none = F.slice(own, 1, 0)
-    emitted = F.concat(own, F.when(many, less).otherwise(none), F.when(many, same).otherwise(none))
+    head = F.floor(F.col("n") / 2).cast("int")
+    prepared = hashed.select("n", "ord", head.alias("head"), *ROLES, F.aggregate("v", zero, xor).alias("total"), deleted.alias("deleted"))
+
+    def part(side: str, kind: int):
+        cut = F.slice("deleted", F.lit(1), F.col("head")) if side == "head" else F.slice("deleted", F.col("head") + 1, F.col("n"))
+        first = F.lit(0) if side == "head" else F.col("head")
+        key = (lambda d, i: F.xxhash64("n", first + i, d)) if kind == SAME else (lambda d, i: F.xxhash64(F.col("n") - 1, d))
+        made = F.transform(cut, lambda d, i: F.struct(key(d, i).alias("key"), F.lit(kind).alias("kind")))
+        return F.when(F.col(("same_" if kind == SAME else "less_") + side), made).otherwise(F.slice(made, 1, 0))
+
+    own = F.array(F.struct(F.xxhash64("n", "total").alias("key"), F.lit(WHOLE).alias("kind")))
+    emitted = F.concat(part("head", SAME), part("tail", SAME), part("head", LESS), part("tail", LESS), F.when(F.col("whole"), own).otherwise(F.slice(own, 1, 0)))
     return prepared.select("ord", F.explode(emitted).alias("e")).select("ord", "e.key", "e.kind")
 
 
@@ -115,16 +142,22 @@ def within_one_edit(a: Column, b: Column) -> Column:
 
 def near_classes(classes: DataFrame, docs: DataFrame) -> DataFrame:
     """k1, k2 of the classes that have a near line earlier than their own first position."""
-    lines = materialize(_candidates(classes, docs), "lines")
-    variants = _variants(lines)
-    least = lambda kind: F.min(F.when(F.col("kind") == kind, F.col("ord"))).alias(kind)
-    most = F.max(F.when(F.col("kind") == "same", F.col("ord"))).alias("most")
-    meets = variants.groupBy("key").agg(least("same"), least("less"), least("whole"), most).filter(
-        "same < most or (less is not null and whole is not null)")
-    partner = F.when(F.col("kind") == "same", F.col("same")).when(F.col("kind") == "less", F.col("whole")).otherwise(F.col("less"))
-    hits = variants.join(meets, "key").select("ord", partner.alias("earlier")).filter("earlier < ord").distinct()
-    pairs = hits.join(lines.select("ord", "k1", "k2", F.col("w").alias("a")), "ord").join(
-        lines.select(F.col("ord").alias("earlier"), F.col("w").alias("b")), "earlier")
+    spark = docs.sparkSession
+    candidates = _candidates(classes, docs)
+    release_shuffles(spark)
+    lines = materialize(candidates, "lines")
+    release_shuffles(spark)
+    variants = materialize(_variants(lines), "variants")
+    least = lambda kind, name: F.min(F.when(F.col("kind") == kind, F.col("ord"))).alias(name)
+    meets = variants.groupBy("key").agg(
+        least(SAME, "same"), F.max(F.when(F.col("kind") == SAME, F.col("ord"))).alias("most"), least(LESS, "less"), least(WHOLE, "all")).filter(
+        "same < most or (less is not null and all is not null)")
+    partner = F.when(F.col("kind") == SAME, F.col("same")).when(F.col("kind") == LESS, F.col("all")).otherwise(F.col("less"))
+    hits = materialize(variants.join(meets, "key").select("ord", partner.alias("earlier")).filter("earlier < ord").distinct(), "hits")
+    # few hits are sent to the lines, so that only the lines concerned are moved; many are joined by shuffle
+    either = hits.select(F.explode(F.array("ord", "earlier")).alias("ord")).distinct()
+    met = lines.select("ord", "k1", "k2", "w").join(F.broadcast(either) if hits.count() <= SENT_HITS else either, "ord", "left_semi")
+    pairs = hits.join(met.withColumnRenamed("w", "a"), "ord").join(met.select(F.col("ord").alias("earlier"), F.col("w").alias("b")), "earlier")
     return pairs.filter(within_one_edit(F.col("a"), F.col("b"))).select("k1", "k2").distinct()
 
 
@@ -132,12 +165,14 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with ``text`` reduced to the lines kept; all other columns as they are."""
     named = docs.select("doc_id", "text")
     classes = materialize(line_classes(named), "line-classes")
-    kept = classes.join(near_classes(classes, named), ["k1", "k2"], "left_anti").groupBy("doc_id").agg(
+    near = materialize(near_classes(classes, named), "near-classes")
+    release_shuffles(docs.sparkSession)
+    kept = classes.join(near, ["k1", "k2"], "left_anti").groupBy("doc_id").agg(
         F.collect_list("line_no").alias("_kept")).withColumnRenamed("doc_id", "_id")
-    joined = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    lines = F.split("text", "\n")
-    numbers = F.transform(lines, lambda _, i: i)
-    blank = F.filter(numbers, lambda i: F.size(words_of(F.get(lines, i))) == 0)
+    # the lines are split below the join, so that no later expression splits a text again
+    split = docs.withColumn("_lines", F.split("text", "\n")).drop("text")
+    joined = split.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    blank = F.filter(F.transform("_lines", lambda x, i: F.when(is_blank(x), i)), lambda i: i.isNotNull())
     order = F.array_sort(F.concat(blank, F.coalesce("_kept", F.array().cast("array<int>"))))
     text = F.array_join(F.transform(order, lambda i: F.get("_lines", i)), "\n")
-    return joined.withColumn("_lines", lines).withColumn("text", F.when(F.col("text").isNotNull(), text)).select(*docs.columns)
+    return joined.withColumn("text", F.when(F.col("_lines").isNotNull(), text)).select(*docs.columns)

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, release_shuffles
 
 LENGTH = 50
 ANCHOR = 20
@@ -276,9 +276,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     """doc_id, text and marks (array of start * 64 + number of windows) for every row; byte places of the UTF-8 text."""
     named, keys = _documents(docs, id_col, text_col)
     sifted = materialize(_sift(_scan(named, keys, length), keys), "stretches")
-    shards = _index_marks(_fetch(named, sifted.filter("open"), keys, length), keys, length)
+    release_shuffles(docs.sparkSession)
+    shards = materialize(_index_marks(_fetch(named, sifted.filter("open"), keys, length), keys, length), "index-marks")
+    release_shuffles(docs.sparkSession)
     found = sifted.filter("not open").select(*keys, "at").unionByName(shards)
-    found = materialize(found.groupBy(*keys).agg(F.collect_list("at").alias("marks")), "marks")
+    found = found.groupBy(*keys).agg(F.collect_list("at").alias("marks"))
     return named.join(found, keys, "left").select("doc_id", "text", "marks")
 
 

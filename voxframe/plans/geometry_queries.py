@@ -235,10 +235,10 @@ def _(f):
 
 
 @query("gn8_fibonacci_directions", "l:sample_id,d d:dx,dy,dz", """SELECT sample_id, d, sin(p)*cos(t) AS dx, sin(p)*sin(t) AS dy, cos(p) AS dz FROM (
-    SELECT sample_id, d, acos(1.0-(d+0.5)*2.0/40) AS p, d*3.141592653589793*3.23606797749979 AS t FROM (SELECT sample_id, seed_id - min(seed_id) OVER (PARTITION BY sample_id) AS d FROM seeds))""")
+    SELECT sample_id, d, acos(1.0-(d+0.5)*2.0/41) AS p, d*3.141592653589793*3.23606797749979 AS t FROM (SELECT sample_id, seed_id - min(seed_id) OVER (PARTITION BY sample_id) AS d FROM seeds))""")
 def _(f):
     rows = f.common("seeds").select("sample_id", (F.col("seed_id") - F.min("seed_id").over(Window.partitionBy("sample_id"))).alias("d"))
-    return sampling.fibonacci_directions(rows, L(40))
+    return sampling.fibonacci_directions(rows, L(41))
 
 
 BASE = "SELECT sample_id, 0.3 AS thickness, 0.5 AS openness, CAST(sample_id%7 AS DOUBLE)/7 AS spread FROM ids"

@@ -10,15 +10,30 @@ from ..operators import fields, grid, sampling, spatial
 from .fixtures import N, STEP, Fixtures
 from .registry import query
 
-P = g.vec()
 L = F.lit
 
 
+class Deferred:
+    """A vector whose columns are made on use, so that queries can be listed without a session."""
+
+    def __init__(self, make):
+        self._make = make
+
+    def __iter__(self):
+        return iter(self._make())
+
+    def __getitem__(self, n):
+        return self._make()[n]
+
+
+P = Deferred(g.vec)
+
+
 def three(a: float, b: float, c: float) -> g.Vector:
     return (L(a), L(b), L(c))
 
 
-BOX = (three(0.0, 0.0, 0.0), three(16.0, 12.0, 10.0))
+BOX = (Deferred(lambda: three(0.0, 0.0, 0.0)), Deferred(lambda: three(16.0, 12.0, 10.0)))
 GAP = "abs(x-8)-8 AS gx, abs(y-6)-6 AS gy, abs(z-5)-5 AS gz"
 BOX_SQL = f"sqrt(greatest(gx,0)*greatest(gx,0)+greatest(gy,0)*greatest(gy,0)+greatest(gz,0)*greatest(gz,0))+least(greatest(gx,gy,gz),0)"
 CYL_SQL = "sqrt(greatest(s,0)*greatest(s,0)+greatest(c,0)*greatest(c,0))+least(greatest(s,c),0)"

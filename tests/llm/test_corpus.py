@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pytest
 
-from voxframe.llm import decontaminate, line_dedup, packing, sharding, simhash, suffix_dedup, tiff, token_counts, toxicity, wrapper
+from voxframe.llm import decontaminate, line_dedup, near_sets, packing, sharding, simhash, suffix_dedup, tiff, token_counts, toxicity, wrapper
 from voxframe.llm.tokens import bpe, default_vocabulary
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
@@ -246,6 +246,53 @@ def test_keep_one_leaves_one_of_each_group(docs):
     assert len(ids) == len(set(ids)) and 1 in ids and 1 + 3 * 36 not in ids
 
 
+@pytest.mark.parametrize("frequent", [1, 2, 10**6])
+def test_near_groups_equal_brute_force_at_jaccard_08(spark, monkeypatch, frequent):
+    import corpus_pipeline
+
+    monkeypatch.setattr(near_sets, "FREQUENT", frequent)
+    rng = random.Random(13)
+    texts = [prose(rng, n) for n in (1, 3, 5, 6, 40, 90, 200, 200, 300)]
+    passage = prose(rng, 60)
+    for base in list(texts):
+        for edits in (1, 2, 3, 4, 6, 9):
+            words = base.split()
+            for _ in range(min(edits, len(words))):
+                words[rng.randrange(len(words))] = rng.choice(["omega", "psi", "chi"])
+            texts.append(" ".join(words))
+        texts.append(base + " " + prose(rng, len(base.split()) // 5))
+    texts += [passage + " " + prose(rng, n) for n in (5, 10, 14, 16, 20, 60)] + ["", None, "  ", texts[4].upper(), texts[5]]
+    rows = list(enumerate(texts)) + [(None, texts[6])]
+
+    def grams(t):
+        w = (t or "").encode().lower().split()
+        return {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets, parent = [grams(t) for _, t in rows], list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    missed = 0
+    for i in range(len(rows)):
+        for j in range(i):
+            a, b = sets[i], sets[j]
+            if a == b or 5 * len(a & b) >= 4 * len(a | b):
+                missed += a != b and (simhash.fingerprint(rows[i][1], 4) ^ simhash.fingerprint(rows[j][1], 4)).bit_count() > 4
+                parent[max(find(i), find(j))] = min(find(i), find(j))
+    want = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            want[find(i)] = min(want.get(find(i), d), d)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()]
+    assert sorted(d for d in got if d is not None) == sorted(want.values()) and got.count(None) == 1
+    assert missed > 20
+    assert near_sets.keep_one(docs.limit(0)).count() == 0
+
+
 # lines
 
 def test_lines_against_brute_force(docs, empty):

@@ -226,13 +226,18 @@ def near_duplicates(docs: DataFrame, words: int = 4, budget: int = 4, id_col: st
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def rows_kept(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``docs`` of the ids ``found``, one per id, and those without an id."""
+    kept = docs.join(found, "doc_id", "left_semi").select(*docs.columns)
+    if docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 and doc_id is not null").limit(1).count():
+        kept = kept.dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.filter("doc_id is null"))
+
+
 def keep_one(docs: DataFrame, words: int = 4, budget: int = 4) -> DataFrame:
     """The rows of ``docs`` whose id is the least of its component; of rows that share that id, one.
 
     Rows without an id have no place in that order and stay.
     """
     found = near_duplicates(docs.select("doc_id", "text"), words, budget).filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(found, "doc_id", "left_semi").select(*docs.columns)
-    if docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 and doc_id is not null").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id is null"))
+    return rows_kept(docs, found)

@@ -121,6 +121,21 @@ def test_separator_scan_over_any_block_size(docs, empty, block):
     assert token_counts.scan_separators(token_counts.write_flat(empty).filter("data is not null")).count() == 0
 
 
+def test_separator_string_in_a_text_does_not_split_it(spark):
+    from voxframe.llm.common import materialize
+
+    texts = ["a<|endoftext|>b", "plain text", "x  y <|endoftext|> z", "<|endoftext|>", "mid <|endoftext|> dle", "last one"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    flat = materialize(token_counts.write_flat(docs), "flat-test")
+    counts = token_counts.scan_separators(flat.filter("data is not null"))
+    got = {r["doc_id"]: r["n_tokens"] for r in counts.join(token_counts.document_names(flat), ["file", "ordinal"]).collect()}
+    encoder = bpe(default_vocabulary())
+    assert got == {i: len(encoder._enc.encode(t, disallowed_special=())) for i, t in enumerate(texts)}
+    assert counts.count() == len(texts) and got[3] > 1
+    # the special id stays for packing, whatever was encoded before
+    assert np.frombuffer(encoder.encode_batch(["mid <|endoftext|> dle"])[0], "<u4").tolist().count(50256) == 1
+
+
 def test_raw_files_and_unfinished_documents(spark, tmp_path):
     np.array([5, 6, 50256, 50256, 7, 8, 9], "<u2").tofile(tmp_path / "a.bin")
     got = token_counts.scan_separators(token_counts.read_flat(spark, str(tmp_path), block_bytes=4)).orderBy("ordinal").collect()

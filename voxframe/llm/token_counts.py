@@ -43,7 +43,7 @@ def write_flat(docs: DataFrame, vocabulary: str | None = None, separator: int =
         encoder, file, block, rest, first = bpe(vocabulary), uuid.uuid4().hex, 0, b"", 0
         for pdf in batches:
             for part in slices(list(zip(pdf["doc_id"].tolist(), pdf["text"].tolist())), 256):
-                ids = encoder.encode_batch([t or "" for _, t in part])
+                ids = encoder.encode_batch([t or "" for _, t in part], special=False)
                 stream = rest + b"".join([np.frombuffer(x, "<u4").astype(dtype).tobytes() + end for x in ids])
                 full = len(stream) // block_bytes
                 rows = [(file, block + k, stream[k * block_bytes:(k + 1) * block_bytes], None, None) for k in range(full)]

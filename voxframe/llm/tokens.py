@@ -42,8 +42,8 @@ class WordCachedBpe:
             self._width[rank] = len(token)
         self._words: dict[str, bytes] = {}
 
-    def _whole(self, text: str) -> bytes:
-        allowed = {SPECIAL} if SPECIAL in text else set()
+    def _whole(self, text: str, special: bool = False) -> bytes:
+        allowed = {SPECIAL} if special and SPECIAL in text else set()
         return np.asarray(self._enc.encode(text, allowed_special=allowed, disallowed_special=()), dtype="<u4").tobytes()
 
     def _learn(self, words: set[str]) -> None:
@@ -59,8 +59,9 @@ class WordCachedBpe:
             self._words[w] = raw[at:end]
             at = end
 
-    def encode_batch(self, texts: list[str]) -> list[bytes]:
-        split = [None if not t or SPECIAL in t or _SPLIT_RUN.search(t) else t.split(" ") for t in texts]
+    def encode_batch(self, texts: list[str], special: bool = True) -> list[bytes]:
+        """Ids of each text; the special token's string is that token, or plain text if not ``special``."""
+        split = [None if not t or special and SPECIAL in t or _SPLIT_RUN.search(t) else t.split(" ") for t in texts]
         if len(self._words) > MAX_CACHED_WORDS:
             self._words.clear()
         known = self._words
@@ -68,8 +69,8 @@ class WordCachedBpe:
         if unseen:
             self._learn(unseen)
         return [
-            (self._whole(t) if t else b"") if ws is None
-            else (self._whole(ws[0]) if ws[0] else b"") + b"".join([known[w] for w in ws[1:]])
+            (self._whole(t, special) if t else b"") if ws is None
+            else (self._whole(ws[0], special) if ws[0] else b"") + b"".join([known[w] for w in ws[1:]])
             for t, ws in zip(texts, split)
         ]
 

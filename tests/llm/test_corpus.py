@@ -440,41 +440,74 @@ def test_tree_matching_is_the_largest():
 
 # repeated spans
 
-@pytest.mark.parametrize("segment", [None, 120])
-def test_repeats_against_brute_force(docs, empty, monkeypatch, segment):
-    if segment:
-        monkeypatch.setattr(suffix_dedup, "SEGMENT", segment)
-    rows = corpus()
+def slow_repeats(rows, length=50):
     key = lambda d: (1 << 63) - 1 if d is None else d
     least = {}
     for d, t, *_ in rows:
         raw = (t or "").encode()
-        for i in range(len(raw) - 49):
-            w = raw[i:i + 50]
+        for i in range(len(raw) - length + 1):
+            w = raw[i:i + length]
             least[w] = min(least.get(w, key(d)), key(d))
     want = []
     for d, t, *_ in rows:
         raw = (t or "").encode()
         gone = np.zeros(len(raw), bool)
-        for i in range(len(raw) - 49):
-            if least[raw[i:i + 50]] < key(d):
-                gone[i:i + 50] = True
+        for i in range(len(raw) - length + 1):
+            if least[raw[i:i + length]] < key(d):
+                gone[i:i + length] = True
         kept = bytes(np.frombuffer(raw, np.uint8)[~gone])
         want.append(str((d, len(raw), int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum()), hashlib.sha256(kept).hexdigest())))
-    got = [str((r["doc_id"], r["n_bytes"], len(r["spans"]), hashlib.sha256(bytes(r["kept"])).hexdigest())) for r in suffix_dedup.remove_repeats(docs).collect()]
-    assert sorted(got) == sorted(want)
+    return sorted(want)
+
+
+def repeats(docs, **kw):
+    return sorted(str((r["doc_id"], r["n_bytes"], len(r["spans"]), hashlib.sha256(bytes(r["kept"])).hexdigest()))
+                  for r in suffix_dedup.remove_repeats(docs, **kw).collect())
+
+
+@pytest.mark.parametrize("chunk, heavy", [(1 << 20, 10_000), (600, 10_000), (600, 3)])
+def test_repeats_against_brute_force(docs, empty, monkeypatch, chunk, heavy):
+    monkeypatch.setattr(suffix_dedup, "CHUNK_BYTES", chunk)
+    assert repeats(docs, heavy=heavy) == slow_repeats(corpus())
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
-def test_run_length_index_samples_and_ranges():
-    strings = [bytes(random.Random(n % 3).choices(b"abc", k=70)) for n in range(6)]
-    index = suffix_dedup.RunLengthIndex(strings)
-    starts = np.concatenate([np.cumsum([0] + [len(s) for s in strings[:-1]])])
-    place = np.concatenate([np.arange(len(s) - 49) + at for s, at in zip(strings, starts)])[index.order]
-    windows = [index.text[p:p + 50] for p in place]
-    assert windows == sorted(windows) and len(index.heads) < len(windows)
-    assert np.array_equal(index.samples, place[index.ends])
-    assert [a == b for a, b in zip(windows, windows[1:])] == (np.diff(index.range_of) == 0).tolist()
+@pytest.mark.parametrize("heavy", [4, 10_000])
+def test_repeats_with_a_line_that_every_text_holds(spark, monkeypatch, heavy):
+    monkeypatch.setattr(suffix_dedup, "CHUNK_BYTES", 2000)
+    rng = random.Random(5)
+    hot, short = "a line of some length that stands in each and every text here", "only thirty-two bytes, no match."
+    texts = ["\n".join([prose(rng, 12), hot if i % 3 else hot + " and on", short, prose(rng, 9), "\0" * (i % 4) * 30, "ü" * (20 + i % 9)]) for i in range(60)]
+    texts += ["".join(texts[k:k + 2]) for k in range(0, 60, 7)]
+    rows = [((i * 37) % 101 if i % 11 else (1 << 53) + i, t) for i, t in enumerate(texts)] + [(None, texts[3]), (None, texts[4]), (9, None), (9, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert repeats(docs, heavy=heavy) == slow_repeats(rows)
+
+
+def test_matching_statistics_against_brute_force():
+    rng = random.Random(3)
+    letters = b"ab\0\xff"
+    for _ in range(60):
+        strings = list(dict.fromkeys(bytes(rng.choices(letters, k=rng.randint(1, 40))) for _ in range(rng.randint(1, 8))))
+        strings += [s for s in (strings[0] + b"x", strings[0][3:] + b"ab") if s not in strings]
+        docs, cap = [rng.randint(0, 5) for _ in strings], rng.choice([7, 8, 15, 20])
+        index = suffix_dedup.RunLengthIndex(strings, np.array(docs), cap)
+        queries = [bytes(rng.choices(letters + b"z", k=rng.randint(1, 30))) for _ in range(4)] + strings[:2] + [rng.choice(strings) * 2]
+        got = {(q, p): n for qs, ps, ns, _ in index.matching_statistics(queries) for q, p, n in zip(qs, ps, ns)}
+        least = {(q, p): d for q, p, d in zip(*index.least_documents(queries))}
+        for q, query in enumerate(queries):
+            for i in range(len(query)):
+                want = max(k for k in range(min(cap, len(query) - i) + 1) if any(query[i:i + k] in s for s in strings))
+                assert got[(q, i)] == want
+                holders = [d for s, d in zip(strings, docs) if query[i:i + cap] in s] if want == cap else []
+                assert least.get((q, i)) == min(holders, default=None)
+
+
+def test_runs_of_a_repetitive_text_are_few():
+    base = bytes(random.Random(1).choices(b"acgt", k=90))
+    index = suffix_dedup.RunLengthIndex([base + bytes([i]) for i in range(200)], np.arange(200))
+    assert len(index.heads) < len(index.words) / 20
+    assert np.array_equal(index.starts[1:], index.ends[:-1] + 1)
 
 
 # the pipeline

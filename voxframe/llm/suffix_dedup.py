@@ -53,8 +53,8 @@ CHUNK_BYTES, BUCKET_BYTES = 4 << 20, 64 << 20
 BUCKET_ANCHORS = 1 << 21
 #: Stretches of an anchor from which its windows are dealt one by one.
 HEAVY = 10_000
-#: Bytes of strings in one index (whole shards).
-INDEX_BYTES = 3 << 20
+#: Bytes of strings in one index (whole shards), and of texts for one task of shards.
+INDEX_BYTES, SHARD_BYTES = 3 << 20, 16 << 20
 _BLOCK = 1 << 17
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xFF51AFD7ED558CCD], np.uint64)
 
@@ -442,7 +442,7 @@ def _index(shard: np.ndarray, string: list[bytes], least: np.ndarray, most: np.n
     return row, place[run], windows[run], doc[run]
 
 
-def _search(sent: DataFrame, length: int) -> DataFrame:
+def _search(sent: DataFrame, parts: int, length: int) -> DataFrame:
     """For the strings of each chunk the runs of windows that a smaller document holds, with the least one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -469,7 +469,7 @@ def _search(sent: DataFrame, length: int) -> DataFrame:
         if held:
             yield found(pa.Table.from_batches(held))
 
-    return sent.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, REPLIES)
+    return sent.repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(run, REPLIES)
 
 
 # results
@@ -506,12 +506,14 @@ def _spans(chunk: dict, length: int) -> list[list[tuple[int, int]]]:
 def remove_repeats(docs: DataFrame, length: int = LENGTH, heavy: int = HEAVY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, spans (array of start, stop of the maximal runs that go) and kept (the other bytes) for every row."""
     total = docs.agg(F.sum(F.octet_length(F.col(text_col)).cast("long"))).first()[0] or 0
-    chunks = _store_chunks(docs, max(8, -(-total // BUCKET_BYTES)), id_col, text_col)
+    # joins keep the table's buckets only if they are as many as the session's shuffle partitions
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chunks = _store_chunks(docs, max(least, -(-total // BUCKET_BYTES)), id_col, text_col)
     bits = max(1, (total // 16 // BUCKET_ANCHORS).bit_length())
     flags = materialize(_answer(_ask(chunks, bits, length), heavy), "anchor-flags").groupBy("chunk").agg(
         F.collect_list(F.struct("bucket", "flags")).alias("flags"))
     sent = _send(chunks.join(flags.hint("shuffle_hash"), "chunk").select("chunk", "ids", "raw", "sizes", "flags"), length)
-    replies = materialize(_search(sent, length), "index-replies").groupBy("chunk").agg(
+    replies = materialize(_search(sent, max(1, total // SHARD_BYTES), length), "index-replies").groupBy("chunk").agg(
         F.collect_list(F.struct("number", "begin", "windows", "least")).alias("replies"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

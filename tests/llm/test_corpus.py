@@ -431,12 +431,86 @@ def test_wrapper_finds_the_article(spark):
     assert wrapper.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
-def test_tree_matching_is_the_largest():
+BODY = "Paragraph {n} with a good deal of text, {n} times as much as anything else on the page, and some more of it."
+
+
+def extracted(spark, pages):
+    rows = [(n, f"http://one.example.org/{n}", p) for n, p in enumerate(pages)]
+    return [r["text"] for r in wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).orderBy("page_id").collect()]
+
+
+@pytest.mark.parametrize("name", ["content no-sidebar", "post has-footer", "entry-content share", "article-header", "post comments-open", "navy-theme", "sidebar", "post-17 header-9"])
+def test_class_names_do_not_lose_the_article(spark, name):
+    pages = [f'<body><div class="menu">Home {n}</div><div class="{name}"><p>{BODY.format(n=n)}</p></div><div id="comment-list">me too {n}</div></body>' for n in range(8)]
+    assert extracted(spark, pages) == [BODY.format(n=n) for n in range(8)]
+
+
+@pytest.mark.parametrize("name", ["ad", "site-footer", "cookie-notice", "sidebar-left", "comments", "top menu", "ad_banner"])
+def test_named_parts_go(spark, name):
+    pages = [f'<div id="wrap"><div class="x"><p>{BODY.format(n=n)}</p><div class="{name}">Part {n}</div></div><div class="{name}">Again {n}</div></div>' for n in range(8)]
+    assert extracted(spark, pages) == [BODY.format(n=n) for n in range(8)]
+
+
+def test_two_layouts_titles_and_constant_blocks(spark):
+    notice = "This notice stands on each page of the site and is longer than four hundred characters. " * 6
+    one = '<body><div class="k1"><h1>Title {n}</h1><div class="lead">Lead {n} of it</div><div class="b"><p>{body}</p><p>{notice}</p><p>Read on.</p></div></div></body>'
+    two = '<body><table><tr><td class="k2"><p>{body}</p></td></tr></table><p>{notice}</p></body>'
+    body = lambda n: " ".join([BODY.format(n=n)] * 8)
+    pages = [(one if n % 4 else two).format(n=n, body=body(n), notice=notice) for n in range(40)]
+    want = [f"Title {n}\n\nLead {n} of it\n\n{body(n)}" if n % 4 else body(n) for n in range(40)]
+    assert extracted(spark, pages) == want
+
+
+def test_deep_and_wide_pages(spark):
+    deep = [f"<div>" * 5000 + BODY.format(n=n) + "</div>" * 5000 for n in range(3)]
+    assert extracted(spark, deep) == [BODY.format(n=n) for n in range(3)]
+    # one more paragraph in front shifts all others; the trailing constant block is still seen
+    wide = ["<div>" + f"<p>{BODY.format(n=n)} first</p>" * (n + 1) + "".join(f"<p>{BODY.format(n=n)} {k}</p>" for k in range(450)) + "<ul><li>Trailing line of the site</li></ul></div>" for n in range(6)]
+    for n, text in enumerate(extracted(spark, wide)):
+        assert text.count("first") == n + 1 and text.endswith(f"{BODY.format(n=n)} 449")
+
+
+def test_copies_of_one_page_keep_their_text(spark):
+    page = f"<body><div><p>{BODY.format(n=1)}</p><p>{BODY.format(n=2)}</p></div></body>"
+    assert set(extracted(spark, [page] * 5 + [page.replace("</body>", " </body>")] * 5)) == {BODY.format(n=1) + "\n\n" + BODY.format(n=2)}
+
+
+def test_tree_matching_is_the_largest(monkeypatch):
     a = wrapper.parse("<div><p>a</p><ul><li>1</li></ul><p>b</p></div>")
     b = wrapper.parse("<div><p>x</p><p>y</p><ul><li>2</li><li>3</li></ul></div>")
     # root, div, one p and the list with one item
     assert len(wrapper.match_trees(a, b)) == 5
 
+    def slow(x, y):
+        if x.label != y.label:
+            return 0
+        best = {}
+
+        def go(i, j):
+            if i == len(x.kids) or j == len(y.kids):
+                return 0
+            if (i, j) not in best:
+                take = slow(x.kids[i], y.kids[j])
+                best[i, j] = max(go(i + 1, j), go(i, j + 1), take + go(i + 1, j + 1) if take else 0)
+            return best[i, j]
+
+        return 1 + go(0, 0)
+
+    rng = random.Random(4)
+    grow = lambda d: "".join(f"<{t}>{grow(d - 1) if d else ''}</{t}>" for t in rng.choices(["div", "ul", "span"], k=rng.randint(0, 4)))
+    for _ in range(80):
+        x, y = wrapper.parse(grow(3)), wrapper.parse(grow(3))
+        pairs = wrapper.match_trees(x, y)
+        assert len(pairs) == slow(x, y) and all(p.label == q.label for p, q in pairs)
+        xs, ys = wrapper.in_order(x)[1:30], wrapper.in_order(y)[1:30]
+        common = wrapper.common_labels(xs, ys)
+        table = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
+        for i, p in enumerate(xs):
+            for j, q in enumerate(ys):
+                table[i + 1][j + 1] = table[i][j] + 1 if p.label == q.label else max(table[i][j + 1], table[i + 1][j])
+        assert len(common) == table[-1][-1] and all(xs[i].label == ys[j].label for i, j in common)
+        assert all(a < c and b < d for (a, b), (c, d) in zip(common, common[1:]))
+
 
 # repeated spans
 

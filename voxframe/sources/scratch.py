@@ -2,45 +2,42 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
+#: Spark's setting by which the shuffle files of a query are deleted once the query has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; a temporary one only where that is unset."""
+    """The folder that ``spark.checkpoint.dir`` names; where that is unset, a temporary one, in local mode only."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL:
-        _LOCAL[app] = tempfile.mkdtemp(prefix="voxframe-")
-    return _LOCAL[app]
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if context.applicationId not in _LOCAL:
+        _LOCAL[context.applicationId] = tempfile.mkdtemp(prefix="voxframe-")
+    return _LOCAL[context.applicationId]
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet under the scratch root and read it back.
 
     Cuts lineage with a durable copy that all executors can read: a lost executor costs
-    only its own tasks, and a table used twice is computed once.
+    only its own tasks, and a table used twice is computed once. Spark deletes the shuffle
+    files behind the copy when it is written.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/voxframe/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete the shuffle files behind tables that are stored by now.
-
-    The cleaner acts when the plans of finished steps are collected on the driver, which it otherwise
-    waits half an hour for. Python drops its handles on them within a second; then the JVM may collect.
-    """
-    gc.collect()
-    time.sleep(1.5)
-    spark.sparkContext._jvm.System.gc()

@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pytest
 
-from voxframe.llm import decontaminate, line_dedup, near_sets, packing, sharding, simhash, suffix_dedup, tiff, token_counts, toxicity, wrapper
+from voxframe.llm import decontaminate, entries, line_dedup, near_sets, packing, sharding, simhash, suffix_dedup, tiff, token_counts, toxicity, wrapper
 from voxframe.llm.tokens import bpe, default_vocabulary
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
@@ -310,9 +310,11 @@ def test_near_groups_equal_brute_force_at_jaccard_08(spark, monkeypatch, frequen
 
 # lines
 
-def test_lines_against_brute_force(docs, empty):
-    rows = [r for r in corpus() if r[0] is not None and r[3] != "again"]
-    split = lambda line: tuple(w for w in line.split(" ") if w)
+def slow_lines(rows):
+    def split(line):
+        words = tuple(w for w in line.split(" ") if w)
+        return ("words", words) if len(words) >= 5 else ("signs", tuple(line))
+
     blank = lambda line: not line.strip(" \t\r\f")
     first = {}
     for d, t, *_ in sorted(rows, key=lambda r: r[0]):
@@ -321,8 +323,8 @@ def test_lines_against_brute_force(docs, empty):
                 first.setdefault(line, (d, n))
 
     def near(a, b):
-        a, b = split(a), split(b)
-        if max(len(a), len(b)) < 5 or abs(len(a) - len(b)) > 1:
+        (p, a), (q, b) = split(a), split(b)
+        if p != q or max(len(a), len(b)) < 5 or abs(len(a) - len(b)) > 1:
             return False
         if len(a) == len(b):
             return sum(x != y for x, y in zip(a, b)) <= 1
@@ -330,7 +332,12 @@ def test_lines_against_brute_force(docs, empty):
         return any(a[:i] + a[i + 1:] == b for i in range(len(a)))
 
     gone = {a for a in first if any(first[b] < first[a] and near(a, b) for b in first if b != a)}
-    want = {d: None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if blank(x) or (first[x] == (d, n) and x not in gone)) for d, t, *_ in rows}
+    return {d: None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if blank(x) or (first[x] == (d, n) and x not in gone)) for d, t, *_ in rows}, gone
+
+
+def test_lines_against_brute_force(docs, empty):
+    rows = [r for r in corpus() if r[0] is not None and r[3] != "again"]
+    want, gone = slow_lines(rows)
     frame = docs.sparkSession.createDataFrame(rows, docs.schema)
     got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(frame).collect()}
     assert got == want and gone
@@ -338,6 +345,18 @@ def test_lines_against_brute_force(docs, empty):
     assert sorted(map(str, (r["lang"] for r in line_dedup.dedup_lines(docs).collect()))) == sorted(map(str, (r[2] for r in corpus())))
 
 
+def test_short_and_unspaced_lines_are_compared_by_characters(spark):
+    rng = random.Random(9)
+    lines = ["今天天气很好我们去公园散步吧大家一起", "今天天气很好我们去公园散步吧大家一齐", "今天天气很好我们去公园散步大家一起", "abcd efgh ijkl mnop", "abcd efgh ijkl mnoq", "abcd efgh ijkl mno",
+             "a b c d e", "abcde", "abcd", "abce", "ab", "x y z w v u", "x y z w v", "naïve 😀 text", "naïve 😁 text", "naive 😁 text", "word" * 30, "word" * 30 + "s"]
+    lines += ["".join(rng.choices("ab", k=rng.randint(4, 7))) for _ in range(40)]
+    rows = [(i, "\n".join(rng.sample(lines, 3))) for i in range(60)]
+    want, gone = slow_lines(rows)
+    docs = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "doc_id long, text string, _kept int, _id int, _lines int").repartition(3)
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs).collect()}
+    assert got == want and len(gone) > 10
+
+
 def test_line_dedup_runs_no_python(docs):
     plan = line_dedup.dedup_lines(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
@@ -357,9 +376,9 @@ def edit_in(pattern, text):
     return best
 
 
-def test_leaks_equal_plain_edit_distance(spark):
+def test_leaks_equal_plain_edit_distance(spark, monkeypatch):
     rng = random.Random(5)
-    items = [(i, prose(rng, rng.randint(8, 20))) for i in range(6)] + [(90, None), (91, ""), (92, "too short")]
+    items = [(i, prose(rng, rng.randint(8, 20))) for i in range(6)] + [(90, None), (91, ""), (92, "too short"), (93, "xi"), (94, "zet")]
     texts = []
     for n in range(24):
         body = prose(rng, 30)
@@ -369,7 +388,7 @@ def test_leaks_equal_plain_edit_distance(spark):
                 leak[rng.randrange(len(leak))] = rng.choice("xyz")
             body = prose(rng, 8) + ".. " + "".join(leak) + "! " + prose(rng, 9)
         texts.append((n, body))
-    texts += [(100, None), (101, "")]
+    texts += [(100, None), (101, ""), (102, "that is Too--short"), (103, "xi"), (104, "taxi xis")]
     docs = spark.createDataFrame(texts, "doc_id long, text string")
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]): r["distance"] for r in decontaminate.leaks(docs, bench).collect()}
@@ -377,11 +396,20 @@ def test_leaks_equal_plain_edit_distance(spark):
     for d, t in texts:
         for i, item in items:
             p = decontaminate.normalize(item)
-            if len(p) >= decontaminate.LEAST_CHARS:
-                e = edit_in(p, decontaminate.normalize(t))
+            q = decontaminate.normalize(t)
+            if 0 < len(p) < 24:
+                if f" {p} " in f" {q} ":
+                    want[(d, i)] = 0
+            elif p:
+                e = edit_in(p, q)
                 if e <= len(p) // decontaminate.CHARS_PER_ERROR:
                     want[(d, i)] = e
-    assert got == want and want
+    assert got == want and {i for _, i in want} > {92, 93}
+    for r in decontaminate.leaks(docs, bench).filter("distance = 0").collect():
+        p, q = decontaminate.normalize(dict(items)[r["item_id"]]), decontaminate.normalize(dict(texts)[r["doc_id"]])
+        assert q[:r["end"]].endswith(p)
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 100)
+    assert {(r["doc_id"], r["item_id"]): r["distance"] for r in decontaminate.leaks(docs, bench).collect()} == want
     assert decontaminate.decontaminate(docs, bench).count() == len(texts) - len({d for d, _ in want})
     assert decontaminate.leaks(docs, bench.limit(0)).count() == 0 == decontaminate.leaks(docs.limit(0), bench).count()
 
@@ -584,6 +612,81 @@ def test_runs_of_a_repetitive_text_are_few():
     assert np.array_equal(index.starts[1:], index.ends[:-1] + 1)
 
 
+# the registered queries
+
+BIG = (1 << 53) + 1
+
+
+@pytest.fixture(scope="module")
+def odd_tables(spark, tmp_path_factory):
+    """Documents with nulls, repeated rows, ids beyond 2^53 and extra columns named as an operator's own."""
+    rng = random.Random(3)
+    clash = ["bucket", "bucket_start", "start", "size", "shard", "kept", "id", "lines", "rank", "key", "fp", "page", "width", "content", "score", "chunk", "raw", "least", "host", "length"]
+    base = [(BIG + 2 * i if i % 3 else i, prose(rng, 8 + 7 * i)) for i in range(30)]
+    base += [base[3], base[3], (None, base[5][1]), (None, None), (BIG + 400, None), (BIG + 402, ""), (BIG + 404, "x <|endoftext|> y"), (7, "é😀\0" * 40), (8, base[2][1])]
+    folder = tmp_path_factory.mktemp("odd")
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} int" for c in clash)
+    spark.createDataFrame([(d, t, "en", None, None, *range(len(clash))) for d, t in base], schema).repartition(2).write.parquet(f"{folder}/documents.parquet")
+    labels = [(d, 0, k % 2) for k, (d, _) in enumerate(base)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, base[9][1]), (None, None), (2, "")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    pages = [(BIG + 2 * i, f"http://h{i % 2}.org/{i}", f"<p>{t}</p>") for i, (_, t) in enumerate(base[:9])] + [(None, None, None), (None, "x", "<div>")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
+    return str(folder), base, pages
+
+
+@pytest.mark.parametrize("name", sorted(entries.queries()))
+def test_registered_queries_on_odd_tables(spark, odd_tables, name):
+    folder, base, pages = odd_tables
+    rows = entries.queries()[name](spark, folder).collect()
+    if name.startswith("op9_"):
+        assert sorted(str((r["page_id"], r["url"])) for r in rows) == sorted(str(p[:2]) for p in pages)
+        assert all(r["n_chars"] == len(r["text"]) for r in rows)
+        return
+    ids = collections.Counter(d for d, _ in base)
+    got = collections.Counter(r["doc_id"] for r in rows)
+    if name.startswith("op2_"):
+        assert {(r["doc_id"], r["item_id"]) for r in rows} == {(base[9][0], 1)}
+    elif name.startswith("op1_"):
+        assert set(got) == set(ids)
+        assert sum(r["length"] for r in rows) == sum(r["doc_tokens"] for r in rows if r["start"] == 0)
+    else:
+        assert got == ids
+    if name.startswith("op5_"):
+        texts = collections.defaultdict(list)
+        for d, t in base:
+            raw = (t or "").encode()
+            payload = raw + b"\xff" * (max(1, -(-len(raw) // 576)) * 576 - len(raw))
+            texts[d].append((len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:])))
+        for r in rows:
+            assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) in texts[r["doc_id"]]
+    if name.startswith("op8_"):
+        for r in rows:
+            assert r["held_out"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+            assert 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5)
+    if name.startswith("op10_"):
+        want = collections.Counter(slow_repeats(base))
+        assert collections.Counter(str((r["doc_id"], r["n_bytes"], r["n_spans"], r["kept_sha256"])) for r in rows) == want
+
+
+@pytest.mark.parametrize("name", sorted(entries.queries()))
+def test_registered_queries_on_empty_tables(spark, odd_tables, tmp_path_factory, name):
+    folder = tmp_path_factory.mktemp("none")
+    for table in ("documents", "labels", "benchmark", "pages"):
+        spark.read.parquet(f"{odd_tables[0]}/{table}.parquet").limit(0).write.parquet(f"{folder}/{table}.parquet")
+    assert entries.queries()[name](spark, str(folder)).count() == 0
+
+
+def test_stages_keep_odd_rows_and_columns(spark, odd_tables):
+    folder, base, _ = odd_tables
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for keep in (line_dedup.dedup_lines, simhash.keep_one, near_sets.keep_one):
+        kept = keep(docs)
+        assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} <= {d for d, _ in base}
+    kept = decontaminate.decontaminate(docs, spark.read.parquet(f"{folder}/benchmark.parquet"))
+    assert kept.columns == docs.columns and kept.count() == len(base) - 1
+
+
 # the pipeline
 
 def test_pipeline_stages(spark, sf):

@@ -5,11 +5,14 @@ and digits as one space. A test item of L characters may occur with up to
 ``L // CHARS_PER_ERROR`` edits. It is cut into one piece more than that, so any such
 occurrence holds some piece unchanged; all pieces are searched at once by an
 Aho-Corasick automaton and each place found is verified with Myers' bit-parallel
-distance over the whole item. Test items are the stated query set: they are sent to
-the tasks in blocks of a bounded size, and every block sees every document.
+distance over the whole item. An item of under WHOLE_CHARS characters has no budget
+and counts where it stands as whole words. Test items are the stated query set: they
+are sent to the tasks in blocks of a bounded size, one block after another, and every
+block sees every document; the driver holds one block at a time.
 
 Null and empty texts and items match nothing. Items that are equal are reported
-each under its id; repeated documents each get their rows.
+each under its id; repeated documents each get their rows. Extra columns play no part
+in the search and stay in ``decontaminate``. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -17,14 +20,16 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_lists, materialize
+
 CHARS_PER_ERROR = 16
 BLOCK_BYTES = 8 << 20
-#: Items shorter than this after normalisation say too little to be a leak.
-LEAST_CHARS = 24
+#: Normalised items shorter than this must occur as they are, as whole words.
+WHOLE_CHARS = 24
 _OTHER = re.compile(r"[\W_]+")
 
 
@@ -41,7 +46,7 @@ class Pattern:
     """Myers' bit-vectors of one item."""
 
     def __init__(self, text: str, budget: int):
-        self.length, self.budget, self.masks = len(text), budget, {}
+        self.length, self.budget, self.masks, self.spaced = len(text), budget, {}, text[:1] == " "
         for i, c in enumerate(text):
             self.masks[c] = self.masks.get(c, 0) | 1 << i
 
@@ -76,12 +81,15 @@ class Matcher:
         places: dict[str, list[tuple[str, int]]] = {}
         for item, raw in items:
             text = normalize(raw)
-            if len(text) < LEAST_CHARS:
+            if not text:
                 continue
+            if len(text) < WHOLE_CHARS:
+                # between the spaces that ``find`` puts around the text, too
+                text = f" {text} "
             if text in self.patterns:
                 self.patterns[text][1].append(item)
                 continue
-            budget = len(text) // CHARS_PER_ERROR
+            budget = 0 if text[0] == " " else len(text) // CHARS_PER_ERROR
             self.patterns[text] = (Pattern(text, budget), [item])
             for offset, piece in pieces(text, budget):
                 places.setdefault(piece, []).append((text, offset))
@@ -91,7 +99,8 @@ class Matcher:
         self.automaton.make_automaton()
 
     def find(self, text: str) -> Iterator[tuple[int, int, int]]:
-        """(item, distance, end) for every item that occurs; the least distance, its first end."""
+        """(item, distance, end) for every item that occurs in a normalised text; the least distance, its first end."""
+        text = f" {text} "
         diagonals: dict[str, list[int]] = {}
         for last, (length, where) in self.automaton.iter(text) if self.patterns else ():
             for item, offset in where:
@@ -109,8 +118,11 @@ class Matcher:
                 if d is not None:
                     lo, hi = (d, d) if lo is None else (lo, d)
             if best[0] <= pattern.budget:
+                distance, end = best
+                # without the space in front, and without the one behind a short item
+                end = min(end - 1 - (pattern.budget == 0 and pattern.spaced), len(text) - 2)
                 for i in ids:
-                    yield i, *best
+                    yield i, distance, end
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -118,24 +130,34 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // BLOCK_BYTES))
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    found = None
-    for block in range(blocks):
-        part = benchmark.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block) if blocks > 1 else benchmark
-        items = [(r["item_id"], r["text"]) for r in part.select(F.col("item_id").cast("long"), "text").collect()]
+
+    def search(items: list[tuple[int, str]]) -> tuple[DataFrame, Broadcast]:
         shared = docs.sparkSession.sparkContext.broadcast(items)
 
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+        def make():
             matcher = Matcher(shared.value)
-            for pdf in batches:
-                rows = [(doc, *hit) for doc, text in zip(pdf["doc_id"], pdf["text"]) for hit in matcher.find(normalize(text))]
-                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "distance", "end"])
 
-        hits = named.mapInPandas(run, "doc_id long, item_id long, distance int, end long")
+            def step(part: dict[str, list]) -> dict[str, list]:
+                rows = [(doc, *hit) for doc, text in zip(part["doc_id"], part["text"]) for hit in matcher.find(normalize(text))]
+                return dict(zip(("doc_id", "item_id", "distance", "end"), map(list, zip(*rows)) if rows else [[]] * 4))
+
+            return step
+
+        return map_lists(named, make, "doc_id long, item_id long, distance int, end long"), shared
+
+    found = None
+    for block in range(blocks):
+        part = benchmark.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
+        hits, shared = search([(r["item_id"], r["text"]) for r in part.select(F.col("item_id").cast("long"), "text").collect()])
+        if blocks == 1:
+            return hits
+        hits = materialize(hits, "leaks")
+        shared.destroy()
         found = hits if found is None else found.unionByName(hits)
     return found
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that hold a benchmark item; rows without an id are judged together."""
-    bad = leaks(docs, benchmark).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    bad = leaks(docs, benchmark).select("doc_id").distinct()
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")

@@ -34,29 +34,56 @@ def op4_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = tiff.store_texts(common.documents(spark, sf_dir))
-    return media_digest(tiff.tiff_pages(stored.select("*", F.col("content").alias("stored"))))
+    stored = tiff.store_texts(common.documents(spark, sf_dir)).withColumns(
+        {"media_bytes": F.length("content").cast("long"), "media_sha256": F.sha2("content", 256)})
+    return media_digest(tiff.tiff_pages(stored).drop("content"))
+
+
+MEDIA = ("doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, "
+         "feature string")
 
 
 def media_digest(pages: DataFrame) -> DataFrame:
-    """Digest columns of single-page files whose bytes are in ``stored``."""
+    """One row per file from the rows of its pages, which ``tiff_pages`` leaves next to one another in their task."""
     import zlib
     from hashlib import sha256
 
     import numpy as np
-    import pandas as pd
+    import pyarrow as pa
+
+    names = [x.split()[0] for x in MEDIA.split(", ")]
 
     def run(batches):
-        for pdf in batches:
+        held: list[dict] = []
+
+        def digest() -> tuple:
+            if any(p["error"] for p in held):
+                raise ValueError(f"stored file of document {held[0]['doc_id']}: {held[-1]['error']}")
+            pixels = b"".join(p["pixels"] for p in held)
+            sample = np.frombuffer(pixels, np.uint8)
+            feature = (f"pages={len(held)} width={held[0]['width']} height={sum(p['height'] for p in held)} mean={sample.mean():.4f} "
+                       f"std={sample.std():.4f} spaces={np.count_nonzero(sample == 32)}")
+            first = held[0]
+            return (first["doc_id"], first["n_bytes"], len(pixels), sha256(pixels).hexdigest(), zlib.crc32(pixels[-32:]),
+                    first["media_bytes"], first["media_sha256"], feature)
+
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            kinds = [pa.string() if n in ("payload_sha256", "media_sha256", "feature") else pa.int64() for n in names]
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=names)
+
+        for batch in batches:
             rows = []
-            for doc, n, pixels, width, height, stored in zip(*(pdf[c] for c in ("doc_id", "n_bytes", "pixels", "width", "height", "stored"))):
-                sample = np.frombuffer(pixels, np.uint8)
-                feature = f"{width}x{height} mean={sample.mean():.4f} std={sample.std():.4f} spaces={np.count_nonzero(sample == 32)}"
-                rows.append((doc, n, len(pixels), sha256(pixels).hexdigest(), zlib.crc32(pixels[-32:]), len(stored), sha256(stored).hexdigest(), feature))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-
-    return pages.select("doc_id", "n_bytes", "pixels", "width", "height", "stored").mapInPandas(
-        run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+            for page in batch.to_pylist():
+                if held and not page["page"]:
+                    rows.append(digest())
+                    held.clear()
+                held.append(page)
+            if rows:
+                yield batch_of(rows)
+        if held:
+            yield batch_of([digest()])
+
+    return pages.mapInArrow(run, MEDIA)
 
 
 def op6_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,24 +1,27 @@
 """Near-duplicate lines across documents by a deletion-neighbourhood join.
 
-The unit of an edit is a word. Two lines are near when one word inserted, deleted
-or replaced turns one into the other and the longer has at least five words, so
-that they agree in 0.8 of it or more. A line goes when an equal or a near line
-occurs earlier (by document id, then line number); this is judged on the input,
-not on what is left. Blank lines stay, and lines keep their order.
+The unit of an edit is a word in lines of LEAST_UNITS words or more, and a character in
+shorter ones, which includes lines of scripts without spaces. Two lines are near when
+they have the same unit, one unit inserted, deleted or replaced turns one into the
+other, and the longer has at least LEAST_UNITS of them, so that they agree in 0.8 of it
+or more; lines of fewer characters are near only if equal. A line goes when an equal or
+a near line occurs earlier (by document id, then line number); this is judged on the
+input, not on what is left. Blank lines stay, and lines keep their order.
 
 Words are what single spaces separate; a line of white space is blank.
 
 1. Equal lines become one class with its first position.
 2. A pair within one edit shares its first or last half. Only classes that share
    a half with another class are read again; this loses none.
-3. Each of those emits the hashed variants with one word deleted. Equal variants
+3. Each of those emits the hashed variants with one unit deleted. Equal variants
    meet in an aggregate that keeps the earliest line of a key, so a common variant
    gives one row a line and no list of pairs.
-4. Every hit is verified on the words before it counts.
+4. Every hit is verified on the units before it counts.
 
 Everything runs as DataFrame functions. Null texts stay null; empty texts stay
 empty. Rows of one document id are one document (equal positions are one line);
-null ids count as one document, after all others. Extra columns are kept.
+null ids count as one document, after all others. Extra columns are kept, whatever
+their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,15 +29,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, release_shuffles
+from .common import free_name, materialize
 
-LEAST_WORDS = 5
+LEAST_UNITS = 5
 #: Pairs up to which both ends are sent to all tasks (two longs a pair).
 SENT_HITS = 1_000_000
 
 
-def words_of(line: Column) -> Column:
-    return F.array_remove(F.split(line, " "), "")
+def units_of(line: Column) -> Column:
+    """The words of a line; of a line of fewer than LEAST_UNITS words its characters, each behind a line feed, which no word holds."""
+    words = F.array_remove(F.split(line, " "), "")
+    signs = F.transform(F.array_remove(F.split(line, ""), ""), lambda x: F.concat(F.lit("\n"), x))
+    return F.when(F.size(words) >= LEAST_UNITS, words).otherwise(signs)
 
 
 def is_blank(line: Column) -> Column:
@@ -49,7 +55,7 @@ def _half_keys(words: Column, n: Column) -> list[Column]:
         head = F.floor(r / 2).cast("int")
         tail = r - head
         for side, part in ((0, F.slice(words, F.lit(1), head)), (1, F.slice(words, n - tail + 1, tail))):
-            keys.append(F.when(r >= LEAST_WORDS, F.xxhash64(r, F.lit(side), part)))
+            keys.append(F.when(r >= LEAST_UNITS, F.xxhash64(r, F.lit(side), part)))
     return keys
 
 
@@ -58,7 +64,7 @@ def line_classes(docs: DataFrame) -> DataFrame:
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).filter(~is_blank(F.col("line")))
     keyed = lines.select(
         F.col("doc_id").isNull().alias("no_id"), "doc_id", "line_no", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), "line").alias("k2"),
-        words_of(F.col("line")).alias("w")).withColumn("n", F.size("w"))
+        units_of(F.col("line")).alias("w")).withColumn("n", F.size("w"))
     return keyed.select("no_id", "doc_id", "line_no", "k1", "k2", "n", *(
         k.alias(f"h{i}") for i, k in enumerate(_half_keys(F.col("w"), F.col("n"))))).groupBy("k1", "k2", "n", "h0", "h1", "h2", "h3").agg(
         F.min(F.struct("no_id", "doc_id", "line_no")).alias("first")).select("k1", "k2", "n", "h0", "h1", "h2", "h3", "first.*")
@@ -89,7 +95,7 @@ def _candidates(classes: DataFrame, docs: DataFrame) -> DataFrame:
         (F.xxhash64("line") == F.col("k1")) & (F.xxhash64(F.lit(1), "line") == F.col("k2")))
     if docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count():
         found = found.dropDuplicates(["k1", "k2"])
-    return found.select("k1", "k2", "n", *ROLES, "ord", words_of(F.col("line")).alias("w"))
+    return found.select("k1", "k2", "n", *ROLES, "ord", units_of(F.col("line")).alias("w"))
 
 
 #: Kinds of keys: one word deleted, with its place; one word deleted; the line itself, to meet the second.
@@ -144,9 +150,7 @@ def near_classes(classes: DataFrame, docs: DataFrame) -> DataFrame:
     """k1, k2 of the classes that have a near line earlier than their own first position."""
     spark = docs.sparkSession
     candidates = _candidates(classes, docs)
-    release_shuffles(spark)
     lines = materialize(candidates, "lines")
-    release_shuffles(spark)
     variants = materialize(_variants(lines), "variants")
     least = lambda kind, name: F.min(F.when(F.col("kind") == kind, F.col("ord"))).alias(name)
     meets = variants.groupBy("key").agg(
@@ -166,13 +170,13 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     named = docs.select("doc_id", "text")
     classes = materialize(line_classes(named), "line-classes")
     near = materialize(near_classes(classes, named), "near-classes")
-    release_shuffles(docs.sparkSession)
+    kept_name, id_name, lines_name = (free_name(docs, n) for n in ("kept", "id", "lines"))
     kept = classes.join(near, ["k1", "k2"], "left_anti").groupBy("doc_id").agg(
-        F.collect_list("line_no").alias("_kept")).withColumnRenamed("doc_id", "_id")
+        F.collect_list("line_no").alias(kept_name)).withColumnRenamed("doc_id", id_name)
     # the lines are split below the join, so that no later expression splits a text again
-    split = docs.withColumn("_lines", F.split("text", "\n")).drop("text")
-    joined = split.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    blank = F.filter(F.transform("_lines", lambda x, i: F.when(is_blank(x), i)), lambda i: i.isNotNull())
-    order = F.array_sort(F.concat(blank, F.coalesce("_kept", F.array().cast("array<int>"))))
-    text = F.array_join(F.transform(order, lambda i: F.get("_lines", i)), "\n")
-    return joined.withColumn("text", F.when(F.col("_lines").isNotNull(), text)).select(*docs.columns)
+    split = docs.withColumn(lines_name, F.split("text", "\n")).drop("text")
+    joined = split.join(kept, F.col("doc_id").eqNullSafe(F.col(id_name)), "left")
+    blank = F.filter(F.transform(lines_name, lambda x, i: F.when(is_blank(x), i)), lambda i: i.isNotNull())
+    order = F.array_sort(F.concat(blank, F.coalesce(kept_name, F.array().cast("array<int>"))))
+    text = F.array_join(F.transform(order, lambda i: F.get(lines_name, i)), "\n")
+    return joined.withColumn("text", F.when(F.col(lines_name).isNotNull(), text)).select(*(f"`{c}`" for c in docs.columns))

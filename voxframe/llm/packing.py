@@ -7,6 +7,8 @@ length left, the multiset of other lengths that fills the window best, and the
 pattern is repeated as long as the counts allow. Rows then find their place by
 rank within their length, so no group or partition holds a whole length.
 
+A length of more than RANKED_ROWS rows is ranked in parts; up to that one task ranks it.
+
 Null or empty texts are the separator alone. Null or repeated ids are packed
 like any row. An empty table gives an empty result. Other columns are ignored.
 """
@@ -14,14 +16,12 @@ like any row. An empty table gives an empty result. Other columns are ignored.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
-from .tokens import bpe, default_vocabulary, slices
+from .common import map_lists, materialize
+from .tokens import bpe, default_vocabulary
 
 CAPACITY = 1024
 #: Rows of one length that one window task ranks, about.
@@ -34,23 +34,25 @@ def cut_pieces(docs: DataFrame, capacity: int = CAPACITY, separator: int = 0, vo
     (little-endian unsigned 32-bit, binary)."""
     vocabulary = vocabulary or default_vocabulary()
     end = int(separator).to_bytes(4, "little")
+    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         encoder = bpe(vocabulary)
-        for pdf in batches:
-            for part in slices(list(zip(pdf["doc_id"].tolist(), pdf["text"].tolist())), 256):
-                out = []
-                for (doc, _), ids in zip(part, encoder.encode_batch([t or "" for _, t in part])):
-                    ids += end
-                    total = len(ids) // 4
-                    for start in range(0, total, capacity):
-                        piece = ids[4 * start:4 * (start + capacity)]
-                        out.append((doc, start, len(piece) // 4, zlib.crc32(piece), total, *((piece,) if with_ids else ())))
-                pieces = pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", *(["ids"] if with_ids else [])])
-                yield pieces.astype({"doc_id": "Int64"})
 
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, schema)
+        def step(part: dict[str, list]) -> dict[str, list]:
+            out: dict[str, list] = {c.split()[0]: [] for c in schema.split(", ")}
+            for doc, ids in zip(part["doc_id"], encoder.encode_batch([t or "" for t in part["text"]])):
+                ids += end
+                total = len(ids) // 4
+                for start in range(0, total, capacity):
+                    piece = ids[4 * start:4 * (start + capacity)]
+                    for column, value in zip(out, (doc, start, len(piece) // 4, zlib.crc32(piece), total, piece)):
+                        out[column].append(value)
+            return out
+
+        return step
+
+    return map_lists(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), make, schema)
 
 
 def best_fill(counts: dict[int, int], room: int) -> dict[int, int]:

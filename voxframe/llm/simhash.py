@@ -12,6 +12,8 @@ links. Components of the links are found by star rounds.
 
 Null and empty texts have fingerprint zero, linked like any other. Rows with a
 null id are fingerprinted but their class id is the least id that is not null.
+Repeated rows each get their result. Extra columns play no part in the search, and
+``keep_one`` keeps them. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,11 +23,11 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from .common import materialize
+from .common import free_name, map_lists, materialize
 
 BITS = 64
 #: Fingerprints that share a key by chance, about; sets how many blocks are used.
@@ -60,12 +62,11 @@ def fingerprint(text: str | None, words: int) -> int:
 def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp (the fingerprint's bits as a signed long)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            fps = np.array([fingerprint(t, words) for t in pdf["text"]], np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": fps})
+    def step(part: dict[str, list]) -> dict[str, list]:
+        prints = np.array([fingerprint(t, words) for t in part["text"]], np.uint64)
+        return {"doc_id": part["doc_id"], "fp": prints.view(np.int64)}
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, "doc_id long, fp long")
+    return map_lists(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), lambda: step, "doc_id long, fp long")
 
 
 def block_masks(n: int, budget: int, bits: int = BITS) -> list[int]:
@@ -227,10 +228,12 @@ def near_duplicates(docs: DataFrame, words: int = 4, budget: int = 4, id_col: st
 
 
 def rows_kept(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows of ``docs`` of the ids ``found``, one per id, and those without an id."""
+    """The rows of ``docs`` of the ids ``found``, one per id (that of least hash over all columns), and those without an id."""
     kept = docs.join(found, "doc_id", "left_semi").select(*docs.columns)
     if docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 and doc_id is not null").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id"])
+        rank = free_name(docs, "rank")
+        order = Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns))
+        kept = kept.withColumn(rank, F.row_number().over(order)).filter(F.col(rank) == 1).drop(rank)
     return kept.unionByName(docs.filter("doc_id is null"))
 
 

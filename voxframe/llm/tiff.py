@@ -1,26 +1,35 @@
 """TIFF pages from a binary column: directory walk, strips or tiles, PackBits, LZW and deflate.
 
 ``decode`` follows the chain of image directories of one file and yields one page
-each; ``tiff_pages`` does so for a column and emits one row per page. ``encode``
-writes the same subset (8-bit samples, one file from one or more pages), so that
-stored bytes can be read back by the full path. Broken, null or empty files give
-one row with ``error`` set and page null; nothing is raised in a task.
+each; ``tiff_pages`` does so for a column and emits one row per page, the pages of a
+file one after another. ``encode`` writes the same subset (8-bit samples, one file
+from one or more pages), so that stored bytes can be read back by the full path.
+
+A file that is broken, null or empty gives one row with ``error`` set and page null,
+after the rows of the pages before the fault; nothing is raised in a task. Repeated
+rows each get their pages. Extra columns are repeated on each page; those named as the
+columns of a page are replaced. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+
+from .common import map_lists
 
 # Fixed values of the format: tag numbers, field sizes and compression codes.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
-STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_BYTES = 273, 277, 278, 279
+STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_BYTES, PLANAR = 273, 277, 278, 279, 284
 PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_BYTES = 317, 322, 323, 324, 325
 FIELD = {1: "B", 3: "H", 4: "I"}
 NONE, LZW, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946
@@ -41,21 +50,23 @@ def unpack_bits(data: bytes) -> bytes:
     return bytes(out)
 
 
+_RUN = re.compile(rb"(.)\1{2,127}", re.S)
+
+
 def pack_bits(row: bytes) -> bytes:
-    out, i, n = bytearray(), 0, len(row)
-    while i < n:
-        run = 1
-        while run < 128 and i + run < n and row[i + run] == row[i]:
-            run += 1
-        if run > 2:
-            out += bytes((257 - run, row[i]))
-            i += run
-            continue
-        j = i
-        while j < n and j - i < 128 and not (j + 2 < n and row[j] == row[j + 1] == row[j + 2]):
-            j += 1
-        out += bytes((j - i - 1,)) + row[i:j]
-        i = j
+    out, at = bytearray(), 0
+
+    def literal(a: int, b: int) -> None:
+        for i in range(a, b, 128):
+            part = row[i:min(i + 128, b)]
+            out.append(len(part) - 1)
+            out.extend(part)
+
+    for m in _RUN.finditer(row):
+        literal(at, m.start())
+        out.extend((257 - (m.end() - m.start()), row[m.start()]))
+        at = m.end()
+    literal(at, len(row))
     return bytes(out)
 
 
@@ -208,6 +219,8 @@ def decode(data: bytes) -> Iterator[tuple[int, int, np.ndarray]]:
         compression, predictor = one(COMPRESSION, 1), one(PREDICTOR, 1)
         if set(tags.get(BITS, (1,))) != {8} or compression not in CODECS or predictor not in (1, 2):
             raise ValueError("only 8-bit samples with known compression and predictor")
+        if s > 1 and one(PLANAR, 1) != 1:
+            raise ValueError("only samples stored together")
         unpack, pixels = CODECS[compression][1], np.zeros((h, w, s), np.uint8)
         tw, th = (one(TILE_WIDTH), one(TILE_HEIGHT)) if TILE_OFFSETS in tags else (w, one(ROWS_PER_STRIP, h))
         places = zip(tags[TILE_OFFSETS], tags[TILE_BYTES]) if TILE_OFFSETS in tags else zip(tags[STRIP_OFFSETS], tags[STRIP_BYTES])
@@ -228,56 +241,59 @@ PAGE_SCHEMA = "page int, width int, height int, samples int, compression int, pr
 def tiff_pages(df: DataFrame, content: str = "content") -> DataFrame:
     """One row per page: the columns of ``df`` and those of PAGE_SCHEMA (which replace any of that name)."""
     names = [x.split()[0] for x in PAGE_SCHEMA.split(", ")]
-    kept = df.drop(*(n for n in names if n != content))
-    schema = ", ".join(f"`{c}` {t}" for c, t in kept.dtypes) + ", " + PAGE_SCHEMA
+    kept = [c for c in df.columns if c not in names]
+    schema = ", ".join(f"`{c}` {t}" for c, t in df.dtypes if c in kept) + ", " + PAGE_SCHEMA
 
-    def rows(data: bytes | None) -> list[tuple]:
+    def rows(data: bytes | None) -> Iterator[tuple]:
         try:
             if not data:
                 raise ValueError("no content")
-            return [(k, p.shape[1], p.shape[0], p.shape[2], c, q, p.tobytes(), None) for k, (c, q, p) in enumerate(decode(data))]
+            for k, (c, q, p) in enumerate(decode(data)):
+                yield k, p.shape[1], p.shape[0], p.shape[2], c, q, p.tobytes(), None
         except (ValueError, KeyError, TypeError, IndexError, struct.error, zlib.error) as e:
-            return [(None,) * 7 + (f"{type(e).__name__}: {e}",)]
+            yield (None,) * 7 + (f"{type(e).__name__}: {e}",)
+
+    target = to_arrow_schema(StructType.fromDDL(PAGE_SCHEMA))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for lo in range(0, len(pdf), 128):
-                part = pdf.iloc[lo:lo + 128].reset_index(drop=True)
-                found = [(i, *r) for i, data in enumerate(part[content]) for r in rows(data)]
-                made = pd.DataFrame(found, columns=["_row", *names])
-                made[names[:6]] = made[names[:6]].astype("Int32")
-                yield pd.concat([part.iloc[made.pop("_row")].reset_index(drop=True), made], axis=1)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 128):
+                part = batch.slice(lo, 128)
+                found = [(i, *r) for i, data in enumerate(part[content].to_pylist()) for r in rows(data)]
+                which, *made = zip(*found)
+                old = part.select(kept).take(pa.array(which))
+                yield pa.RecordBatch.from_arrays(
+                    [*old.columns, *(pa.array(x, f.type) for x, f in zip(made, target))], names=[*kept, *names])
 
-    return kept.mapInPandas(run, schema)
+    # a column that is replaced may still be the content
+    return df.select(*(f"`{c}`" for c in dict.fromkeys([*kept, content]))).mapInArrow(run, schema)
 
 
 ROW = 576
-LARGE_ROWS = 96
+PAGE_ROWS = 48
+#: (compression, predictor, tile) of the forms in which texts are stored.
+FORMS = ((PACKBITS, 1, None), (LZW, 1, None), (DEFLATE, 2, None), (DEFLATE, 2, (192, 96)), (LZW, 2, (288, 32)), (NONE, 1, None))
 
 
 def store_text(text: str | None) -> tuple[int, bytes]:
-    """(bytes of the text, TIFF file of them): 255 fills up the last of the 576-byte rows.
+    """(bytes of the text, TIFF file of them): 255 fills up the last of the 576-byte rows, PAGE_ROWS rows are a page.
 
-    One row is stored by PackBits, two by LZW, more by deflate after differencing; long
-    texts as tiles. The choice follows the length, so equal texts are stored alike.
+    A checksum of the text picks the form, so that each decoder meets texts of every length and
+    equal texts are stored alike.
     """
     raw = (text or "").encode()
     rows = max(1, -(-len(raw) // ROW))
-    page = np.frombuffer(raw + b"\xff" * (rows * ROW - len(raw)), np.uint8).reshape(rows, ROW)
-    if rows <= 2:
-        return len(raw), encode([page], PACKBITS if rows == 1 else LZW)
-    return len(raw), encode([page], DEFLATE, 2, tile=(192, 96) if rows >= LARGE_ROWS else None)
+    image = np.frombuffer(raw + b"\xff" * (rows * ROW - len(raw)), np.uint8).reshape(rows, ROW)
+    compression, predictor, tile = FORMS[zlib.crc32(raw) % len(FORMS)]
+    return len(raw), encode([image[k:k + PAGE_ROWS] for k in range(0, rows, PAGE_ROWS)], compression, predictor, 16, tile)
 
 
 def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, content: every whole text as a TIFF file."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for lo in range(0, len(pdf), 256):
-                part = pdf.iloc[lo:lo + 256]
-                made = [store_text(t) for t in part["text"]]
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "n_bytes": [n for n, _ in made], "content": [c for _, c in made]})
+    def step(part: dict[str, list]) -> dict[str, list]:
+        made = [store_text(t) for t in part["text"]]
+        return {"doc_id": part["doc_id"], "n_bytes": [n for n, _ in made], "content": [c for _, c in made]}
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(
-        run, "doc_id long, n_bytes long, content binary")
+    return map_lists(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")),
+                     lambda: step, "doc_id long, n_bytes long, content binary")

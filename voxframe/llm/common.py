@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from ..sources.scratch import materialize, scratch_root
+from ..sources.scratch import discard, materialize, scratch_root
 
-__all__ = ["documents", "free_name", "map_lists", "materialize", "scratch_root"]
+__all__ = ["discard", "documents", "free_name", "map_lists", "materialize", "scratch_root"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

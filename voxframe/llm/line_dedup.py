@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, materialize
+from .common import discard, free_name, materialize
 
 LEAST_UNITS = 5
 #: Pairs up to which both ends are sent to all tasks (two longs a pair).
@@ -85,7 +85,8 @@ def _candidates(classes: DataFrame, docs: DataFrame) -> DataFrame:
             "less_tail": "which = 0 and shorter", "less_head": "which = 1 and shorter", "whole": "which >= 2"}
     wanted = halves.join(shared, "half").groupBy("k1", "k2").agg(*(F.max(F.expr(role[r])).alias(r) for r in ROLES)).filter(
         " or ".join(ROLES))
-    places = classes.select("no_id", "doc_id", "line_no", "k1", "k2", "n").join(materialize(wanted, "roles"), ["k1", "k2"])
+    roles = materialize(wanted, "roles")
+    places = classes.select("no_id", "doc_id", "line_no", "k1", "k2", "n").join(roles, ["k1", "k2"])
     # numbered while narrow: texts are not moved for their order
     position = [F.col("no_id"), F.col("doc_id"), F.col("line_no"), F.col("k1")]
     placed = materialize(places.repartitionByRange(*position).sortWithinPartitions(*position).withColumn("ord", F.monotonically_increasing_id()), "places")
@@ -95,7 +96,9 @@ def _candidates(classes: DataFrame, docs: DataFrame) -> DataFrame:
         (F.xxhash64("line") == F.col("k1")) & (F.xxhash64(F.lit(1), "line") == F.col("k2")))
     if docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count():
         found = found.dropDuplicates(["k1", "k2"])
-    return found.select("k1", "k2", "n", *ROLES, "ord", units_of(F.col("line")).alias("w"))
+    lines = materialize(found.select("k1", "k2", "n", *ROLES, "ord", units_of(F.col("line")).alias("w")), "lines")
+    discard(roles, placed)
+    return lines
 
 
 #: Kinds of keys: one word deleted, with its place; one word deleted; the line itself, to meet the second.
@@ -148,9 +151,7 @@ def within_one_edit(a: Column, b: Column) -> Column:
 
 def near_classes(classes: DataFrame, docs: DataFrame) -> DataFrame:
     """k1, k2 of the classes that have a near line earlier than their own first position."""
-    spark = docs.sparkSession
-    candidates = _candidates(classes, docs)
-    lines = materialize(candidates, "lines")
+    lines = _candidates(classes, docs)
     variants = materialize(_variants(lines), "variants")
     least = lambda kind, name: F.min(F.when(F.col("kind") == kind, F.col("ord"))).alias(name)
     meets = variants.groupBy("key").agg(
@@ -158,18 +159,21 @@ def near_classes(classes: DataFrame, docs: DataFrame) -> DataFrame:
         "same < most or (less is not null and all is not null)")
     partner = F.when(F.col("kind") == SAME, F.col("same")).when(F.col("kind") == LESS, F.col("all")).otherwise(F.col("less"))
     hits = materialize(variants.join(meets, "key").select("ord", partner.alias("earlier")).filter("earlier < ord").distinct(), "hits")
+    discard(variants)
     # few hits are sent to the lines, so that only the lines concerned are moved; many are joined by shuffle
     either = hits.select(F.explode(F.array("ord", "earlier")).alias("ord")).distinct()
     met = lines.select("ord", "k1", "k2", "w").join(F.broadcast(either) if hits.count() <= SENT_HITS else either, "ord", "left_semi")
     pairs = hits.join(met.withColumnRenamed("w", "a"), "ord").join(met.select(F.col("ord").alias("earlier"), F.col("w").alias("b")), "earlier")
-    return pairs.filter(within_one_edit(F.col("a"), F.col("b"))).select("k1", "k2").distinct()
+    near = materialize(pairs.filter(within_one_edit(F.col("a"), F.col("b"))).select("k1", "k2").distinct(), "near-classes")
+    discard(lines, hits)
+    return near
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with ``text`` reduced to the lines kept; all other columns as they are."""
     named = docs.select("doc_id", "text")
     classes = materialize(line_classes(named), "line-classes")
-    near = materialize(near_classes(classes, named), "near-classes")
+    near = near_classes(classes, named)
     kept_name, id_name, lines_name = (free_name(docs, n) for n in ("kept", "id", "lines"))
     kept = classes.join(near, ["k1", "k2"], "left_anti").groupBy("doc_id").agg(
         F.collect_list("line_no").alias(kept_name)).withColumnRenamed("doc_id", id_name)

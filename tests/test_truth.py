@@ -23,7 +23,8 @@ SIZES = [(0, N, N, N)]
     ("box", [(i, j, k) for i in range(N) for j in range(N) for k in range(N)], "ok", 1.0),
     ("channel", [(3, 3, k) for k in range(N)], "ok", 1.0),
     ("stair", [(k, 3, k) for k in range(N)], "ok", math.sqrt(2)),
-    ("blocked", [(3, 3, k) for k in range(N) if k != 4], "no path", None),
+    ("blocked", [], "no open planes", None),
+    ("gap", [(3, 3, k) for k in range(N) if k != 2], "no path", None),
 ])
 def test_tortuosity(spark, case, cells, status, ratio):
     sizes = spark.createDataFrame(SIZES, "sample_id long, ni int, nj int, nk int")

@@ -183,19 +183,28 @@ def inside_mesh(points: DataFrame, triangles: DataFrame, point_id: list[str], ce
 
     For each ray, points and triangles are projected along it onto the plane of the other two
     axes, so that a ray is a point there and meets only triangles whose projected boxes cover its cell.
+    All rays go through one join on (ray, cell) and one aggregate; triangles that end before the point
+    are left out before the exact test.
     """
-    votes = []
-    for axis, ray in enumerate(RAYS):
-        others = [a for a in range(3) if a != axis]
-        flat = lambda prefix: [F.col(prefix + "xyz"[o]) - F.col(prefix + "xyz"[axis]) * (ray[o] / ray[axis]) for o in others]
-        tri = triangles
-        for n, c in enumerate(CELL[:2]):
-            shades = [flat(v)[n] for v in "abc"]
-            tri = tri.withColumn(c, F.explode(F.sequence(F.floor(F.least(*shades) / cell).cast("int"), F.floor(F.greatest(*shades) / cell).cast("int"))))
-        here = points.select(by, *point_id, "x", "y", "z", *(F.floor(e / cell).cast("int").alias(c) for e, c in zip(flat(""), CELL)))
-        hit = g.ray_meets_triangle(g.vec(), tuple(g.lit(r) for r in ray), *corners())
-        votes.append(here.join(tri, [by, *CELL[:2]]).filter(hit.isNotNull()).groupBy(by, *point_id).agg((F.count("*") % 2).alias("odd")))
-    return reduce(DataFrame.unionByName, votes).groupBy(by, *point_id).agg(F.sum("odd").alias("votes")).filter("votes >= 2").drop("votes")
+    def flat(prefix: str, axis: int) -> list[Column]:
+        return [F.col(prefix + "xyz"[o]) - F.col(prefix + "xyz"[axis]) * (RAYS[axis][o] / RAYS[axis][axis]) for o in range(3) if o != axis]
+
+    def covered(axis: int, n: int) -> Column:
+        shades = [flat(v, axis)[n] for v in "abc"]
+        return F.sequence(F.floor(F.least(*shades) / cell).cast("int"), F.floor(F.greatest(*shades) / cell).cast("int"))
+
+    def each_ray(u, v, reach) -> Column:
+        return F.explode(F.array(*(F.struct(F.lit(a).alias("ray"), u(a).alias("u"), v(a).alias("v"), reach(a).alias("reach")) for a in range(3))))
+
+    tri = triangles.withColumn("_t", each_ray(lambda a: covered(a, 0), lambda a: covered(a, 1), lambda a: F.greatest(*(F.col(c + "xyz"[a]) for c in "abc"))))
+    tri = tri.withColumns({"ray": F.col("_t.ray"), CELL[0]: F.explode("_t.u")}).withColumn(CELL[1], F.explode("_t.v")).withColumn("_reach", F.col("_t.reach")).drop("_t")
+    cut = lambda n: lambda a: F.floor(flat("", a)[n] / cell).cast("int")
+    here = points.select(by, *point_id, "x", "y", "z").withColumn("_p", each_ray(cut(0), cut(1), lambda a: F.col("xyz"[a]))).select(
+        by, *point_id, "x", "y", "z", F.col("_p.ray").alias("ray"), F.col("_p.u").alias(CELL[0]), F.col("_p.v").alias(CELL[1]), F.col("_p.reach").alias("_from"))
+    ray = tuple(F.when(F.col("ray") == 0, RAYS[0][d]).when(F.col("ray") == 1, RAYS[1][d]).otherwise(RAYS[2][d]) for d in range(3))
+    met = here.join(tri, [by, "ray", *CELL[:2]]).filter("_reach >= _from").filter(g.ray_meets_triangle(g.vec(), ray, *corners()).isNotNull())
+    odd = [(F.count_if(F.col("ray") == a) % 2) for a in range(3)]
+    return met.groupBy(by, *point_id).agg((odd[0] + odd[1] + odd[2]).alias("_votes")).filter("_votes >= 2").drop("_votes")
 
 
 def mesh_signed_distance(points: DataFrame, triangles: DataFrame, point_id: list[str], cell: float, by: str = "sample_id") -> DataFrame:

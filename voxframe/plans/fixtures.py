@@ -102,7 +102,8 @@ def with_views(sql: str) -> str:
                     needed.append(name)
 
     visit(sql)
-    head = ", ".join(f"{n} AS ({VIEWS[n]})" for n in needed)
+    # views are used several times: without the word each use would compute them anew
+    head = ", ".join(f"{n} AS MATERIALIZED ({VIEWS[n]})" for n in needed)
     if not head:
         return sql
     recursive = re.match(r"\s*WITH\s+RECURSIVE\s+", sql, re.I)

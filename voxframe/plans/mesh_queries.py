@@ -182,7 +182,7 @@ MESH_POINTS = "SELECT point_id % (SELECT count(*) FROM supplier) + 1 AS sample_i
 
 @query("sj6_inside_mesh", "l:sample_id,point_id", f"SELECT p.sample_id, p.point_id FROM ({MESH_POINTS}) p JOIN image m ON m.sample_id=p.sample_id AND m.i=floor(p.x) AND m.j=floor(p.y) AND m.k=floor(p.z)")
 def _(f):
-    return spatial.inside_mesh(_mesh_points(f), f.skin(), ["point_id"], cell=2.0)
+    return spatial.inside_mesh(_mesh_points(f), materialize(f.skin(), "skin"), ["point_id"], cell=2.0)
 
 
 #: Distance to a set of unit squares, two triangles each: per square clamp in its plane.
@@ -192,7 +192,7 @@ SQUARES = """SELECT sample_id, tri_id, min(x) AS x0, max(x) AS x1, min(y) AS y0,
 @query("sj5_nearest_triangle", "l:sample_id,point_id d:distance", f"""SELECT p.sample_id, p.point_id, min(sqrt(greatest(x0-p.x,0,p.x-x1)*greatest(x0-p.x,0,p.x-x1)+greatest(y0-p.y,0,p.y-y1)*greatest(y0-p.y,0,p.y-y1)+greatest(z0-p.z,0,p.z-z1)*greatest(z0-p.z,0,p.z-z1))) AS distance
     FROM ({MESH_POINTS}) p JOIN ({SQUARES}) s ON s.sample_id=p.sample_id GROUP BY ALL""")
 def _(f):
-    return spatial.nearest_triangle(_mesh_points(f), f.skin(), ["point_id"], cell=2.0)
+    return spatial.nearest_triangle(_mesh_points(f), materialize(f.skin(), "skin"), ["point_id"], cell=2.0)
 
 
 # 2.1 files: written from the mesh or image and read back

@@ -162,9 +162,9 @@ def _(f):
     return tables.load_table(f.spark, path, "image").groupBy("sample_id").agg(F.count("*").alias("images")).join(seeds, "sample_id", "left").na.fill(0, ["seeds"])
 
 
-@query("io9_broken_references", "l:sample_id,point_id", "SELECT sample_id, point_id FROM points WHERE sample_id NOT IN (SELECT sample_id FROM seeds WHERE p_size < 3)")
+@query("io9_broken_references", "l:sample_id,point_id", "SELECT sample_id, point_id FROM points WHERE sample_id NOT IN (SELECT sample_id FROM seeds WHERE sample_id % 5 <> 0)")
 def _(f):
-    return tables.broken_references(f.common("points"), f.common("seeds").filter("p_size < 3"), "sample_id")
+    return tables.broken_references(f.common("points"), f.common("seeds").filter("sample_id % 5 <> 0"), "sample_id")
 
 
 @query("io11_metrics_csv", "l:sample_id d:thickness,volume,smi", "SELECT seed_id AS sample_id, x AS thickness, CASE WHEN p_size=1 THEN NULL ELSE CAST(p_size AS DOUBLE)-2 END AS volume, NULL AS smi FROM seeds")

@@ -271,8 +271,9 @@ def tiff_pages(df: DataFrame, content: str = "content") -> DataFrame:
 
 ROW = 576
 PAGE_ROWS = 48
-#: (compression, predictor, tile) of the forms in which texts are stored.
-FORMS = ((PACKBITS, 1, None), (LZW, 1, None), (DEFLATE, 2, None), (DEFLATE, 2, (192, 96)), (LZW, 2, (288, 32)), (NONE, 1, None))
+#: (compression, predictor, tile) of the forms in which texts are stored, an equal share of texts each.
+FORMS = ((PACKBITS, 1, None), (PACKBITS, 1, (192, 96)), (LZW, 1, None), (DEFLATE, 1, None), (DEFLATE, 2, None), (DEFLATE, 2, (192, 96)),
+         (OLD_DEFLATE, 2, (288, 32)), (NONE, 1, None))
 
 
 def store_text(text: str | None) -> tuple[int, bytes]:

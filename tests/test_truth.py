@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from voxframe.operators import graph, measure, sampling, spatial, surface
+from voxframe.operators import graph, grid, measure, sampling, spatial, surface
 from voxframe.sources import mesh_files
 
 N = 6
@@ -34,6 +34,42 @@ def test_tortuosity(spark, case, cells, status, ratio):
         assert got["tortuosity"] == pytest.approx(ratio, abs=1e-3)
 
 
+def test_end_distance_ratio(spark):
+    """A way one step aside for two slices: length over the distance of its ends, which is the axial one here."""
+    cells = [(3, 3, 0), (3, 3, 1), (4, 3, 2), (4, 3, 3), (3, 3, 4), (3, 3, 5)]
+    sizes = spark.createDataFrame(SIZES, "sample_id long, ni int, nj int, nk int")
+    got = measure.tortuosity(opened(spark, cells), sizes, mode=1).first()
+    assert got["status"] == "ok" and got["tortuosity"] == pytest.approx((2 * math.sqrt(2) + 1) / 3, abs=1e-6)
+    stair = measure.tortuosity(opened(spark, [(k, 3, k) for k in range(N)]), sizes, mode=1).first()
+    assert stair["tortuosity"] == pytest.approx(1.0)
+
+
+@pytest.mark.parametrize("cells, status, ratio", [
+    ([(3, 3, k) for k in range(N)], "ok", 1.0),
+    ([(2, 2, 0), (3, 3, 1), (2, 2, 2), (3, 3, 3), (2, 2, 4), (3, 3, 5)], "ok", 5 * math.sqrt(3) / 6),
+    ([(0, 0, k) for k in range(N)], "no open planes", None),
+    ([(3, 3, k) for k in range(N) if k != 3], "no path", None),
+    ([], "no open planes", None),
+])
+def test_plane_tortuosity(spark, cells, status, ratio):
+    sizes = spark.createDataFrame(SIZES, "sample_id long, ni int, nj int, nk int")
+    got = measure.plane_tortuosity(opened(spark, cells), sizes, margin=2).first()
+    assert got["status"] == status and got["tortuosity"] == (pytest.approx(ratio) if ratio else None)
+
+
+def test_window_choices(spark):
+    box = "sample_id long, xmin double, xmax double, ymin double, ymax double, zmin double, zmax double"
+    samples = spark.createDataFrame([(1, 0.0, 10.0, 0.0, 10.0, 0.0, 10.0)], box)
+    bounds = spark.createDataFrame([(1, 2.0, 12.0, 1.0, 9.0, -1.0, 5.0)], box)
+    rois = spark.createDataFrame([(1, 7, 0.0, 3.0, 0.0, 3.0, 0.0, 3.0), (1, 8, 20.0, 30.0, 0.0, 3.0, 0.0, 3.0)], box.replace("long,", "long, roi_id long,", 1))
+    mesh = grid.choose_windows(samples, bounds, choice="mesh").first()
+    assert (mesh["xmin"], mesh["xmax"], mesh["zmin"], mesh["status"]) == (2.0, 10.0, 0.0, "ok")
+    found = {r["roi_id"]: r for r in grid.choose_windows(samples, bounds, rois, "roi").collect()}
+    assert (found[7]["xmin"], found[7]["ymin"], found[7]["status"], found[8]["status"]) == (2.0, 1.0, "ok", "empty")
+    with pytest.raises(ValueError):
+        grid.choose_windows(samples, bounds, choice="all")
+
+
 def components(edges):
     parent = {}
 

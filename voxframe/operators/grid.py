@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.geometry import lit
 
 CELL = ["i", "j", "k"]
+#: Side of the bricks by which regions find their voxels.
+BRICK = 16
 
 
 def grid_size(extent: Column, step: Column, rule: str = "ceil") -> Column:
@@ -59,10 +61,27 @@ def clip_regions(rois: DataFrame, bounds: DataFrame) -> DataFrame:
     return cut.withColumn("status", F.when(full, "ok").otherwise("empty"))
 
 
+def choose_windows(samples: DataFrame, bounds: DataFrame | None = None, rois: DataFrame | None = None, choice: str = "grid") -> DataFrame:
+    """sample_id, roi_id, xmin..zmax, status: the boxes to which measures of a sample are limited.
+
+    ``grid`` is the whole grid, ``mesh`` the bounds of the sample's mesh, ``roi`` its regions cut to these
+    bounds; all are cut to the grid. Status ``empty`` where nothing is left.
+    """
+    if choice not in ("grid", "mesh", "roi"):
+        raise ValueError(f"unknown window {choice}")
+    box = [f"{a}{m}" for a in "xyz" for m in ("min", "max")]
+    if choice == "roi":
+        wanted = clip_regions(rois, bounds).drop("status")
+    else:
+        wanted = (samples if choice == "grid" else bounds).select("sample_id", F.lit(0).cast("long").alias("roi_id"), *box)
+    return clip_regions(wanted, samples)
+
+
 def extract_regions(voxels: DataFrame, rois: DataFrame, samples: DataFrame) -> DataFrame:
     """The part of the stored field in each region as a sample (sample_id, roi_id) of its own, indices from 0.
 
-    Bounds are snapped outwards to grid points and kept within the grid.
+    Bounds are snapped outwards to grid points and kept within the grid. Regions are met brick by brick,
+    so a voxel is only compared with regions that touch its brick.
     """
     axes = list(zip("xyz", CELL))
     meta = samples.select("sample_id", *(F.col(f"{a}min").alias(f"_{a}") for a in "xyz"), *(
@@ -70,7 +89,12 @@ def extract_regions(voxels: DataFrame, rois: DataFrame, samples: DataFrame) -> D
     snapped = rois.join(meta, "sample_id").select("sample_id", "roi_id", *(
         F.greatest(F.floor((F.col(f"{a}min") - F.col(f"_{a}")) / F.col(f"_d{a}")).cast("int"), F.lit(0)).alias(f"{c}0") for a, c in axes), *(
         F.least(F.ceil((F.col(f"{a}max") - F.col(f"_{a}")) / F.col(f"_d{a}")).cast("int"), F.col(f"n{a}") - 1).alias(f"{c}1") for a, c in axes))
-    hit = voxels.join(snapped, "sample_id")
+    brick = lambda c: F.floor(c / BRICK).cast("int")
+    for c in CELL:
+        snapped = snapped.filter(F.col(f"{c}0") <= F.col(f"{c}1"))
+    for c in CELL:
+        snapped = snapped.withColumn(f"_b{c}", F.explode(F.sequence(brick(F.col(f"{c}0")), brick(F.col(f"{c}1")))))
+    hit = voxels.withColumns({f"_b{c}": brick(F.col(c)) for c in CELL}).join(snapped, ["sample_id", *(f"_b{c}" for c in CELL)])
     for c in CELL:
         hit = hit.filter(F.col(c).between(F.col(f"{c}0"), F.col(f"{c}1")))
     return hit.select("sample_id", "roi_id", *((F.col(c) - F.col(f"{c}0")).alias(c) for c in CELL), "value")

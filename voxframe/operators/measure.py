@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..sources.scratch import materialize
-from .graph import shortest_paths
+from .graph import shortest_paths, trace_back
 
 CELL = ["i", "j", "k"]
 KEY = ["sample_id", *CELL]
@@ -265,17 +265,42 @@ def tortuosity(opened: DataFrame, sizes: DataFrame, axis: str = "k", voxel: floa
     span = planes.join(lasts, "sample_id").filter("_first < _last")
     inlets = usable.join(span, "sample_id").filter(F.col(axis) == F.col("_first")).select(*KEY)
     outlets = opened.join(span, "sample_id").filter(F.col(axis) == F.col("_last")).select(*KEY)
-    best = shortest_paths(opened.select(*KEY), MOVES, inlets, outlets)
+    best = shortest_paths(opened.select(*KEY), MOVES, inlets, outlets, parents=mode == 1)
     cost = best.join(outlets, KEY, "left_semi").groupBy("sample_id").agg(F.min(F.struct("cost", *CELL)).alias("_b"))
     out = n.join(span, "sample_id", "left").join(cost, "sample_id", "left")
     status = F.when(F.col(f"n{axis}") < 4, "too thin").when(F.col("_first").isNull(), "no open planes").when(F.col("_b").isNull(), "no path").otherwise("ok")
     length = F.col("_b.cost")
     ratio = F.greatest(F.lit(1.0), length / (F.col("_last") - F.col("_first")))
     if mode == 1:
-        raise ValueError("mode 1 needs the ends of the path: use endpoint_tortuosity")
+        ends = materialize(cost.select("sample_id", *(F.col(f"_b.{c}") for c in CELL), F.col("_b.cost").alias("length")), "ends")
+        ratio = F.col("_by_ends")
+        traced = endpoint_tortuosity(ends.select("sample_id", "length"), trace_back(best, ends))
+        out = out.join(traced.withColumnRenamed("tortuosity", "_by_ends"), "sample_id", "left")
     return out.select("sample_id", status.alias("status"), (length * voxel).alias("length"), ratio.alias("tortuosity"))
 
 
+def plane_tortuosity(opened: DataFrame, sizes: DataFrame, margin: int = 10, voxel: float = 1.0) -> DataFrame:
+    """The older form along k: inlets in slice 0, ``margin`` voxels from its sides, outlets anywhere in the last slice.
+
+    Ways keep one voxel from the sides. sample_id, status (ok, no open planes, no path), length and length
+    over the extent of the sample along k, at least 1; null unless ok.
+    """
+    n = sizes.select("sample_id", *(F.col(f"n{c}") for c in CELL))
+    within = lambda low: reduce(lambda a, b: a & b, (F.col(c).between(low, F.col(f"n{c}") - 1 - low) for c in CELL[:2]))
+    sized = opened.join(n, "sample_id")
+    inlets = sized.filter((F.col("k") == 0) & within(margin)).select(*KEY)
+    nodes = sized.filter(within(1)).select(*KEY)
+    outlets = sized.filter((F.col("k") == F.col("nk") - 1) & within(1)).select(*KEY)
+    # an inlet on the rim itself may start a way that none may enter again
+    best = shortest_paths(nodes.unionByName(inlets).distinct(), MOVES, inlets, outlets)
+    cost = best.join(outlets, KEY, "left_semi").groupBy("sample_id").agg(F.min("cost").alias("_cost"))
+    out = n.join(inlets.select("sample_id").distinct().withColumn("_in", F.lit(True)), "sample_id", "left").join(cost, "sample_id", "left")
+    status = F.when(F.col("_in").isNull(), "no open planes").when(F.col("_cost").isNull(), "no path").otherwise("ok")
+    return out.select("sample_id", status.alias("status"), (F.col("_cost") * voxel).alias("length"),
+                      F.greatest(F.lit(1.0), F.col("_cost") / F.col("nk")).alias("tortuosity")).withColumn(
+        "tortuosity", F.when(F.col("status") == "ok", F.col("tortuosity")))
+
+
 def endpoint_tortuosity(paths: DataFrame, ends: DataFrame) -> DataFrame:
     """Length over the straight distance of a path's two ends, from traced rows (step 0 at the outlet)."""
     first = ends.groupBy("sample_id").agg(F.min(F.struct("step", *CELL)).alias("a"), F.max(F.struct("step", *CELL)).alias("b"))

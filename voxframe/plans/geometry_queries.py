@@ -150,6 +150,27 @@ def _(f):
     return grid.clip_regions(_rois(f), bounds)
 
 
+MESH_BOX = "SELECT sample_id, min(x) AS xmin, max(x) AS xmax, min(y) AS ymin, max(y) AS ymax, min(z) AS zmin, max(z) AS zmax FROM seeds GROUP BY sample_id"
+
+
+@query("im2_windows", "l:sample_id,roi_id,points,solid s:choice", f"""WITH box AS ({MESH_BOX}), want AS (
+    SELECT 'grid' AS choice, sample_id, 0 AS roi_id, -1.0 AS xmin, 99.0 AS xmax, -1.0 AS ymin, 99.0 AS ymax, -1.0 AS zmin, 99.0 AS zmax FROM ids
+    UNION ALL SELECT 'mesh', sample_id, 0, xmin, xmax, ymin, ymax, zmin, zmax FROM box
+    UNION ALL SELECT 'roi', b.sample_id, roi_id, greatest(r.xmin,b.xmin), least(r.xmax,b.xmax), greatest(r.ymin,b.ymin), least(r.ymax,b.ymax), greatest(r.zmin,b.zmin), least(r.zmax,b.zmax) FROM box b JOIN ({ROIS}) r USING (sample_id)),
+    cut AS (SELECT choice, sample_id, roi_id, greatest(xmin,0) AS xmin, least(xmax,{STEP * (N - 1)}) AS xmax, greatest(ymin,0) AS ymin, least(ymax,{STEP * (N - 1)}) AS ymax, greatest(zmin,0) AS zmin, least(zmax,{STEP * (N - 1)}) AS zmax FROM want)
+    SELECT f.sample_id, choice, roi_id, count(*) AS points, count(*) FILTER (value < 0.5) AS solid FROM field f JOIN cut c ON c.sample_id = f.sample_id AND xmin < xmax AND ymin < ymax AND zmin < zmax
+    AND i BETWEEN floor(xmin/{STEP}) AND ceil(xmax/{STEP}) AND j BETWEEN floor(ymin/{STEP}) AND ceil(ymax/{STEP}) AND k BETWEEN floor(zmin/{STEP}) AND ceil(zmax/{STEP}) GROUP BY ALL""")
+def _(f):
+    """Points and solid points of the stored field in each kind of window."""
+    bounds = f.common("seeds").groupBy("sample_id").agg(*(e(a).alias(f"{a}{m}") for a in "xyz" for m, e in (("min", F.min), ("max", F.max))))
+    parts = []
+    for choice in ("grid", "mesh", "roi"):
+        windows = grid.choose_windows(f.samples(), bounds, _rois(f), choice).filter("status = 'ok'")
+        inside = grid.extract_regions(f.field(), windows, f.samples())
+        parts.append(inside.groupBy("sample_id", "roi_id").agg(F.count("*").alias("points"), F.count_if(F.col("value") < 0.5).alias("solid")).withColumn("choice", L(choice)))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query("pr16_extract_regions", "l:sample_id,roi_id,i,j,k d:value", f"""SELECT f.sample_id, roi_id, i-i0 AS i, j-j0 AS j, k-k0 AS k, value FROM field f JOIN (SELECT sample_id, roi_id,
     greatest(floor(xmin/{STEP}),0) AS i0, greatest(floor(ymin/{STEP}),0) AS j0, greatest(floor(zmin/{STEP}),0) AS k0, least(ceil(xmax/{STEP}),{N - 1}) AS i1, least(ceil(ymax/{STEP}),{N - 1}) AS j1, least(ceil(zmax/{STEP}),{N - 1}) AS k1
     FROM ({ROIS})) r ON r.sample_id = f.sample_id AND i BETWEEN i0 AND i1 AND j BETWEEN j0 AND j1 AND k BETWEEN k0 AND k1""")
@@ -453,6 +474,16 @@ def _(f):
                             fields.edge_cage(v, fields.box_edge_distance(P, *BOX), d, L(0.7), iso).alias("caged"))
 
 
+@query("fd13_cylinder_rims", "l:sample_id,i,j,k d:caged", """SELECT sample_id, i, j, k, CASE WHEN greatest(r-8.0, -y, y-12.0)<=0 THEN least(value, sqrt((8.0-r)*(8.0-r)+least(y,12.0-y)*least(y,12.0-y))-0.7+0.4) ELSE value END AS caged
+    FROM (SELECT *, sqrt((x-8)*(x-8)+(z-8)*(z-8)) AS r FROM field)""")
+def _(f):
+    """A cylinder about the y axis: beams along its two rims, inside only."""
+    r = F.sqrt((F.col("x") - 8) * (F.col("x") - 8) + (F.col("z") - 8) * (F.col("z") - 8))
+    inside = F.greatest(r - 8.0, -F.col("y"), F.col("y") - 12.0)
+    rims = fields.cylinder_rim_distance(P, (L(8.0), L(8.0)), L(8.0), L(12.0))
+    return f.field().select("sample_id", "i", "j", "k", fields.edge_cage(F.col("value"), rims, inside, L(0.7), L(0.4)).alias("caged"))
+
+
 AROUND = """FROM field c JOIN field n ON n.sample_id=c.sample_id AND n.i BETWEEN c.i-1 AND c.i+1 AND n.j BETWEEN c.j-1 AND c.j+1 AND n.k BETWEEN c.k-1 AND c.k+1"""
 
 

@@ -180,11 +180,33 @@ def _(f):
     return measure.stale_metrics(s.drop("mesh_version"), s.select("sample_id", "mesh_version"), ["area", "smi"])
 
 
-@query("mt22_metric_rows", "l:sample_id,chi,solid d:area,volume", f"""SELECT m.sample_id, chi, solid, area, volume FROM ({VOLUME}) m JOIN ({CHI}) c USING (sample_id) JOIN (SELECT sample_id, count(*) AS solid FROM image GROUP BY sample_id) n USING (sample_id)""")
+@query("mt22_metric_rows", "l:sample_id,chi,solid d:area,volume,porosity,bs_bv,bs_tv,conn_d,tb_th", f"""SELECT m.sample_id, c.chi, solid, area, volume, 1-volume/1728.0 AS porosity, area/volume AS bs_bv, area/1728.0 AS bs_tv, conn_d, 2*volume/area AS tb_th
+    FROM ({VOLUME}) m JOIN ({CHI}) c USING (sample_id) JOIN (SELECT sample_id, count(*) AS solid FROM image GROUP BY sample_id) n USING (sample_id) JOIN (SELECT sample_id, (1-(v.n-e.n+t.n)/2.0)/1728.0 AS conn_d FROM {CHI_MESH.split(" FROM ", 1)[1]}) d USING (sample_id)""")
 def _(f):
+    """Size, surface and connectivity measures of each image as one row; mean thickness by the plate model."""
     image = f.image()
-    parts = [measure.mesh_area_volume(f.skin()), measure.euler_number(image), image.groupBy("sample_id").agg(F.count("*").alias("solid"))]
-    return measure.measure_all(parts, image.select("sample_id").distinct())
+    soup = materialize(f.skin(), "soup")
+    size = measure.mesh_area_volume(soup)
+    domain = image.select("sample_id").distinct().withColumn("domain_volume", L(float(SIDE**3)))
+    v, t = (materialize(part, "mesh") for part in surface.weld(soup, 1e-6))
+    parts = [size, measure.mesh_ratios(size, domain).select("sample_id", "porosity", "bs_bv", "bs_tv"), measure.euler_number(image),
+             measure.connectivity_density(v, t, domain).select("sample_id", "conn_d"), image.groupBy("sample_id").agg(F.count("*").alias("solid")),
+             size.select("sample_id", F.try_divide(F.col("volume") * 2, F.col("area")).alias("tb_th"))]
+    return measure.measure_all(parts, domain)
+
+
+@query("mt16_end_distance_ratio", "l:sample_id s:status d:length,tortuosity")
+def _(f):
+    """The shortest way over the straight distance of its ends."""
+    image = f.voxels()
+    return measure.tortuosity(image.filter("not solid"), measure.image_sizes(image), voxel=0.5, mode=1)
+
+
+@query("mt18_plane_tortuosity", "l:sample_id s:status d:length,tortuosity")
+def _(f):
+    """The older form, with inlets four voxels from the sides, as images here are small."""
+    image = f.voxels()
+    return measure.plane_tortuosity(image.filter("not solid"), measure.image_sizes(image), margin=4, voxel=0.5)
 
 
 # the chain from seeds to metrics

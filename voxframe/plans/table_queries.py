@@ -167,6 +167,38 @@ def _(f):
     return tables.broken_references(f.common("points"), f.common("seeds").filter("sample_id % 5 <> 0"), "sample_id")
 
 
+@query("io10_recipe_csv", "l:sample_id d:UniformThickness,Openess,Spread,FrameBeam", """SELECT seed_id AS sample_id, x AS UniformThickness,
+    CASE WHEN p_size % 3 = 0 THEN NULL ELSE CAST(p_size AS DOUBLE) END AS Openess, NULL AS Spread, CASE WHEN p_size=1 THEN NULL ELSE CAST(p_size AS DOUBLE)-2 END AS FrameBeam FROM seeds""")
+def _(f):
+    path = _folder(f, "recipes")
+    openness = F.when(F.col("p_size") % 3 != 0, F.col("p_size").cast("double"))
+    tables.write_recipes(f.common("seeds").select(F.col("seed_id").alias("sample_id"), F.col("x").alias("UniformThickness"), openness.alias("Openess"), (F.col("p_size") - 2.0).alias("FrameBeam")), path)
+    return tables.read_recipes(f.spark, path)
+
+
+@query("io13_results_csv", "l:rows,columns d:thickness,pullback,radius_min", "SELECT count(*) AS rows, 7 AS columns, sum(x) AS thickness, sum(y) AS pullback, sum(z) AS radius_min FROM seeds", digits=3)
+def _(f):
+    path = _folder(f, "results")
+    tables.write_results(f.common("seeds").select(F.col("seed_id").alias("sample_id"), F.col("z").alias("radius_min"), (F.col("z") + 1).alias("radius_max"), F.col("x").alias("thickness"),
+                                                  F.col("y").alias("pullback"), F.col("x").alias("volume"), F.col("y").alias("smi")), path, "varied")
+    back = f.spark.read.csv(path, header=True, inferSchema=True)
+    return back.agg(F.count("*").alias("rows"), *(F.sum(c).alias(c) for c in ("thickness", "pullback", "radius_min"))).withColumn("columns", L(len(back.columns)))
+
+
+@query("bt8_cohort_report", "l:sample_id,solid_voxels d:threshold,porosity", """SELECT sample_id, (sample_id%4)*0.25 AS threshold, count(*) FILTER (v<0.8) AS solid_voxels, 1-CAST(count(*) FILTER (v<0.8) AS DOUBLE)/count(*) AS porosity
+    FROM (SELECT sample_id, (1-(sample_id%4)*0.25)*wall+(sample_id%4)*0.25*strut AS v FROM contrast) GROUP BY sample_id""")
+def _(f):
+    """Recipes of a cohort, the porosity of each and both tables written and read as a report."""
+    from ..operators import fields
+
+    path = _folder(f, "report")
+    cohort = f.samples().select("sample_id", (F.col("sample_id") % 4 * 0.25).alias("threshold"), L(0.8).alias("iso"))
+    contrasts = fields.contrasts(f.grid(), f.common("seeds")).join(cohort, "sample_id")
+    field = contrasts.withColumn("value", fields.blend(F.col("wall"), F.col("strut"), F.col("threshold")))
+    tables.write_report(cohort, fields.porosity(field, 0.8), path)
+    return tables.read_report(f.spark, path)
+
+
 @query("io11_metrics_csv", "l:sample_id d:thickness,volume,smi", "SELECT seed_id AS sample_id, x AS thickness, CASE WHEN p_size=1 THEN NULL ELSE CAST(p_size AS DOUBLE)-2 END AS volume, NULL AS smi FROM seeds")
 def _(f):
     path = _folder(f, "metrics")

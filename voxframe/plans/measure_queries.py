@@ -36,10 +36,22 @@ def _(f):
     return measure.mesh_ratios(m, m.select("sample_id", L(float(SIDE**3)).alias("domain_volume")))
 
 
-@query("mt3_structure_model_index", "l:sample_id b:finite", "SELECT DISTINCT sample_id, true AS finite FROM image")
+# normals of the vertices from the faces around them by area (where they cancel, the y axis), and the area of each face with its corners moved along them
+SMI = f"""WITH corner AS (SELECT f.sample_id, f.face_id, f.v1, f.v2, f.v3, a.x AS ax, a.y AS ay, a.z AS az, b.x AS bx, b.y AS bky, b.z AS bz, c.x AS cx, c.y AS cy, c.z AS cz FROM faces f
+    JOIN verts a ON a.sample_id=f.sample_id AND a.vertex_id=f.v1 JOIN verts b ON b.sample_id=f.sample_id AND b.vertex_id=f.v2 JOIN verts c ON c.sample_id=f.sample_id AND c.vertex_id=f.v3),
+    normal AS (SELECT *, (bky-ay)*(cz-az)-(bz-az)*(cy-ay) AS nx, (bz-az)*(cx-ax)-(bx-ax)*(cz-az) AS ny, (bx-ax)*(cy-ay)-(bky-ay)*(cx-ax) AS nz FROM corner),
+    around AS (SELECT sample_id, v, sum(nx) AS nx, sum(ny) AS ny, sum(nz) AS nz FROM (SELECT sample_id, v1 AS v, nx, ny, nz FROM normal UNION ALL SELECT sample_id, v2, nx, ny, nz FROM normal UNION ALL SELECT sample_id, v3, nx, ny, nz FROM normal) u GROUP BY ALL),
+    moved AS (SELECT v.sample_id, v.vertex_id, x+0.05*coalesce(nx/nullif(l,0),0) AS x, y+0.05*coalesce(ny/nullif(l,0),1) AS y, z+0.05*coalesce(nz/nullif(l,0),0) AS z
+        FROM (SELECT *, sqrt(nx*nx+ny*ny+nz*nz) AS l FROM around) n JOIN verts v ON v.sample_id=n.sample_id AND v.vertex_id=n.v),
+    grown AS (SELECT sample_id, sum(sqrt(p*p+q*q+r*r))/2 AS s FROM (SELECT f.sample_id, (b.y-a.y)*(c.z-a.z)-(b.z-a.z)*(c.y-a.y) AS p, (b.z-a.z)*(c.x-a.x)-(b.x-a.x)*(c.z-a.z) AS q, (b.x-a.x)*(c.y-a.y)-(b.y-a.y)*(c.x-a.x) AS r FROM faces f
+        JOIN moved a ON a.sample_id=f.sample_id AND a.vertex_id=f.v1 JOIN moved b ON b.sample_id=f.sample_id AND b.vertex_id=f.v2 JOIN moved c ON c.sample_id=f.sample_id AND c.vertex_id=f.v3) t GROUP BY sample_id)
+    SELECT m.sample_id, 6*volume*(s-area)/0.05/(area*area) AS smi FROM ({VOLUME}) m JOIN grown USING (sample_id)"""
+
+
+@query("mt3_structure_model_index", "l:sample_id d:smi", SMI, digits=5)
 def _(f):
     v, t = _mesh(f)
-    return measure.structure_model_index(v, t, 1.0).select("sample_id", (~F.isnan("smi") & (F.abs("smi") < 1e6)).alias("finite"))
+    return measure.structure_model_index(v, t, 1.0).select("sample_id", "smi")
 
 
 CHI_MESH = """SELECT v.sample_id, v.n-e.n+t.n AS chi, (1-(v.n-e.n+t.n)/2.0)/1728.0 AS conn_d FROM (SELECT sample_id, count(*) AS n FROM verts GROUP BY sample_id) v

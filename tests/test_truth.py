@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from voxframe.operators import graph, grid, measure, sampling, spatial, surface
+from voxframe.operators import bricks, graph, grid, measure, sampling, spatial, surface
 from voxframe.sources import mesh_files
 
 N = 6
@@ -106,7 +106,7 @@ def test_largest_part_by_brute_force(spark):
     for c, i in index.items():
         groups.setdefault(label.get(i, i), set()).add(c)
     want = max(groups.items(), key=lambda kv: (len(kv[1]), -kv[0]))[1]
-    got = {(r["i"], r["j"], r["k"]) for r in graph.largest_component(opened(spark, cells)).collect()}
+    got = {(r["i"], r["j"], r["k"]) for r in bricks.largest_component(opened(spark, cells)).collect()}
     assert got == {tuple(map(int, c)) for c in want}
 
 

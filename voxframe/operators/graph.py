@@ -1,17 +1,17 @@
-"""Graph tables: components, shortest paths, edits and look-ups of weighted graphs."""
+"""Graph tables: components, edits and look-ups of weighted graphs."""
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import materialize
 
-CELL = ["i", "j", "k"]
-
-
 def _star(edges: DataFrame, keys: list[str], large: bool) -> DataFrame:
     """Links every node's neighbours (the larger ones, or the others) to the least node nearby.
 
@@ -52,86 +52,69 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", keys: lis
 
 def component_sizes(nodes: DataFrame, edges: DataFrame, keys: list[str], node: str = "node") -> DataFrame:
     """keys, component, size over all nodes; a node without edges is its own component."""
-    labelled = nodes.join(connected_components(edges, keys=keys).withColumnRenamed("node", node), [*keys, node], "left")
+    labelled = nodes.join(contracted_components(edges, keys=keys).withColumnRenamed("node", node), [*keys, node], "left")
     return labelled.withColumn("component", F.coalesce("component", node)).groupBy(*keys, "component").agg(F.count("*").alias("size"))
 
 
-def voxel_id(span: int = 1 << 20) -> Column:
-    """One long per (i, j, k), i slowest, so that the least id is the first in i, j, k order."""
-    return (F.col("i").cast("long") * span + F.col("j")) * span + F.col("k")
-
-
-def voxel_components(solid: DataFrame, span: int = 1 << 20) -> DataFrame:
-    """sample_id, i, j, k, component over face neighbours among the given voxels."""
-    v = solid.select("sample_id", *CELL, voxel_id(span).alias("node"))
-    offsets = (span * span, span, 1)
-    edges = reduce(DataFrame.unionByName, (
-        v.select("sample_id", F.col("node").alias("a"), (F.col("node") + d).alias("b")).join(
-            v.select("sample_id", F.col("node").alias("b")), ["sample_id", "b"], "left_semi") for d in offsets))
-    found = connected_components(edges, keys=["sample_id"])
-    return v.join(found, ["sample_id", "node"], "left").select("sample_id", *CELL, F.coalesce("component", "node").alias("component"))
-
-
-def largest_component(solid: DataFrame) -> DataFrame:
-    """The voxels of each sample's largest face-connected part; of equal sizes the first in i, j, k order."""
-    labelled = voxel_components(solid)
-    sizes = labelled.groupBy("sample_id", "component").agg(F.count("*").alias("n"))
-    best = sizes.groupBy("sample_id").agg(F.max(F.struct(F.col("n"), (-F.col("component")).alias("c"))).alias("m")).select(
-        "sample_id", (-F.col("m.c")).alias("component"))
-    return labelled.join(best, ["sample_id", "component"], "left_semi").select("sample_id", *CELL)
-
+#: Edges that a task contracts at a time.
+CHUNK_EDGES = 1 << 20
 
-def remove_islands(field: DataFrame, iso: float, air: float) -> tuple[DataFrame, DataFrame]:
-    """(field with all but the largest solid part turned to air, counts per sample: components and voxels removed)."""
-    labelled = materialize(voxel_components(field.filter(F.col("value") < iso)), "labels")
-    sizes = labelled.groupBy("sample_id", "component").agg(F.count("*").alias("n"))
-    best = sizes.groupBy("sample_id").agg(F.max(F.struct(F.col("n"), (-F.col("component")).alias("c"))).alias("m"), F.count("*").alias("components"), F.sum("n").alias("solid"))
-    lost = labelled.join(best.select("sample_id", (-F.col("m.c")).alias("component")), ["sample_id", "component"], "left_anti").select(
-        "sample_id", *CELL, F.lit(air).alias("_air"))
-    cleaned = field.join(lost, ["sample_id", *CELL], "left").withColumn("value", F.coalesce("_air", "value")).drop("_air")
-    return cleaned, best.select("sample_id", F.col("components").alias("n_components"), (F.col("solid") - F.col("m.n")).alias("removed_voxels"))
 
+def contracted_components(edges: DataFrame, a: str = "a", b: str = "b", keys: list[str] | None = None) -> DataFrame:
+    """As ``connected_components`` for whole-number keys and nodes, contracted where the edges lie before any round.
 
-def shortest_paths(nodes: DataFrame, moves: list[tuple[int, int, int, float]], sources: DataFrame, targets: DataFrame, parents: bool = False) -> DataFrame:
-    """Least cost from any source to every node reached before the best target, per sample.
-
-    ``nodes``, ``sources``, ``targets``: sample_id, i, j, k. Only rows that got better in the last
-    round join their neighbours; a sample stops once its frontier costs no less than its best
-    target. Each round is stored. Returns sample_id, i, j, k, cost and, if asked for, the
-    move's origin (pi, pj, pk; of equal costs the first in order).
+    Edges are sorted by ranges of (keys, node), so that near ids fall into one task, which replaces up to CHUNK_EDGES
+    of them by one edge from each node to the least of its part. Nodes of one chunk only then wait outside; the rounds
+    hold the least nodes and those that several chunks share.
     """
-    key = ["sample_id", *CELL]
-    origin = F.struct(*(F.lit(None).cast("int").alias(f"p{c}") for c in CELL))
-    best = materialize(sources.select(*key).join(nodes, key, "left_semi").distinct().withColumn("cost", F.lit(0.0)).withColumn("parent", origin), "paths")
-    frontier = best
-    steps = F.array(*(F.struct(*(F.lit(d).alias(f"d{c}") for c, d in zip(CELL, m[:3])), F.lit(float(m[3])).alias("w")) for m in moves))
-    while True:
-        limit = best.join(targets, key, "left_semi").groupBy("sample_id").agg(F.min("cost").alias("_limit"))
-        live = frontier.join(limit, "sample_id", "left").filter("_limit is null or cost < _limit").withColumn("m", F.explode(steps))
-        reached = live.select("sample_id", *((F.col(c) + F.col(f"m.d{c}")).alias(c) for c in CELL), F.round(F.col("cost") + F.col("m.w"), 9).alias("cost"),
-                              F.struct(*(F.col(c).alias(f"p{c}") for c in CELL)).alias("parent"))
-        cheapest = reached.groupBy(*key).agg(F.min(F.struct("cost", "parent")).alias("b")).select(*key, "b.*").join(nodes.select(*key), key, "left_semi")
-        better = cheapest.join(best.select(*key, F.col("cost").alias("_old")), key, "left").filter("_old is null or cost < _old").drop("_old")
-        frontier = materialize(better, "frontier")
-        if not frontier.limit(1).count():
-            break
-        best = materialize(best.join(frontier.select(*key), key, "left_anti").unionByName(frontier), "paths")
-    return best.select(*key, "cost", "parent.*") if parents else best.drop("parent")
-
-
-def trace_back(paths: DataFrame, ends: DataFrame) -> DataFrame:
-    """Rows sample_id, step (0 at the end), i, j, k along the recorded origins of ``shortest_paths``."""
-    key = ["sample_id", *CELL]
-    at = materialize(ends.select(*key).withColumn("step", F.lit(0)), "trace")
-    parts, n = [at], 0
+    keys = keys or []
+    names = [*keys, "node", "root"]
+    schema = ", ".join(f"{n} long" for n in [*names, "chunk"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, chunks, held, n = TaskContext.get().partitionId(), 0, [], 0
+
+        def contract() -> pa.RecordBatch:
+            table = pa.Table.from_batches(held)
+            by = [table[k].to_numpy() for k in keys]
+            both = np.column_stack([*(np.concatenate([c, c]) for c in by), np.concatenate([table["a"].to_numpy(), table["b"].to_numpy()])])
+            order = np.lexsort(both.T[::-1])
+            new = np.concatenate([[True], (both[order][1:] != both[order][:-1]).any(axis=1)])
+            number = np.empty(len(both), np.int64)
+            number[order] = np.cumsum(new) - 1
+            things = both[order][new]
+            root = joined(len(things), number[:len(both) // 2], number[len(both) // 2:])
+            columns = [*things.T, things[root, -1], np.full(len(things), task * (1 << 32) + chunks)]
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=[*names, "chunk"])
+
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= CHUNK_EDGES:
+                yield contract()
+                chunks, held, n = chunks + 1, [], 0
+        if n:
+            yield contract()
+
+    rows = edges.select(*keys, F.least(a, b).cast("long").alias("a"), F.greatest(a, b).cast("long").alias("b")).filter("a <> b")
+    stars = materialize(rows.repartitionByRange(*keys, "a", "b").mapInArrow(run, schema), "contracted")
+    shared = stars.groupBy(*keys, "node").agg(F.count("*").alias("_n")).filter("_n > 1").drop("_n")
+    found = connected_components(stars.filter("node <> root").join(shared, [*keys, "node"], "left_semi"), "node", "root", keys).withColumnRenamed("node", "root")
+    return stars.join(found, [*keys, "root"], "left").groupBy(*keys, "node").agg(F.min(F.coalesce("component", "root")).alias("component"))
+
+
+def joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Least member of the component of each of ``n`` things under the links (a, b): hook the larger root, then halve all ways."""
+    root = np.arange(n)
     while True:
-        n += 1
-        at = materialize(at.join(paths, key).filter("pi is not null").select(
-            "sample_id", *(F.col(f"p{c}").alias(c) for c in CELL), (F.col("step") + 1).alias("step")), "trace")
-        if not at.limit(1).count():
-            break
-        parts.append(at)
-    return reduce(DataFrame.unionByName, parts).select("sample_id", "step", *CELL)
+        ra, rb = root[a], root[b]
+        apart = ra != rb
+        if not apart.any():
+            return root
+        a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
+        np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
+        while (root[root] != root).any():
+            root = root[root]
 
 
 # edits and look-ups: edges are (graph_id, a, b, ratio), read in both directions
@@ -167,7 +150,7 @@ def edges_by_ratio(edges: DataFrame, at_least: float | None = None, at_most: flo
 
 def network_sizes(edges: DataFrame) -> DataFrame:
     """graph_id, networks, size of the largest, from edges."""
-    found = connected_components(edges, keys=["graph_id"])
+    found = contracted_components(edges, keys=["graph_id"])
     sizes = found.groupBy("graph_id", "component").agg(F.count("*").alias("n"))
     return sizes.groupBy("graph_id").agg(F.count("*").alias("networks"), F.max("n").alias("largest"))
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..sources.scratch import materialize
-from .graph import shortest_paths, trace_back
+from .bricks import shortest_paths, trace_back
 
 CELL = ["i", "j", "k"]
 KEY = ["sample_id", *CELL]
@@ -246,31 +246,44 @@ def degree_of_anisotropy(mils: DataFrame, mode: int = 3) -> DataFrame:
 MOVES = [(x, y, z, math.sqrt(x * x + y * y + z * z)) for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1) if x or y or z]
 
 
-def tortuosity(opened: DataFrame, sizes: DataFrame, axis: str = "k", voxel: float = 1.0, mode: int = 0, margin: float = 0.15) -> DataFrame:
-    """sample_id, status, length, tortuosity of the shortest 26-connected way through the open voxels along ``axis``.
-
-    Inlets lie in the first slice (from 1) with open voxels inside the central window, outlets in the last
-    (from n - 2). Statuses: ok, too thin (under 4 slices), no open planes, no path. The ratio is length over
-    axial span (mode 0) or over the distance of the ends (mode 1), at least 1; null unless ok.
-    """
+def _axial_ends(opened: DataFrame, sizes: DataFrame, axis: str, margin: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sizes with the first and last usable slice of each sample, inlets, outlets); see ``tortuosity``."""
     others = [c for c in CELL if c != axis]
     n = sizes.select("sample_id", *(F.col(f"n{c}") for c in CELL))
-    inner = opened.join(n, "sample_id")
+    sized = opened.join(n, "sample_id")
+    inner = sized
     for c in others:
         low = F.greatest(F.floor(F.col(f"n{c}") * margin).cast("int"), F.lit(1))
         inner = inner.filter(F.col(c).between(low, F.col(f"n{c}") - 1 - low))
-    usable = inner.filter(F.col(axis).between(1, F.col(f"n{axis}") - 2) & (F.col(f"n{axis}") >= 4))
+    deep = F.col(axis).between(1, F.col(f"n{axis}") - 2)
+    usable = inner.filter(deep & (F.col(f"n{axis}") >= 4))
     planes = usable.groupBy("sample_id").agg(F.min(axis).alias("_first"))
-    lasts = opened.join(n, "sample_id").filter(F.col(axis).between(1, F.col(f"n{axis}") - 2)).groupBy("sample_id").agg(F.max(axis).alias("_last"))
+    lasts = sized.filter(deep).groupBy("sample_id").agg(F.max(axis).alias("_last"))
     span = planes.join(lasts, "sample_id").filter("_first < _last")
     inlets = usable.join(span, "sample_id").filter(F.col(axis) == F.col("_first")).select(*KEY)
     outlets = opened.join(span, "sample_id").filter(F.col(axis) == F.col("_last")).select(*KEY)
+    return n.join(span, "sample_id", "left"), inlets, outlets
+
+
+def _best_ends(paths: DataFrame, outlets: DataFrame) -> DataFrame:
+    """sample_id and the cheapest outlet as ``_b`` (cost, i, j, k)."""
+    return paths.join(outlets, KEY, "left_semi").groupBy("sample_id").agg(F.min(F.struct("cost", *CELL)).alias("_b"))
+
+
+def tortuosity(opened: DataFrame, sizes: DataFrame, axis: str = "k", voxel: float = 1.0, mode: int = 0, margin: float = 0.15) -> DataFrame:
+    """sample_id, status, length, tortuosity of the shortest 26-connected way through the open voxels along ``axis``.
+
+    Inlets lie in the first slice (from 1) with open voxels inside the central window, outlets in the last
+    (from n - 2). Statuses: ok, too thin (under 4 slices), no open planes, no path. The ratio is length over
+    axial span (mode 0) or over the distance of the ends (mode 1), at least 1; null unless ok.
+    """
+    spans, inlets, outlets = _axial_ends(opened, sizes, axis, margin)
     best = shortest_paths(opened.select(*KEY), MOVES, inlets, outlets, parents=mode == 1)
-    cost = best.join(outlets, KEY, "left_semi").groupBy("sample_id").agg(F.min(F.struct("cost", *CELL)).alias("_b"))
-    out = n.join(span, "sample_id", "left").join(cost, "sample_id", "left")
+    cost = _best_ends(best, outlets)
+    out = spans.join(cost, "sample_id", "left")
     status = F.when(F.col(f"n{axis}") < 4, "too thin").when(F.col("_first").isNull(), "no open planes").when(F.col("_b").isNull(), "no path").otherwise("ok")
     length = F.col("_b.cost")
-    ratio = F.greatest(F.lit(1.0), length / (F.col("_last") - F.col("_first")))
+    ratio = F.when(length.isNotNull(), F.greatest(F.lit(1.0), length / (F.col("_last") - F.col("_first"))))
     if mode == 1:
         ends = materialize(cost.select("sample_id", *(F.col(f"_b.{c}") for c in CELL), F.col("_b.cost").alias("length")), "ends")
         ratio = F.col("_by_ends")
@@ -279,6 +292,14 @@ def tortuosity(opened: DataFrame, sizes: DataFrame, axis: str = "k", voxel: floa
     return out.select("sample_id", status.alias("status"), (length * voxel).alias("length"), ratio.alias("tortuosity"))
 
 
+def path_rows(opened: DataFrame, sizes: DataFrame, axis: str = "k", voxel: float = 1.0, origin: tuple[float, float, float] = (0.0, 0.0, 0.0), margin: float = 0.15) -> DataFrame:
+    """sample_id, step (0 at the outlet), i, j, k, x, y, z: the way that ``tortuosity`` measures, by voxel centres in length units."""
+    _, inlets, outlets = _axial_ends(opened, sizes, axis, margin)
+    best = shortest_paths(opened.select(*KEY), MOVES, inlets, outlets, parents=True)
+    ends = materialize(_best_ends(best, outlets).select("sample_id", *(F.col(f"_b.{c}") for c in CELL)), "ends")
+    return trace_back(best, ends).select("sample_id", "step", *CELL, *((F.lit(o) + (F.col(c) + 0.5) * voxel).alias(a) for a, c, o in zip("xyz", CELL, origin)))
+
+
 def plane_tortuosity(opened: DataFrame, sizes: DataFrame, margin: int = 10, voxel: float = 1.0) -> DataFrame:
     """The older form along k: inlets in slice 0, ``margin`` voxels from its sides, outlets anywhere in the last slice.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from ..operators import fields, graph, measure, sampling, surface
+from ..operators import bricks, fields, graph, measure, sampling, surface
 from ..sources.scratch import materialize
 from .fixtures import SIDE
 from .mesh_queries import _mesh
@@ -142,9 +142,17 @@ def _(f):
 
 # components and paths
 
-@query("fd17_largest_component", "l:sample_id,components,removed")
+#: Rounds that hand on the least voxel of the part seen so far, until no voxel hears of a smaller one.
+ISLANDS = """WITH RECURSIVE s AS (SELECT sample_id, i, j, k, (i*1048576+j)*1048576+k AS id FROM field WHERE value < 0.35),
+    walk(sample_id, i, j, k, root) USING KEY (sample_id, i, j, k) AS (SELECT sample_id, i, j, k, id FROM s
+    UNION SELECT o.sample_id, o.i, o.j, o.k, min(w.root) AS root FROM walk w JOIN steps t ON true JOIN s o ON o.sample_id=w.sample_id AND o.i=w.i+t.di AND o.j=w.j+t.dj AND o.k=w.k+t.dk
+        JOIN recurring.walk r ON r.sample_id=o.sample_id AND r.i=o.i AND r.j=o.j AND r.k=o.k WHERE w.root < r.root GROUP BY ALL),
+    parts AS (SELECT sample_id, root, count(*) AS n FROM walk GROUP BY ALL)
+    SELECT sample_id, count(*) AS components, sum(n) - max(n) AS removed FROM parts GROUP BY sample_id"""
+
+@query("fd17_largest_component", "l:sample_id,components,removed", ISLANDS)
 def _(f):
-    _, counts = graph.remove_islands(f.field(), 0.35, 5.0)
+    _, counts = bricks.remove_islands(f.field(), 0.35, 5.0)
     return counts.withColumnsRenamed({"n_components": "components", "removed_voxels": "removed"})
 
 
@@ -156,24 +164,74 @@ def _(f):
     return graph.network_sizes(f.common("edges"))
 
 
-@query("mt15_tortuosity", "l:sample_id s:status d:length,tortuosity")
+#: Costs from the inlets over the open voxels, in whole billionths: voxels that got cheaper in a round go on.
+WALK = """WITH RECURSIVE moves AS (SELECT a.n AS di, b.n AS dj, c.n AS dk, CASE abs(a.n)+abs(b.n)+abs(c.n) WHEN 1 THEN 1000000000 WHEN 2 THEN 1414213562 ELSE 1732050808 END AS w
+    FROM (VALUES (-1),(0),(1)) a(n), (VALUES (-1),(0),(1)) b(n), (VALUES (-1),(0),(1)) c(n) WHERE abs(a.n)+abs(b.n)+abs(c.n) > 0),
+    {ends},
+    walk(sample_id, i, j, k, cost) USING KEY (sample_id, i, j, k) AS (SELECT sample_id, i, j, k, CAST(0 AS BIGINT) FROM inlets
+    UNION SELECT o.sample_id, o.i, o.j, o.k, min(w.cost+m.w) AS cost FROM walk w JOIN moves m ON true JOIN way o ON o.sample_id=w.sample_id AND o.i=w.i+m.di AND o.j=w.j+m.dj AND o.k=w.k+m.dk
+        LEFT JOIN recurring.walk r ON r.sample_id=o.sample_id AND r.i=o.i AND r.j=o.j AND r.k=o.k WHERE r.cost IS NULL OR w.cost+m.w < r.cost GROUP BY ALL),
+    best AS (SELECT sample_id, min(struct_pack(cost := cost, i := i, j := j, k := k)) AS b FROM walk JOIN outlets USING (sample_id, i, j, k) GROUP BY sample_id)"""
+#: The way back from the best outlet: of the neighbours that explain the cost the first in i, j, k order.
+BACK = """, back(sample_id, step, i, j, k, cost) AS (SELECT sample_id, 0, b.i, b.j, b.k, b.cost FROM best
+    UNION ALL SELECT sample_id, step+1, o.i, o.j, o.k, o.cost FROM (SELECT b.sample_id, b.step, min(struct_pack(i := w.i, j := w.j, k := w.k, cost := w.cost)) AS o
+        FROM back b JOIN moves m ON true JOIN walk w ON w.sample_id=b.sample_id AND w.i=b.i-m.di AND w.j=b.j-m.dj AND w.k=b.k-m.dk AND w.cost+m.w=b.cost WHERE b.cost > 0 GROUP BY ALL))"""
+WINDOW = f"""way AS MATERIALIZED (SELECT sample_id, i, j, k FROM voxels WHERE NOT solid),
+    usable AS (SELECT * FROM way WHERE k BETWEEN 1 AND {SIDE - 2} AND i BETWEEN 1 AND {SIDE - 2} AND j BETWEEN 1 AND {SIDE - 2}),
+    span AS (SELECT f.sample_id, first, last FROM (SELECT sample_id, min(k) AS first FROM usable GROUP BY ALL) f JOIN
+        (SELECT sample_id, max(k) AS last FROM way WHERE k BETWEEN 1 AND {SIDE - 2} GROUP BY ALL) l ON l.sample_id=f.sample_id AND first < last),
+    inlets AS (SELECT u.* FROM usable u JOIN span USING (sample_id) WHERE k = first), outlets AS (SELECT w.* FROM way w JOIN span USING (sample_id) WHERE k = last)"""
+STATUS = """CASE WHEN first IS NULL THEN 'no open planes' WHEN b IS NULL THEN 'no path' ELSE 'ok' END AS status, b.cost/1e9*0.5 AS length"""
+SAMPLES = "(SELECT DISTINCT sample_id FROM image) s"
+
+
+@query("mt15_tortuosity", "l:sample_id s:status d:length,tortuosity", WALK.format(ends=WINDOW) + f"""
+    SELECT s.sample_id, {STATUS}, CASE WHEN b IS NOT NULL THEN greatest(1, b.cost/1e9/(last-first)) END AS tortuosity FROM {SAMPLES} LEFT JOIN span USING (sample_id) LEFT JOIN best USING (sample_id)""")
 def _(f):
     image = f.voxels()
     return measure.tortuosity(image.filter("not solid"), measure.image_sizes(image), voxel=0.5)
 
 
-@query("mt17_path_ends", "l:sample_id,steps b:connected")
+@query("mt16_end_distance_ratio", "l:sample_id s:status d:length,tortuosity", WALK.format(ends=WINDOW) + BACK + f""",
+    far AS (SELECT sample_id, max(struct_pack(step := step, i := i, j := j, k := k)) AS z FROM back GROUP BY ALL)
+    SELECT s.sample_id, {STATUS}, CASE WHEN b IS NOT NULL THEN greatest(1, b.cost/1e9/sqrt((b.i-z.i)*(b.i-z.i)+(b.j-z.j)*(b.j-z.j)+(b.k-z.k)*(b.k-z.k))) END AS tortuosity
+    FROM {SAMPLES} LEFT JOIN span USING (sample_id) LEFT JOIN best USING (sample_id) LEFT JOIN far USING (sample_id)""")
+def _(f):
+    """The shortest way over the straight distance of its ends."""
+    image = f.voxels()
+    return measure.tortuosity(image.filter("not solid"), measure.image_sizes(image), voxel=0.5, mode=1)
+
+
+@query("mt17_path_rows", "l:sample_id,step d:x,y,z", WALK.format(ends=WINDOW) + BACK + " SELECT sample_id, step, (i+0.5)*0.5 AS x, (j+0.5)*0.5 AS y, (k+0.5)*0.5 AS z FROM back")
+def _(f):
+    """The rows of each sample's shortest way from its outlet (step 0) to an inlet, voxel centres in length units."""
+    image = f.voxels()
+    return measure.path_rows(image.filter("not solid"), measure.image_sizes(image), voxel=0.5)
+
+
+@query("mt17_path_ends", "l:sample_id,steps b:connected", WALK.format(ends=f"""way AS MATERIALIZED (SELECT sample_id, i, j, k FROM voxels WHERE NOT solid),
+    inlets AS (SELECT * FROM way WHERE k = 1), outlets AS (SELECT * FROM way WHERE k = {SIDE - 2})""") + BACK + " SELECT sample_id, max(step) AS steps, min(k) = 1 AS connected FROM back GROUP BY sample_id")
 def _(f):
     image = f.voxels()
     opened = image.filter("not solid").select(*KEY)
     first = opened.filter("k = 1")
     last = opened.filter(f"k = {SIDE - 2}")
-    paths = materialize(graph.shortest_paths(opened, measure.MOVES, first, last, parents=True), "paths")
+    paths = bricks.shortest_paths(opened, measure.MOVES, first, last, parents=True)
     ends = paths.join(last, KEY, "left_semi").groupBy("sample_id").agg(F.min(F.struct("cost", "i", "j", "k")).alias("b")).select("sample_id", "b.i", "b.j", "b.k")
-    rows = graph.trace_back(paths, ends)
+    rows = bricks.trace_back(paths, ends)
     return rows.groupBy("sample_id").agg(F.max("step").alias("steps"), (F.min("k") == 1).alias("connected"))
 
 
+@query("mt18_plane_tortuosity", "l:sample_id s:status d:length,tortuosity", WALK.format(ends=f"""inlets AS (SELECT sample_id, i, j, k FROM voxels WHERE NOT solid AND k = 0 AND i BETWEEN 4 AND {SIDE - 5} AND j BETWEEN 4 AND {SIDE - 5}),
+    way AS MATERIALIZED (SELECT sample_id, i, j, k FROM voxels WHERE NOT solid AND i BETWEEN 1 AND {SIDE - 2} AND j BETWEEN 1 AND {SIDE - 2}), outlets AS (SELECT * FROM way WHERE k = {SIDE - 1})""") + f"""
+    SELECT s.sample_id, CASE WHEN n IS NULL THEN 'no open planes' WHEN b IS NULL THEN 'no path' ELSE 'ok' END AS status, b.cost/1e9*0.5 AS length, CASE WHEN b IS NOT NULL THEN greatest(1, b.cost/1e9/{SIDE}) END AS tortuosity
+    FROM {SAMPLES} LEFT JOIN (SELECT sample_id, count(*) AS n FROM inlets GROUP BY ALL) i USING (sample_id) LEFT JOIN best USING (sample_id)""")
+def _(f):
+    """The older form, with inlets four voxels from the sides, as images here are small."""
+    image = f.voxels()
+    return measure.plane_tortuosity(image.filter("not solid"), measure.image_sizes(image), margin=4, voxel=0.5)
+
+
 # statistics
 
 @query("mt19_medians", "l:sample_id s:metric d:median", "SELECT sample_id, metric, median(value) AS median FROM readings GROUP BY ALL")
@@ -207,20 +265,6 @@ def _(f):
     return measure.measure_all(parts, domain)
 
 
-@query("mt16_end_distance_ratio", "l:sample_id s:status d:length,tortuosity")
-def _(f):
-    """The shortest way over the straight distance of its ends."""
-    image = f.voxels()
-    return measure.tortuosity(image.filter("not solid"), measure.image_sizes(image), voxel=0.5, mode=1)
-
-
-@query("mt18_plane_tortuosity", "l:sample_id s:status d:length,tortuosity")
-def _(f):
-    """The older form, with inlets four voxels from the sides, as images here are small."""
-    image = f.voxels()
-    return measure.plane_tortuosity(image.filter("not solid"), measure.image_sizes(image), margin=4, voxel=0.5)
-
-
 # the chain from seeds to metrics
 
 @query("slice_wall_structure", "l:sample_id,solid_voxels,surface_cells,chi d:porosity", """WITH wall AS (SELECT sample_id, i, j, k, (1-0.3)*wall+0.3*strut AS value FROM contrast),

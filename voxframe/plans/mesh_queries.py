@@ -143,7 +143,10 @@ def _(f):
     return surface.vertex_normals(*_mesh(f), weight="area", fallback=(0.0, 0.0, 1.0))
 
 
-@query("me14_mesh_components", "l:sample_id,parts,largest")
+@query("me14_mesh_components", "l:sample_id,parts,largest", """WITH RECURSIVE link AS MATERIALIZED (SELECT sample_id, a AS u, b AS v FROM medges UNION ALL SELECT sample_id, b, a FROM medges),
+    walk(sample_id, u, root) USING KEY (sample_id, u) AS (SELECT sample_id, vertex_id, vertex_id FROM verts
+    UNION SELECT l.sample_id, l.v, min(w.root) AS root FROM walk w JOIN link l ON l.sample_id=w.sample_id AND l.u=w.u JOIN recurring.walk r ON r.sample_id=l.sample_id AND r.u=l.v WHERE w.root < r.root GROUP BY ALL),
+    parts AS (SELECT sample_id, root, count(*) AS n FROM walk GROUP BY ALL) SELECT sample_id, count(*) AS parts, max(n) AS largest FROM parts GROUP BY sample_id""")
 def _(f):
     v, t = _mesh(f)
     sizes = graph.component_sizes(v.select("sample_id", F.col("vertex_id").alias("node")), surface.mesh_edges(t), ["sample_id"])

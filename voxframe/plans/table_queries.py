@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import graph, measure, polygon
+from ..operators import bricks, graph, measure, polygon
 from ..sources import tables
 from ..sources.scratch import scratch_root
 from .registry import query
@@ -236,5 +236,5 @@ def _(f):
 
     seeds = sampling.thin_by_distance(f.common("seeds"), 3.0, 3.0)
     field = fields.assemble(fields.contrasts(f.grid(), seeds), 1.2, 0.5)
-    kept, _ = graph.remove_islands(field, 1.2, 9.0)
+    kept, _ = bricks.remove_islands(field, 1.2, 9.0)
     return fields.porosity(kept, 1.2).withColumnRenamed("solid_voxels", "solid").join(seeds.groupBy("sample_id").agg(F.count("*").alias("seeds")), "sample_id")

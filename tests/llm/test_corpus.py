@@ -632,6 +632,10 @@ def odd_tables(spark, tmp_path_factory):
     spark.createDataFrame([(1, base[9][1]), (None, None), (2, "")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
     pages = [(BIG + 2 * i, f"http://h{i % 2}.org/{i}", f"<p>{t}</p>") for i, (_, t) in enumerate(base[:9])] + [(None, None, None), (None, "x", "<div>")]
     spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
+    talk = [(BIG, 1, "user", "hi"), (BIG, None, None, None), (BIG, 1, "user", "hi"), (None, 1, "user", "x"), (7, 1, "user", "hi")]
+    spark.createDataFrame([(*r, 1) for r in talk], "conv_id long, turn long, role string, text string, pos int").write.parquet(f"{folder}/conversations.parquet")
+    vectors = [(50 * k, [0.5, 1.0], k % 2, 1) for k in range(1, 9)] + [(None, [1.0], 1, 1), (1, None, 1, 1), (2, [1.0], None, 1)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int, block int").write.parquet(f"{folder}/embeddings.parquet")
     return str(folder), base, pages
 
 
@@ -643,6 +647,12 @@ def test_registered_queries_on_odd_tables(spark, odd_tables, name):
         assert sorted(str((r["page_id"], r["url"])) for r in rows) == sorted(str(p[:2]) for p in pages)
         assert all(r["n_chars"] == len(r["text"]) for r in rows)
         return
+    if name.startswith("op12_"):
+        assert max(r["depth"] for r in rows) == 3 and {r["conv_id"] for r in rows} == {7, BIG}
+        return
+    if name.startswith("op13_"):
+        assert all(r["anchor_id"] != r["negative_id"] for r in rows)
+        return
     ids = collections.Counter(d for d, _ in base)
     got = collections.Counter(r["doc_id"] for r in rows)
     if name.startswith("op2_"):
@@ -672,7 +682,7 @@ def test_registered_queries_on_odd_tables(spark, odd_tables, name):
 @pytest.mark.parametrize("name", sorted(entries.queries()))
 def test_registered_queries_on_empty_tables(spark, odd_tables, tmp_path_factory, name):
     folder = tmp_path_factory.mktemp("none")
-    for table in ("documents", "labels", "benchmark", "pages"):
+    for table in ("documents", "labels", "benchmark", "pages", "conversations", "embeddings"):
         spark.read.parquet(f"{odd_tables[0]}/{table}.parquet").limit(0).write.parquet(f"{folder}/{table}.parquet")
     assert entries.queries()[name](spark, str(folder)).count() == 0
 

@@ -35,7 +35,7 @@ from .common import discard, materialize
 
 #: Anchors of a block, candidates of a tile, and the side from which a product is split no further.
 BLOCK_ANCHORS, TILE_ROWS, LEAF = 2048, 1024, 128
-#: A side is a pair of tables of this many rows at least, before a block is given a further stream.
+#: Candidates that a stream takes at least, before a block is given a further one.
 STREAM_ROWS = 4096
 LARGEST = 1 << 20
 NONE = np.iinfo(np.int64).min
@@ -109,20 +109,20 @@ def matrix(column: pa.ListArray, width: int) -> np.ndarray:
     return out
 
 
-def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int], int, pa.RecordBatch]]:
-    """Runs of rows of one (block, stream) and one side, at most TILE_ROWS of the candidates' side."""
+def _tiles(batches: Iterator[pa.RecordBatch], tile_rows: int) -> Iterator[tuple[tuple[int, int], int, pa.RecordBatch]]:
+    """Runs of rows of one (block, stream) and one side, at most ``tile_rows``."""
     for batch in batches:
         block, stream, side = (batch[c].to_numpy(zero_copy_only=False) for c in ("block", "stream", "side"))
         cuts = np.flatnonzero((np.diff(block) != 0) | (np.diff(stream) != 0) | (np.diff(side) != 0)) + 1
         for low, high in zip([0, *cuts], [*cuts, len(block)]):
-            for at in range(low, high, TILE_ROWS):
-                yield (int(block[at]), int(stream[at])), int(side[at]), batch.slice(at, min(TILE_ROWS, high - at))
+            for at in range(low, high, tile_rows):
+                yield (int(block[at]), int(stream[at])), int(side[at]), batch.slice(at, min(tile_rows, high - at))
 
 
 SCHEMA = "anchor long, slot int, who long, score long"
 
 
-def _run(keep: int, windows: tuple[int, int] | None):
+def _run(keep: int, windows: tuple[int, int] | None, tile_rows: int):
     """The streams' work: best ``keep`` of the same label, or, by ``windows`` (of each positive), of other labels."""
 
     def flush(anchors: dict, heaps: list[Heaps]) -> pa.RecordBatch | None:
@@ -163,7 +163,7 @@ def _run(keep: int, windows: tuple[int, int] | None):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, anchors, heaps, waiting = None, {}, [], []
-        for now, side, tile in _tiles(batches):
+        for now, side, tile in _tiles(batches, tile_rows):
             if now != key or (side == 0 and not waiting):
                 if anchors and (out := flush(anchors, heaps)):
                     yield out
@@ -188,20 +188,20 @@ def _run(keep: int, windows: tuple[int, int] | None):
     return run
 
 
-def _pass(anchors: DataFrame, rows: DataFrame, blocks: int, streams: int, keep: int, windows: tuple[int, int] | None) -> DataFrame:
+def _pass(anchors: DataFrame, rows: DataFrame, blocks: int, streams: int, keep: int, windows: tuple[int, int] | None, tile_rows: int) -> DataFrame:
     """anchor, slot, rank, who, score: the merged heaps of all streams."""
     left = anchors.withColumn("stream", F.explode(F.sequence(F.lit(0), F.lit(streams - 1)))).select(
         "block", "stream", F.lit(0).alias("side"), "no", F.col("vec_id").alias("id"), "label", "q", "positives")
     right = rows.withColumn("stream", F.pmod(F.monotonically_increasing_id(), F.lit(streams)).cast("int")).withColumn(
         "block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(
         "block", "stream", F.lit(1).alias("side"), F.lit(None).cast("long").alias("no"), F.col("vec_id").alias("id"), "label", "q", F.lit(None).cast("array<long>").alias("positives"))
-    met = left.unionByName(right).repartition("block", "stream").sortWithinPartitions("block", "stream", "side").mapInArrow(_run(keep, windows), SCHEMA)
+    met = left.unionByName(right).repartition("block", "stream").sortWithinPartitions("block", "stream", "side").mapInArrow(_run(keep, windows, tile_rows), SCHEMA)
     order = Window.partitionBy("anchor", "slot").orderBy(F.col("score").desc(), "who")
     return met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= keep)
 
 
 def mine(rows: DataFrame, is_anchor: Column, positives: int = 5, negatives: int = 3, window: tuple[int, int] = (50, 95),
-         block_anchors: int = BLOCK_ANCHORS, stream_rows: int = STREAM_ROWS) -> DataFrame:
+         block_anchors: int = BLOCK_ANCHORS, stream_rows: int = STREAM_ROWS, tile_rows: int = TILE_ROWS) -> DataFrame:
     """anchor_id, positive_id, positive_rank, rank, negative_id, positive_score, negative_score.
 
     ``rows``: vec_id, label, q (``quantised``). A negative's score lies between the two hundredths of ``window`` of
@@ -214,10 +214,10 @@ def mine(rows: DataFrame, is_anchor: Column, positives: int = 5, negatives: int
     streams = max(1, min(-(-tasks // blocks), -(-n // stream_rows)))
     chosen = materialize(kept.filter(is_anchor).withColumn("no", F.monotonically_increasing_id()).withColumn("block", F.pmod("no", F.lit(blocks)).cast("int")), "anchors")
     nothing = F.lit(None).cast("array<long>")
-    best = materialize(_pass(chosen.withColumn("positives", nothing), kept, blocks, streams, positives, None).select(
+    best = materialize(_pass(chosen.withColumn("positives", nothing), kept, blocks, streams, positives, None, tile_rows).select(
         F.col("anchor").alias("no"), F.col("rank").alias("positive_rank"), F.col("who").alias("positive_id"), F.col("score").alias("positive_score")), "positives")
     lists = best.groupBy("no").agg(F.transform(F.array_sort(F.collect_list(F.struct("positive_rank", "positive_score"))), lambda p: p["positive_score"]).alias("positives"))
-    found = _pass(chosen.join(lists, "no"), kept, blocks, streams, negatives, window).select(
+    found = _pass(chosen.join(lists, "no"), kept, blocks, streams, negatives, window, tile_rows).select(
         F.col("anchor").alias("no"), (F.col("slot") + 1).alias("positive_rank"), "rank", F.col("who").alias("negative_id"), F.col("score").alias("negative_score"))
     out = materialize(found.join(best, ["no", "positive_rank"]).join(chosen.select("no", F.col("vec_id").alias("anchor_id")), "no").select(
         "anchor_id", "positive_id", "positive_rank", "rank", "negative_id", "positive_score", "negative_score"), "negatives")

@@ -7,10 +7,14 @@ split by adaptive execution, and nothing is broadcast without Spark's own size c
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import geometry as g
 from ..sources.scratch import materialize
@@ -143,67 +147,187 @@ def corners() -> tuple[g.Vector, g.Vector, g.Vector]:
     return g.vec("a"), g.vec("b"), g.vec("c")
 
 
-def _triangle_cells(triangles: DataFrame, cell: float, axes: str = "xyz", reach: int = 0) -> DataFrame:
-    """Triangles copied to the cells their boxes cover (grown by ``reach`` cells)."""
-    for a, c in zip(axes, CELL):
+def _triangle_cells(triangles: DataFrame, cell: float, axes: list[tuple[str, str]], reach: int = 0, plane: bool = False) -> DataFrame:
+    """Triangles copied to the cells their boxes cover (grown by ``reach`` cells); with ``plane`` only where their plane passes."""
+    for a, c in axes:
         lo, hi = F.least(f"a{a}", f"b{a}", f"c{a}"), F.greatest(f"a{a}", f"b{a}", f"c{a}")
         triangles = triangles.withColumn(c, F.explode(F.sequence(
             F.floor(lo / cell).cast("int") - reach, F.floor(hi / cell).cast("int") + reach)))
+    if plane:
+        a, b, c = corners()
+        normal = g.cross(g.sub(b, a), g.sub(c, a))
+        middle = tuple((F.col(n) + 0.5) * cell for n in CELL)
+        half = (F.abs(normal[0]) + F.abs(normal[1]) + F.abs(normal[2])) * (cell / 2 * 1.000001)
+        triangles = triangles.filter(F.abs(g.dot(normal, g.sub(middle, a))) <= half)
     return triangles
 
 
+def triangle_distances(p: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Distance of each point to its triangle (rows of three): to the plane over the face, else to the nearest edge."""
+    def dot(u, v):
+        return np.einsum("ij,ij->i", u, v)
+
+    def to_segment(u, v):
+        way = v - u
+        t = np.clip(dot(p - u, way) / np.maximum(dot(way, way), 1e-300), 0, 1)
+        return np.linalg.norm(p - u - t[:, None] * way, axis=1)
+
+    e0, e1, q = b - a, c - a, p - a
+    n = np.cross(e0, e1)
+    size = dot(n, n)
+    v, w = dot(np.cross(q, e1), n), dot(np.cross(e0, q), n)
+    over = (size > 1e-24) & (v >= 0) & (w >= 0) & (v + w <= size)
+    plane = np.abs(dot(q, n)) / np.sqrt(np.maximum(size, 1e-300))
+    return np.where(over, plane, np.minimum(np.minimum(to_segment(a, b), to_segment(b, c)), to_segment(c, a)))
+
+
+def _measured(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, distance, tri_id of point and triangle pairs, measured in Arrow batches."""
+    numbers = ["x", "y", "z", *(f"{v}{a}" for v in "abc" for a in "xyz")]
+    kept = pairs.select(*keys, "tri_id", *(F.col(n).cast("double").alias(n) for n in numbers))
+    schema = StructType([f for f in kept.schema.fields if f.name in {*keys, "tri_id"}]).add("distance", "double")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spots = [np.column_stack([batch[n].to_numpy() for n in numbers[3 * k:3 * k + 3]]) for k in range(4)]
+            yield pa.RecordBatch.from_arrays([*(batch[n] for n in [*keys, "tri_id"]), pa.array(triangle_distances(*spots))], names=[*keys, "tri_id", "distance"])
+
+    return kept.mapInArrow(run, schema)
+
+
+def _box_gap(lo: str, hi: str) -> tuple[Column, Column]:
+    """Squared distances of a point to the nearest and to the farthest place of a box."""
+    near = [F.greatest(F.col(f"{lo}{a}") - F.col(a), F.lit(0.0), F.col(a) - F.col(f"{hi}{a}")) for a in "xyz"]
+    far = [F.greatest(F.abs(F.col(a) - F.col(f"{lo}{a}")), F.abs(F.col(a) - F.col(f"{hi}{a}"))) for a in "xyz"]
+    return sum((x * x for x in near[1:]), near[0] * near[0]), sum((x * x for x in far[1:]), far[0] * far[0])
+
+
+#: Boxes along the side of a ring's cells, beyond the first ring.
+BOXES = 8
+
+
 def nearest_triangle(points: DataFrame, triangles: DataFrame, point_id: list[str], cell: float, by: str = "sample_id") -> DataFrame:
-    """Distance of every point to its mesh and the nearest triangle (smaller id first): rings of cells, exact."""
+    """Distance of every point to its mesh and the nearest triangle (smaller id first): rings of cells, exact.
+
+    In the first ring a point is measured against the triangles of the cells around its own. Points left over meet boxes
+    of triangles in ever larger rings: a box whose near side lies beyond the far side of another cannot hold the nearest
+    triangle, so only the triangles of the few boxes left are measured.
+    """
     names = [f"{v}{a}" for v in "abc" for a in "xyz"]
-    tri = triangles.select(by, "tri_id", *names)
-    todo, done, ring = points, None, 1
+    ends = {f"{m}{a}": f(*(f"{v}{a}" for v in "abc")) for m, f in (("_lo", F.least), ("_hi", F.greatest)) for a in "xyz"}
+    tri = triangles.select(by, "tri_id", *names).withColumns(ends)
+    keys = [by, *point_id]
+    todo, done, ring = points.select(*keys, "x", "y", "z"), None, 1
     while True:
         size = cell * ring
-        near = _triangle_cells(tri, size, reach=1)
-        pairs = todo.select("*", *cell_of(size)).join(near, [by, *CELL])
-        best = pairs.withColumn("distance", g.triangle_distance(g.vec(), *corners())).groupBy(by, *point_id).agg(
-            F.min(F.struct("distance", "tri_id")).alias("_b")).select(by, *point_id, "_b.*")
+        placed = todo.select("*", *cell_of(size))
+        if ring == 1:
+            near = _triangle_cells(tri, size, list(zip("xyz", CELL)), reach=1)
+            pairs = placed.join(near, [by, *CELL]).filter(_box_gap("_lo", "_hi")[0] <= size * size)
+        else:
+            home = [F.floor(F.col(f"_lo{a}") / (size / BOXES)).cast("long").alias(f"_home{a}") for a in "xyz"]
+            homed = tri.select("*", *home)
+            boxes = homed.groupBy(by, *(f"_home{a}" for a in "xyz")).agg(*(F.min(f"_lo{a}").alias(f"_lo{a}") for a in "xyz"), *(F.max(f"_hi{a}").alias(f"_hi{a}") for a in "xyz"))
+            for a, c in zip("xyz", CELL):
+                boxes = boxes.withColumn(c, F.explode(F.sequence(F.floor(F.col(f"_lo{a}") / size).cast("int") - 1, F.floor(F.col(f"_hi{a}") / size).cast("int") + 1)))
+            nearest_side, farthest = _box_gap("_lo", "_hi")
+            met = placed.join(boxes, [by, *CELL]).withColumns({"_near": nearest_side, "_least": F.min(farthest).over(Window.partitionBy(*keys))})
+            left = met.filter((F.col("_near") <= F.col("_least")) & (F.col("_near") <= size * size)).select(*keys, "x", "y", "z", *(f"_home{a}" for a in "xyz"))
+            pairs = left.join(homed.select(by, "tri_id", *names, *(f"_home{a}" for a in "xyz")), [by, *(f"_home{a}" for a in "xyz")])
+        best = _measured(pairs, keys).groupBy(*keys).agg(F.min(F.struct("distance", "tri_id")).alias("_b")).select(*keys, "_b.*")
         ok = materialize(best.filter(F.col("distance") <= size) if size < 1e9 else best, "nearest-triangle")
         done = ok if done is None else done.unionByName(ok)
         if size >= 1e9:
             break
-        todo = materialize(todo.join(ok.select(by, *point_id), [by, *point_id], "left_anti").join(tri.select(by).distinct(), by, "left_semi"), "points-left")
+        todo = materialize(todo.join(ok.select(*keys), keys, "left_anti").join(tri.select(by).distinct(), by, "left_semi"), "points-left")
         if not todo.limit(1).count():
             break
         ring *= 4
-    return points.join(done, [by, *point_id])
+    return points.join(done, keys)
+
 
+#: Where a cell's line runs across it, as shares of its side; off any likely vertex or face of the mesh.
+LINE = (0.48713, 0.51287)
 
-#: Directions of the containment rays; none is parallel to an axis or a likely face.
-RAYS = ((1.0, 0.0137, 0.0071), (0.0093, 1.0, 0.0119), (0.0113, 0.0079, 1.0))
+
+def _lines(triangles: DataFrame, axis: int, cell: float, by: str) -> DataFrame:
+    """by, the two cell columns across ``axis``, hits: where the line through each column of cells crosses the mesh."""
+    a, others = "xyz"[axis], [n for n in range(3) if n != axis]
+    tri = _triangle_cells(triangles, cell, [("xyz"[n], CELL[n]) for n in others])
+    at = {n: (F.col(CELL[n]) + share) * cell for n, share in zip(others, LINE)}
+    for n in others:
+        tri = tri.filter(at[n].between(F.least(*(f"{v}{'xyz'[n]}" for v in "abc")), F.greatest(*(f"{v}{'xyz'[n]}" for v in "abc"))))
+    start = F.least(*(f"{v}{a}" for v in "abc")) - 1.0
+    origin = tuple(start if n == axis else at[n] for n in range(3))
+    hit = g.ray_meets_triangle(origin, tuple(F.lit(float(n == axis)) for n in range(3)), *corners())
+    return tri.select(by, *(CELL[n] for n in others), (start + hit).alias("hit")).filter("hit is not null").groupBy(by, *(CELL[n] for n in others)).agg(
+        F.collect_list("hit").alias(f"_hits{axis}"))
 
 
 def inside_mesh(points: DataFrame, triangles: DataFrame, point_id: list[str], cell: float, by: str = "sample_id") -> DataFrame:
     """point ids of the points inside the closed mesh: three rays, odd crossings, two of three votes.
 
-    For each ray, points and triangles are projected along it onto the plane of the other two
-    axes, so that a ray is a point there and meets only triangles whose projected boxes cover its cell.
+    A ray runs from the point across its cell to the line of its column of cells and on along that line. How often
+    a line crosses the mesh is found once per column; the way to the line lies in the point's own cell, so a
+    point meets the triangles of that cell only, for all three rays in one join, and none if the cell is empty. A
+    column holds the crossings of one line.
     """
-    votes = []
-    for axis, ray in enumerate(RAYS):
-        others = [a for a in range(3) if a != axis]
-        flat = lambda prefix: [F.col(prefix + "xyz"[o]) - F.col(prefix + "xyz"[axis]) * (ray[o] / ray[axis]) for o in others]
-        tri = triangles
-        for n, c in enumerate(CELL[:2]):
-            shades = [flat(v)[n] for v in "abc"]
-            tri = tri.withColumn(c, F.explode(F.sequence(F.floor(F.least(*shades) / cell).cast("int"), F.floor(F.greatest(*shades) / cell).cast("int"))))
-        here = points.select(by, *point_id, "x", "y", "z", *(F.floor(e / cell).cast("int").alias(c) for e, c in zip(flat(""), CELL)))
-        hit = g.ray_meets_triangle(g.vec(), tuple(g.lit(r) for r in ray), *corners())
-        votes.append(here.join(tri, [by, *CELL[:2]]).filter(hit.isNotNull()).groupBy(by, *point_id).agg((F.count("*") % 2).alias("odd")))
-    return reduce(DataFrame.unionByName, votes).groupBy(by, *point_id).agg(F.sum("odd").alias("votes")).filter("votes >= 2").drop("votes")
+    points = points.select(by, *point_id, "x", "y", "z", *cell_of(cell))
+    line = [[(F.col(CELL[n]) + share) * cell for n, share in zip([m for m in range(3) if m != axis], LINE)] for axis in range(3)]
+    in_cell = _triangle_cells(triangles, cell, list(zip("xyz", CELL)), plane=True).select(by, *CELL, *(f"{v}{a}" for v in "abc" for a in "xyz"))
+    crossed = []
+    for axis in range(3):
+        ends = iter(line[axis])
+        way = tuple(F.lit(0.0) if n == axis else next(ends) - F.col("xyz"[n]) for n in range(3))
+        crossed.append(F.count_if(F.coalesce(g.ray_meets_triangle(g.vec(), way, *corners()) <= 1.0, F.lit(False))).alias(f"_near{axis}"))
+    near = points.join(in_cell, [by, *CELL]).groupBy(by, *point_id).agg(*crossed)
+    out = points.join(near, [by, *point_id], "left")
+    votes = F.lit(0)
+    for axis in range(3):
+        out = out.join(_lines(triangles, axis, cell, by), [by, *(CELL[n] for n in range(3) if n != axis)], "left")
+        beyond = F.coalesce(F.size(F.filter(f"_hits{axis}", _further("xyz"[axis]))), F.lit(0))
+        votes = votes + (F.greatest(beyond, F.lit(0)) + F.coalesce(f"_near{axis}", F.lit(0))) % 2
+    return out.filter(votes >= 2).select(by, *point_id)
+
+
+def _further(axis: str):
+    return lambda hit: hit > F.col(axis)
 
 
 def mesh_signed_distance(points: DataFrame, triangles: DataFrame, point_id: list[str], cell: float, by: str = "sample_id") -> DataFrame:
+    """Distance of every point to its mesh, negative inside, and the nearest triangle."""
     inner = inside_mesh(points, triangles, point_id, cell, by).withColumn("_in", F.lit(-1.0))
     return nearest_triangle(points, triangles, point_id, cell, by).join(inner, [by, *point_id], "left").withColumn(
         "distance", F.col("distance") * F.coalesce("_in", F.lit(1.0))).drop("_in")
 
 
+def banded_mesh_distance(voxels: DataFrame, triangles: DataFrame, stride: int, margin: float, steps: tuple[float, float, float], cell: float, by: str = "sample_id") -> DataFrame:
+    """by, i, j, k, kind, distance: the mesh's signed distance where it matters, and a proven bound elsewhere.
+
+    ``voxels``: by, i, j, k (from 0) and positions ``steps`` apart. Distances are taken at every ``stride``-th node and at
+    the last ones; a coarse cell whose eight corners all lie further out (or in) than ``margin`` and its diagonal is proven
+    outside (inside), and its voxels get the bound corner distance minus (plus) diagonal. The rest, a band along the
+    mesh, get exact distances. Without triangles there is no distance and no row.
+    """
+    grid_cell = [f"_c{c}" for c in "ijk"]
+    ends = voxels.groupBy(by).agg(*(F.max(c).alias(f"_n{c}") for c in "ijk"))
+    sized = voxels.join(ends, by)
+    node = [(F.col(c) % stride == 0) | (F.col(c) == F.col(f"_n{c}")) for c in "ijk"]
+    coarse = materialize(mesh_signed_distance(sized.filter(node[0] & node[1] & node[2]), triangles, ["i", "j", "k"], cell, by), "coarse-distances")
+    spread = coarse
+    for c, g_cell in zip("ijk", grid_cell):
+        # a node on a cell's edge is a corner of the cells on both sides
+        at = F.floor(F.col(c) / stride).cast("int")
+        spread = spread.withColumn(g_cell, F.explode(F.array_distinct(F.array(at, F.greatest(F.ceil(F.col(c) / stride).cast("int") - 1, F.lit(0))))))
+    kinds = needs_exact(spread, grid_cell, margin, stride * sum(s * s for s in steps) ** 0.5, by)
+    classed = materialize(sized.withColumns({g_cell: F.floor(F.col(c) / stride).cast("int") for c, g_cell in zip("ijk", grid_cell)}).join(kinds, [by, *grid_cell]), "voxel-kinds")
+    diagonal = stride * sum(s * s for s in steps) ** 0.5
+    bound = F.when(F.col("kind") == "outside", F.col("lo") - diagonal).otherwise(F.col("hi") + diagonal)
+    proven = classed.filter("kind <> 'exact'").select(by, "i", "j", "k", "kind", bound.alias("distance"))
+    exact = mesh_signed_distance(classed.filter("kind = 'exact'").select(by, "i", "j", "k", "x", "y", "z"), triangles, ["i", "j", "k"], cell, by)
+    return proven.unionByName(exact.select(by, "i", "j", "k", F.lit("exact").alias("kind"), "distance"))
+
+
 def needs_exact(coarse: DataFrame, cell_columns: list[str], margin: float, diagonal: float, by: str = "sample_id") -> DataFrame:
     """Class of coarse cells from the distances at their corners: a distance changes by at most the way walked.
 

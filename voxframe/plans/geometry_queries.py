@@ -453,9 +453,9 @@ def _(f):
 
 
 @query("fd9_gradient_normalised", "l:sample_id,i,j,k d:value", """SELECT sample_id, i, j, k, CASE WHEN n > 1e-4 THEN wall/n*2 ELSE wall END - 0.3 + 0.4 AS value FROM (
-    SELECT sample_id, i, j, k, b.d-a.d AS wall, sqrt((b.ux-a.ux)*(b.ux-a.ux)+(b.uy-a.uy)*(b.uy-a.uy)+(b.uz-a.uz)*(b.uz-a.uz)) AS n FROM
-    (SELECT *, sqrt(d2) AS d, coalesce((x-sx)/nullif(sqrt(d2),0),0) AS ux, coalesce((y-sy)/nullif(sqrt(d2),0),0) AS uy, coalesce((z-sz)/nullif(sqrt(d2),0),0) AS uz FROM near WHERE rank=1) a JOIN
-    (SELECT *, sqrt(d2) AS d, coalesce((x-sx)/nullif(sqrt(d2),0),0) AS ux, coalesce((y-sy)/nullif(sqrt(d2),0),0) AS uy, coalesce((z-sz)/nullif(sqrt(d2),0),0) AS uz FROM near WHERE rank=2) b USING (sample_id,i,j,k))""")
+    SELECT sample_id, i, j, k, max(d) FILTER (rank=2) - max(d) FILTER (rank=1) AS wall, sqrt(power(max(ux) FILTER (rank=2) - max(ux) FILTER (rank=1), 2)
+        + power(max(uy) FILTER (rank=2) - max(uy) FILTER (rank=1), 2) + power(max(uz) FILTER (rank=2) - max(uz) FILTER (rank=1), 2)) AS n
+    FROM (SELECT *, sqrt(d2) AS d, coalesce((x-sx)/nullif(sqrt(d2),0),0) AS ux, coalesce((y-sy)/nullif(sqrt(d2),0),0) AS uy, coalesce((z-sz)/nullif(sqrt(d2),0),0) AS uz FROM near WHERE rank <= 2) GROUP BY ALL)""")
 def _(f):
     c = fields.contrasts(f.grid(), f.common("seeds"), gradients=True)
     return c.withColumn("value", fields.gradient_normalised(F.col("wall"), g.vec("gw"), L(0.3), L(0.4)))

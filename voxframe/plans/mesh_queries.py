@@ -16,10 +16,8 @@ ISO = 0.35
 
 # 2.8 surfaces
 
-CORNER_SUM = " + ".join(f"CASE WHEN c{x}{y}{z}.value < {ISO} THEN {1 << (x + 2 * y + 4 * z)} ELSE 0 END" for x in (0, 1) for y in (0, 1) for z in (0, 1))
-CELLS = f"SELECT c000.sample_id, c000.i, c000.j, c000.k, {CORNER_SUM} AS code FROM field c000 " + " ".join(
-    f"JOIN field c{x}{y}{z} ON c{x}{y}{z}.sample_id=c000.sample_id AND c{x}{y}{z}.i=c000.i+{x} AND c{x}{y}{z}.j=c000.j+{y} AND c{x}{y}{z}.k=c000.k+{z}"
-    for x in (0, 1) for y in (0, 1) for z in (0, 1) if x or y or z)
+CELLS = f"""SELECT sample_id, i-dx AS i, j-dy AS j, k-dz AS k, sum(CASE WHEN value < {ISO} THEN bit ELSE 0 END) AS code
+    FROM field, (SELECT a.n AS dx, b.n AS dy, c.n AS dz, 1 << (a.n+2*b.n+4*c.n) AS bit FROM (VALUES (0),(1)) a(n), (VALUES (0),(1)) b(n), (VALUES (0),(1)) c(n)) GROUP BY ALL HAVING count(*) = 8"""
 
 
 @query("me1_cell_codes", "l:sample_id,i,j,k,code", f"SELECT * FROM ({CELLS}) WHERE code NOT IN (0, 255)")
@@ -185,7 +183,7 @@ MESH_POINTS = "SELECT point_id % (SELECT count(*) FROM supplier) + 1 AS sample_i
 
 @query("sj6_inside_mesh", "l:sample_id,point_id", f"SELECT p.sample_id, p.point_id FROM ({MESH_POINTS}) p JOIN image m ON m.sample_id=p.sample_id AND m.i=floor(p.x) AND m.j=floor(p.y) AND m.k=floor(p.z)")
 def _(f):
-    return spatial.inside_mesh(_mesh_points(f), f.skin(), ["point_id"], cell=2.0)
+    return spatial.inside_mesh(_mesh_points(f), materialize(f.skin(), "soup"), ["point_id"], cell=1.0)
 
 
 #: Distance to a set of unit squares, two triangles each: per square clamp in its plane.
@@ -195,7 +193,43 @@ SQUARES = """SELECT sample_id, tri_id, min(x) AS x0, max(x) AS x1, min(y) AS y0,
 @query("sj5_nearest_triangle", "l:sample_id,point_id d:distance", f"""SELECT p.sample_id, p.point_id, min(sqrt(greatest(x0-p.x,0,p.x-x1)*greatest(x0-p.x,0,p.x-x1)+greatest(y0-p.y,0,p.y-y1)*greatest(y0-p.y,0,p.y-y1)+greatest(z0-p.z,0,p.z-z1)*greatest(z0-p.z,0,p.z-z1))) AS distance
     FROM ({MESH_POINTS}) p JOIN ({SQUARES}) s ON s.sample_id=p.sample_id GROUP BY ALL""")
 def _(f):
-    return spatial.nearest_triangle(_mesh_points(f), f.skin(), ["point_id"], cell=2.0)
+    return spatial.nearest_triangle(_mesh_points(f), materialize(f.skin(), "soup"), ["point_id"], cell=1.0)
+
+
+def _square_distance(points: str, names: str) -> str:
+    """Brute force over all squares of the sample, negative where the point's voxel is solid."""
+    gap = "+".join(f"power(greatest({a}0-p.{a},0,p.{a}-{a}1),2)" for a in "xyz")
+    own = ",".join(f"p.{n}" for n in names.split(","))
+    return f"""SELECT {own}, CASE WHEN m.i IS NULL THEN 1 ELSE -1 END * d AS distance FROM (SELECT {own}, p.x, p.y, p.z, sqrt(min({gap})) AS d
+        FROM ({points}) p JOIN ({SQUARES}) s ON s.sample_id=p.sample_id GROUP BY ALL) p LEFT JOIN image m ON m.sample_id=p.sample_id AND m.i=floor(p.x) AND m.j=floor(p.y) AND m.k=floor(p.z)"""
+
+
+@query("sj5_mesh_signed_distance", "l:sample_id,point_id d:distance", _square_distance(MESH_POINTS, "sample_id,point_id"))
+def _(f):
+    return spatial.mesh_signed_distance(_mesh_points(f), materialize(f.skin(), "soup"), ["point_id"], cell=1.0)
+
+
+#: A grid that reaches far beyond the images: 8 nodes an axis, 4.1 apart, from -9.
+WIDE = """SELECT sample_id, a.n AS i, b.n AS j, c.n AS k, a.n*4.1e0-9 AS x, b.n*4.1e0-9 AS y, c.n*4.1e0-9 AS z
+    FROM (SELECT DISTINCT sample_id FROM image) s, (SELECT range AS n FROM range(8)) a, (SELECT range AS n FROM range(8)) b, (SELECT range AS n FROM range(8)) c"""
+WIDE_FAR = 0.5 + 3 * 4.1 * 3**0.5
+
+
+@query("pr13_mesh_band", "l:sample_id,i,j,k s:kind d:distance", f"""WITH d AS MATERIALIZED ({_square_distance(WIDE, "sample_id,i,j,k")}),
+    corner AS (SELECT sample_id, distance, unnest(list_distinct([i//3, greatest(CAST(ceil(i/3.0) AS BIGINT)-1, 0)])) AS ci, j, k FROM d WHERE (i%3=0 OR i=7) AND (j%3=0 OR j=7) AND (k%3=0 OR k=7)),
+    corner2 AS (SELECT sample_id, distance, ci, unnest(list_distinct([j//3, greatest(CAST(ceil(j/3.0) AS BIGINT)-1, 0)])) AS cj, k FROM corner),
+    corner3 AS (SELECT sample_id, distance, ci, cj, unnest(list_distinct([k//3, greatest(CAST(ceil(k/3.0) AS BIGINT)-1, 0)])) AS ck FROM corner2),
+    kinds AS (SELECT sample_id, ci, cj, ck, min(distance) AS lo, max(distance) AS hi FROM corner3 GROUP BY ALL)
+    SELECT d.sample_id, i, j, k, CASE WHEN lo > {WIDE_FAR} THEN 'outside' WHEN hi < -{WIDE_FAR} THEN 'inside' ELSE 'exact' END AS kind,
+        CASE WHEN lo > {WIDE_FAR} THEN lo-{WIDE_FAR - 0.5} WHEN hi < -{WIDE_FAR} THEN hi+{WIDE_FAR - 0.5} ELSE distance END AS distance
+    FROM d JOIN kinds x ON x.sample_id=d.sample_id AND ci=i//3 AND cj=j//3 AND ck=k//3""")
+def _(f):
+    """Signed distance of each image's mesh on a wide grid, exact only where coarse distances cannot prove the side."""
+    nodes = f.image().select("sample_id").distinct()
+    for c in "ijk":
+        nodes = nodes.withColumn(c, F.explode(F.sequence(F.lit(0), F.lit(7))))
+    voxels = nodes.withColumns({a: F.col(c) * 4.1 - 9.0 for a, c in zip("xyz", "ijk")})
+    return spatial.banded_mesh_distance(voxels, materialize(f.skin(), "soup"), 3, 0.5, (4.1, 4.1, 4.1), cell=1.0)
 
 
 # 2.1 files: written from the mesh or image and read back

@@ -135,79 +135,16 @@ def number_by_separation(separation: Column) -> Column:
     return F.try_divide(F.lit(1.0), separation)
 
 
-# intercepts along rays
-
-def jittered_rays(directions: DataFrame, per_side: int, seed: int = 1) -> DataFrame:
-    """per_side^2 parallel rays per direction (dir, dx, dy, dz): dir, ray, direction and offsets a, b in [-1, 1] on the plane across it."""
-    spread = directions.withColumn("ray", F.explode(F.sequence(F.lit(0), F.lit(per_side * per_side - 1))))
-    at = lambda n, w: ((n + g.hash_uniform(seed, F.col("dir"), F.col("ray"), F.lit(w))) / per_side) * 2.0 - 1.0
-    return spread.withColumns({"u": at(F.col("ray") % per_side, "u"), "v": at(F.floor(F.col("ray") / per_side), "v")})
-
-
-def _on_box(rays: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Rays through each sample's index box [0, n): origin ox..oz, entry and exit parameters."""
-    d = g.vec("d")
-    helper = tuple(F.when(F.abs(F.col("dz")) < 0.9, F.lit(z)).otherwise(F.lit(x)) for z, x in ((0.0, 1.0), (0.0, 0.0), (1.0, 0.0)))
-    p = g.unit(g.cross(d, helper), (1.0, 0.0, 0.0))
-    q = g.cross(d, p)
-    radius = F.sqrt(F.col("ni") * F.col("ni") + F.col("nj") * F.col("nj") + F.col("nk") * F.col("nk")) / 2
-    middle = tuple(F.col(f"n{c}") / 2.0 for c in CELL)
-    origin = tuple(m + (a * F.col("u") + b * F.col("v")) * radius - e * radius for m, a, b, e in zip(middle, p, q, d))
-    placed = sizes.crossJoin(F.broadcast(rays)).withColumns({f"o{a}": e for a, e in zip("xyz", origin)})
-    lo, hi = g.ray_meets_box(g.vec("o"), d, tuple(F.lit(0.0) for _ in CELL), tuple(F.col(f"n{c}").cast("double") for c in CELL))
-    return placed.withColumns({"t0": F.greatest(lo, F.lit(0.0)), "t1": hi}).filter("t1 > t0")
-
-
-def image_sizes(image: DataFrame) -> DataFrame:
-    return image.groupBy("sample_id").agg(*((F.max(c) + 1).alias(f"n{c}") for c in CELL))
-
-
-def sampled_intercepts(image: DataFrame, rays: DataFrame, step: float = math.sqrt(3.0)) -> DataFrame:
-    """sample_id, dir: length and phase changes along rays sampled every ``step`` voxels, inside the mask only.
-
-    ``rays`` is one table for all samples whose size is set by its parameters; samples grow by rows.
-    """
-    along = _on_box(rays, image_sizes(image)).withColumn("s", F.explode(F.sequence(F.lit(0), F.floor((F.col("t1") - F.col("t0")) / step).cast("int"))))
-    t = F.col("t0") + F.col("s") * step
-    points = along.select("sample_id", "dir", "ray", "s", *(F.floor(F.col(f"o{a}") + F.col(f"d{a}") * t).cast("int").alias(c) for a, c in zip("xyz", CELL)))
-    order = Window.partitionBy("sample_id", "dir", "ray").orderBy("s")
-    met = points.join(image.select(*KEY, "solid", F.col("inside") if "inside" in image.columns else F.lit(True).alias("inside")), KEY)
-    both = met.withColumns({"_s": F.lag("solid").over(order), "_i": F.lag("inside").over(order), "_at": F.lag("s").over(order)}).filter(
-        "inside and _i and _at = s - 1")
-    return both.groupBy("sample_id", "dir").agg((F.count("*") * step).alias("length"), F.count_if(F.col("solid") != F.col("_s")).alias("crossings"))
-
-
-def _hits(axis: str):
-    """Parameter at which a ray meets the plane ``w`` across an axis."""
-    return lambda w: F.try_divide(w - F.col(f"o{axis}"), F.col(f"d{axis}"))
-
-
-def walked_intercepts(image: DataFrame, rays: DataFrame) -> DataFrame:
-    """As ``sampled_intercepts`` by an exact voxel walk: every piece of a ray between two voxel faces counts with its length."""
-    placed = _on_box(rays, image_sizes(image))
-    cuts = []
-    for a, c in zip("xyz", CELL):
-        planes = F.sequence(F.lit(1), F.greatest(F.col(f"n{c}") - 1, F.lit(1)))
-        cuts.append(F.when(F.col(f"d{a}") != 0, F.transform(planes, _hits(a))).otherwise(F.array().cast("array<double>")))
-    inner = F.filter(F.concat(*cuts), lambda t: (t > F.col("t0")) & (t < F.col("t1")))
-    ts = F.array_sort(F.concat(F.array("t0"), inner, F.array("t1")))
-    pieces = placed.withColumn("_ts", ts).select("sample_id", "dir", "ray", *(f"{v}{a}" for v in "od" for a in "xyz"), "_ts", F.posexplode(F.slice("_ts", F.lit(1), F.size("_ts") - 1)).alias("s", "ta"))
-    tb = F.get("_ts", F.col("s") + 1)
-    mid = (F.col("ta") + tb) / 2
-    points = pieces.select("sample_id", "dir", "ray", "s", (tb - F.col("ta")).alias("w"), *(F.floor(F.col(f"o{a}") + F.col(f"d{a}") * mid).cast("int").alias(c) for a, c in zip("xyz", CELL))).filter("w > 1e-9")
-    order = Window.partitionBy("sample_id", "dir", "ray").orderBy("s")
-    met = points.join(image.select(*KEY, "solid", F.col("inside") if "inside" in image.columns else F.lit(True).alias("inside")), KEY)
-    both = met.withColumns({"_s": F.lag("solid").over(order), "_i": F.lag("inside").over(order), "_w": F.lag("w").over(order)}).filter("inside and _i")
-    return both.groupBy("sample_id", "dir").agg(F.sum((F.col("w") + F.col("_w")) / 2).alias("length"), F.count_if(F.col("solid") != F.col("_s")).alias("crossings"))
-
+# intercepts along rays (see ``rays``)
 
 def trabecular_number(intercepts: DataFrame, voxel: float) -> DataFrame:
     """Half the crossings per length over all directions."""
     return intercepts.groupBy("sample_id").agg(F.try_divide(F.sum("crossings") * 0.5, F.sum("length") * voxel).alias("tb_n"))
 
 
-def mean_intercept_lengths(intercepts: DataFrame, rays_directions: DataFrame) -> DataFrame:
-    return intercepts.filter("crossings > 0").withColumn("mil", F.col("length") / F.col("crossings")).join(F.broadcast(rays_directions), "dir")
+def mean_intercept_lengths(intercepts: DataFrame) -> DataFrame:
+    """Intercepts of the directions that cross the phases, with ``mil``, their length per crossing in voxels."""
+    return intercepts.filter("crossings > 0").withColumn("mil", F.col("length") / F.col("crossings"))
 
 
 def degree_of_anisotropy(mils: DataFrame, mode: int = 3) -> DataFrame:

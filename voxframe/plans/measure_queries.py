@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from ..operators import bricks, fields, graph, measure, sampling, surface
+from ..operators import bricks, fields, graph, measure, rays, sampling, surface
 from ..sources.scratch import materialize
 from .fixtures import SIDE
 from .mesh_queries import _mesh
@@ -117,27 +117,52 @@ def _(f):
     return n.select("sample_id", measure.number_by_ratio(F.col("bv_tv"), L(0.7)).alias("by_ratio"), measure.number_by_separation(L(0.9)).alias("by_separation"))
 
 
-# 12 parallel rays along each axis through voxel centres: the three-direction case of the ray tables
+# rays through the middles of the fields of a square across the box: {dirs} directions, {side} x {side} rays each
 
-def _rays(f, n_dirs: int, side: int):
-    return measure.jittered_rays(sampling.fibonacci_directions(f.spark.range(n_dirs).select(F.col("id").alias("d")), L(n_dirs)).withColumnRenamed("d", "dir"), side)
+RAYS = """WITH turn AS (SELECT dir, sin(polar)*cos(turn) AS dx, sin(polar)*sin(turn) AS dy, cos(polar) AS dz FROM (
+        SELECT CAST(range AS BIGINT) AS dir, acos(1.0e0-(range+0.5e0)*2.0e0/{dirs}) AS polar, range*3.141592653589793e0*(1.0e0+power(5.0e0,0.5e0)) AS turn FROM range({dirs}))),
+    cross_p AS (SELECT *, CASE WHEN abs(dz) < 0.9e0 THEN dy ELSE 0.0e0 END AS cx, CASE WHEN abs(dz) < 0.9e0 THEN -dx ELSE dz END AS cy, CASE WHEN abs(dz) < 0.9e0 THEN 0.0e0 ELSE -dy END AS cz FROM turn),
+    p AS (SELECT dir, dx, dy, dz, cx/sqrt(cx*cx+cy*cy+cz*cz) AS px, cy/sqrt(cx*cx+cy*cy+cz*cz) AS py, cz/sqrt(cx*cx+cy*cy+cz*cz) AS pz FROM cross_p),
+    q AS (SELECT *, dy*pz-dz*py AS qx, dz*px-dx*pz AS qy, dx*py-dy*px AS qz FROM p),
+    uv AS (SELECT q.*, r.range AS ray, ((r.range%{side})+0.5e0)/{side}*2-1 AS u, ((r.range//{side})+0.5e0)/{side}*2-1 AS v, sqrt({n}*{n}*3.0e0)/2 AS rad FROM q, range({side}*{side}) r),
+    o AS (SELECT dir, ray, dx, dy, dz, {n}/2.0e0+(px*u+qx*v-dx)*rad AS ox, {n}/2.0e0+(py*u+qy*v-dy)*rad AS oy, {n}/2.0e0+(pz*u+qz*v-dz)*rad AS oz FROM uv),
+    hit AS MATERIALIZED (SELECT *, greatest(least(-ox/dx,({n}-ox)/dx), least(-oy/dy,({n}-oy)/dy), least(-oz/dz,({n}-oz)/dz), 0) AS t0,
+        least(greatest(-ox/dx,({n}-ox)/dx), greatest(-oy/dy,({n}-oy)/dy), greatest(-oz/dz,({n}-oz)/dz)) AS t1 FROM o WHERE true)"""
+SAMPLED = RAYS + """, s AS (SELECT dir, ray, CAST(unnest(generate_series(0, CAST(floor((t1-t0)/sqrt(3.0e0)) AS BIGINT))) AS BIGINT) AS s, ox, oy, oz, dx, dy, dz, t0 FROM hit WHERE t1 > t0),
+    spot AS MATERIALIZED (SELECT dir, ray, s, least(greatest(floor(ox+dx*(t0+s*sqrt(3.0e0))),0),{n}-1) AS i, least(greatest(floor(oy+dy*(t0+s*sqrt(3.0e0))),0),{n}-1) AS j, least(greatest(floor(oz+dz*(t0+s*sqrt(3.0e0))),0),{n}-1) AS k FROM s),
+    seen AS (SELECT v.sample_id, dir, ray, s, solid, lag(solid) OVER w AS before FROM spot JOIN voxels v ON v.i=spot.i AND v.j=spot.j AND v.k=spot.k WINDOW w AS (PARTITION BY v.sample_id, dir, ray ORDER BY s))
+    SELECT sample_id, dir, sqrt(3.0e0)*count(before) AS length, count(*) FILTER (solid <> before) AS crossings FROM seen WHERE before IS NOT NULL GROUP BY ALL"""
+WALKED = RAYS + """, cuts AS (SELECT dir, ray, ox, oy, oz, dx, dy, dz, unnest(list_sort(list_concat([t0, t1], list_filter(list_concat(list_transform(range(1, {n}), lambda x: (x-ox)/dx),
+            list_transform(range(1, {n}), lambda x: (x-oy)/dy), list_transform(range(1, {n}), lambda x: (x-oz)/dz)), lambda t: t > t0 AND t < t1)))) AS t FROM hit WHERE t1 > t0),
+    part AS (SELECT *, lead(t) OVER (PARTITION BY dir, ray ORDER BY t) AS t2 FROM cuts),
+    spot AS MATERIALIZED (SELECT dir, ray, t, t2-t AS w, least(greatest(floor(ox+dx*(t+t2)/2),0),{n}-1) AS i, least(greatest(floor(oy+dy*(t+t2)/2),0),{n}-1) AS j, least(greatest(floor(oz+dz*(t+t2)/2),0),{n}-1) AS k FROM part WHERE t2-t > 1e-9),
+    seen AS (SELECT v.sample_id, dir, solid, w, lag(solid) OVER o AS before, lag(w) OVER o AS wb FROM spot JOIN voxels v ON v.i=spot.i AND v.j=spot.j AND v.k=spot.k WINDOW o AS (PARTITION BY v.sample_id, dir, ray ORDER BY t))
+    SELECT sample_id, dir, sum((w+wb)/2) AS length, count(*) FILTER (solid <> before) AS crossings FROM seen WHERE before IS NOT NULL GROUP BY ALL"""
 
 
-@query("mt9_intercepts", "l:sample_id,dir b:positive")
+def _ray_sql(text: str, dirs: int, side: int) -> str:
+    return text.replace("{dirs}", str(dirs)).replace("{side}", str(side)).replace("{n}", str(SIDE))
+
+
+@query("mt9_intercepts", "l:sample_id,dir,crossings d:length", _ray_sql(SAMPLED, 24, 8), digits=4)
+def _(f):
+    return rays.sampled_intercepts(f.voxels(), 24, 8, jitter=False)
+
+
+@query("mt9_walked_intercepts", "l:sample_id,dir,crossings d:length", _ray_sql(WALKED, 12, 6), digits=4)
 def _(f):
-    return measure.sampled_intercepts(f.voxels(), _rays(f, 24, 8)).withColumn("positive", F.col("length") > 0)
+    return rays.walked_intercepts(f.voxels(), 12, 6, jitter=False)
 
 
-@query("mt10_anisotropy", "l:sample_id b:in_range", "SELECT DISTINCT sample_id, true AS in_range FROM image")
+@query("mt10_anisotropy", "l:sample_id d:da")
 def _(f):
-    rays = _rays(f, 24, 8)
-    mils = measure.mean_intercept_lengths(measure.sampled_intercepts(f.voxels(), rays), rays.select("dir", "dx", "dy", "dz").distinct())
-    return measure.degree_of_anisotropy(mils).withColumn("in_range", F.col("da").between(0, 1))
+    """Degree of anisotropy (mode 3) of each image from jittered rays."""
+    return measure.degree_of_anisotropy(measure.mean_intercept_lengths(rays.sampled_intercepts(f.voxels(), 24, 8)))
 
 
-@query("mt11_trabecular_number", "l:sample_id b:positive", "SELECT DISTINCT sample_id, true AS positive FROM image")
+@query("mt11_trabecular_number", "l:sample_id d:tb_n", f"SELECT sample_id, sum(crossings)*0.5/(sum(length)*0.5) AS tb_n FROM ({_ray_sql(WALKED, 12, 6)}) GROUP BY sample_id")
 def _(f):
-    return measure.trabecular_number(measure.walked_intercepts(f.voxels(), _rays(f, 12, 6)), 0.5).withColumn("positive", F.col("tb_n") > 0)
+    return measure.trabecular_number(rays.walked_intercepts(f.voxels(), 12, 6, jitter=False), 0.5)
 
 
 # components and paths
@@ -189,7 +214,7 @@ SAMPLES = "(SELECT DISTINCT sample_id FROM image) s"
     SELECT s.sample_id, {STATUS}, CASE WHEN b IS NOT NULL THEN greatest(1, b.cost/1e9/(last-first)) END AS tortuosity FROM {SAMPLES} LEFT JOIN span USING (sample_id) LEFT JOIN best USING (sample_id)""")
 def _(f):
     image = f.voxels()
-    return measure.tortuosity(image.filter("not solid"), measure.image_sizes(image), voxel=0.5)
+    return measure.tortuosity(image.filter("not solid"), rays.image_sizes(image), voxel=0.5)
 
 
 @query("mt16_end_distance_ratio", "l:sample_id s:status d:length,tortuosity", WALK.format(ends=WINDOW) + BACK + f""",
@@ -199,14 +224,14 @@ def _(f):
 def _(f):
     """The shortest way over the straight distance of its ends."""
     image = f.voxels()
-    return measure.tortuosity(image.filter("not solid"), measure.image_sizes(image), voxel=0.5, mode=1)
+    return measure.tortuosity(image.filter("not solid"), rays.image_sizes(image), voxel=0.5, mode=1)
 
 
 @query("mt17_path_rows", "l:sample_id,step d:x,y,z", WALK.format(ends=WINDOW) + BACK + " SELECT sample_id, step, (i+0.5)*0.5 AS x, (j+0.5)*0.5 AS y, (k+0.5)*0.5 AS z FROM back")
 def _(f):
     """The rows of each sample's shortest way from its outlet (step 0) to an inlet, voxel centres in length units."""
     image = f.voxels()
-    return measure.path_rows(image.filter("not solid"), measure.image_sizes(image), voxel=0.5)
+    return measure.path_rows(image.filter("not solid"), rays.image_sizes(image), voxel=0.5)
 
 
 @query("mt17_path_ends", "l:sample_id,steps b:connected", WALK.format(ends=f"""way AS MATERIALIZED (SELECT sample_id, i, j, k FROM voxels WHERE NOT solid),
@@ -229,7 +254,7 @@ def _(f):
 def _(f):
     """The older form, with inlets four voxels from the sides, as images here are small."""
     image = f.voxels()
-    return measure.plane_tortuosity(image.filter("not solid"), measure.image_sizes(image), margin=4, voxel=0.5)
+    return measure.plane_tortuosity(image.filter("not solid"), rays.image_sizes(image), margin=4, voxel=0.5)
 
 
 # statistics

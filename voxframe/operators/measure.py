@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..sources.scratch import materialize
-from .bricks import shortest_paths, trace_back
+from .bricks import FAR, shortest_paths, trace_back
 
 CELL = ["i", "j", "k"]
 KEY = ["sample_id", *CELL]
@@ -52,26 +55,89 @@ def connectivity_density(vertices: DataFrame, faces: DataFrame, domain: DataFram
         "conn_d", (1.0 - F.col("chi") / 2) / F.col("domain_volume"))
 
 
+def _corner_shares() -> list[int]:
+    """Eight times the share of a corner in vertices - edges + faces - cubes, for each choice of solid voxels around it.
+
+    Bit x + 2y + 4z stands for the voxel on side (x, y, z). The corner is one vertex; an edge runs to each of six sides and
+    belongs to two corners, a face to four, a cube to eight; each is there if any voxel it touches is.
+    """
+    cells = [(x, y, z) for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1)]
+    touch = {c: sum(1 << (x + 2 * y + 4 * z) for x in (0, 1) for y in (0, 1) for z in (0, 1) if all(d == 0 or d == 2 * s - 1 for d, s in zip(c, (x, y, z)))) for c in cells}
+    size = lambda c: sum(d != 0 for d in c)
+    return [sum((-1) ** size(c) * 8 // 2 ** size(c) for c in cells if code & touch[c]) for code in range(256)]
+
+
 def euler_number(solid: DataFrame) -> DataFrame:
     """chi of each sample's solid voxels as closed cubes: vertices - edges + faces - cubes, each counted once.
 
-    Corners of voxels are doubled indices; a cell of the complex is odd along the axes it spans.
+    A voxel sends one bit to each of its eight corners; a corner's bits name its share in a table of 256.
     """
-    cube = [F.col(c) * 2 + 1 for c in CELL]
-    steps = [(x, y, z) for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1)]
-    parts = F.explode(F.array(*(F.struct(*((e + d).alias(c) for e, d, c in zip(cube, s, "xyz")), F.lit((-1) ** sum(d == 0 for d in s)).alias("sign")) for s in steps)))
-    return solid.select("sample_id", parts.alias("p")).select("sample_id", "p.*").distinct().groupBy("sample_id").agg(F.sum("sign").alias("chi"))
+    spots = F.explode(F.array(*(F.struct(*((F.col(c) + d).alias(a) for c, d, a in zip(CELL, s, "xyz")), F.lit(1 << sum((1 - d) << n for n, d in enumerate(s))).alias("bit"))
+                                for s in [(x, y, z) for x in (0, 1) for y in (0, 1) for z in (0, 1)])))
+    codes = solid.select("sample_id", *CELL).distinct().select("sample_id", spots.alias("p")).groupBy("sample_id", "p.x", "p.y", "p.z").agg(F.sum("p.bit").cast("int").alias("code"))
+    share = F.element_at(F.array(*map(F.lit, _corner_shares())), F.col("code") + 1)
+    return codes.groupBy("sample_id").agg((F.sum(share) / 8).cast("long").alias("chi"))
 
 
 # distance transform and local thickness
 
+def lower_envelope(at: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """min over w of value(w) + (u - w)^2 at every place u, for many lines at once (rows; places ascend, FAR marks no value).
+
+    One sweep keeps the parabolas of the lower envelope as a stack per line, a second reads them; both are linear in
+    the length of a line, and each step works on all lines.
+    """
+    lines, n = at.shape
+    rows = np.arange(lines)
+    stack, start = np.zeros((lines, n), np.int64), np.full((lines, n + 1), np.inf)
+    top = np.full(lines, -1)
+    for q in range(n):
+        todo = rows[value[:, q] < FAR]
+        cut = np.full(lines, -np.inf)
+        while len(todo):
+            todo = todo[top[todo] >= 0]
+            v = stack[todo, top[todo]]
+            a, b = at[todo, v], at[todo, q]
+            cut[todo] = ((value[todo, q] + b * b) - (value[todo, v] + a * a)) / (2.0 * (b - a))
+            todo = todo[cut[todo] <= start[todo, top[todo]]]
+            top[todo] -= 1
+            cut[todo] = -np.inf
+        own = rows[value[:, q] < FAR]
+        top[own] += 1
+        stack[own, top[own]], start[own, top[own]] = q, cut[own]
+        start[own, top[own] + 1] = np.inf
+    out, here = np.full((lines, n), FAR), np.zeros(lines, np.int64)
+    some = rows[top >= 0]
+    for q in range(n):
+        ahead = some
+        while len(ahead):
+            ahead = ahead[start[ahead, here[ahead] + 1] < at[ahead, q]]
+            here[ahead] += 1
+        v = stack[some, here[some]]
+        out[some, q] = value[some, v] + (at[some, q] - at[some, v]) ** 2
+    return out
+
+
 def _line_minimum(df: DataFrame, axis: str, value: str) -> DataFrame:
     """min over the line along ``axis`` of value(w) + (u - w)^2, for every row u; lines are arrays of at most one grid side."""
     rest = [c for c in CELL if c != axis]
-    lines = df.groupBy("sample_id", *rest).agg(F.collect_list(F.struct(F.col(axis).alias("u"), F.col(value).alias("g"))).alias("line"))
-    known = F.filter("line", lambda p: p["g"].isNotNull())
-    best = F.transform("line", lambda p: F.struct(p["u"].alias("u"), F.array_min(F.transform("_known", lambda q: q["g"] + (p["u"] - q["u"]) * (p["u"] - q["u"]))).alias("g")))
-    return lines.withColumn("_known", known).select("sample_id", *rest, F.explode(best).alias("b")).select("sample_id", *rest, F.col("b.u").alias(axis), F.col("b.g").alias(value))
+    lines = df.groupBy("sample_id", *rest).agg(F.array_sort(F.collect_list(F.struct(F.col(axis).cast("long").alias("u"), F.coalesce(value, F.lit(int(FAR))).alias("g")))).alias("line"))
+    schema = f"sample_id long, {rest[0]} int, {rest[1]} int, {axis} int, {value} long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            offsets = batch["u"].offsets.to_numpy()
+            sizes, n = np.diff(offsets), int(np.diff(offsets).max(initial=0))
+            # places are filled up to the longest line of the batch; nothing lies there
+            row, col = np.repeat(np.arange(len(sizes)), sizes), np.arange(offsets[-1] - offsets[0]) - np.repeat(offsets[:-1] - offsets[0], sizes)
+            at, known = np.zeros((len(sizes), n), np.int64), np.full((len(sizes), n), FAR)
+            at[:] = np.arange(n) + (1 << 22)
+            at[row, col], known[row, col] = batch["u"].values.to_numpy()[offsets[0]:offsets[-1]], batch["g"].values.to_numpy()[offsets[0]:offsets[-1]]
+            best = lower_envelope(at, known)[row, col]
+            yield pa.RecordBatch.from_arrays([*(batch[c].take(pa.array(row)) for c in ("sample_id", *rest)), pa.array(at[row, col].astype(np.int32)), pa.array(best, mask=best >= FAR)],
+                                             names=["sample_id", *rest, axis, value])
+
+    return lines.select("sample_id", *(F.col(c).cast("int") for c in rest), F.col("line.u").alias("u"), F.col("line.g").alias("g")).mapInArrow(run, schema)
 
 
 def distance_transform(image: DataFrame) -> DataFrame:
@@ -160,8 +226,6 @@ def degree_of_anisotropy(mils: DataFrame, mode: int = 3) -> DataFrame:
     sums = rows.groupBy("sample_id").agg(*(F.sum(F.col(f"t{p}") * F.col(f"t{q}")).alias(f"m{p}{q}") for p in range(9) for q in range(p, 9)), *(F.sum(f"t{p}").alias(f"r{p}") for p in range(9)))
 
     def solve(batches):
-        import numpy as np
-
         for pdf in batches:
             out = []
             for _, row in pdf.iterrows():

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import Window
@@ -90,12 +91,21 @@ def _flat_points(f):
     return f.common("points").select("point_id", *(F.floor(F.col(a) * 60).cast("double").alias(a) for a in "xy"))
 
 
-@query("gp9_points_in_polygons", "l:point_id,poly_id", f"""SELECT point_id, poly_id FROM (SELECT p.point_id, e.poly_id,
+#: Polygons apart: as many places over the square of the points as it takes, one polygon a place.
+APART = """SELECT poly_id, (x/1000e0+poly_id%w)*(960e0/w) AS x, (y/1000e0+poly_id//w)*(960e0/w) AS y, (x2/1000e0+poly_id%w)*(960e0/w) AS x2, (y2/1000e0+poly_id//w)*(960e0/w) AS y2
+    FROM pedges, (SELECT CAST(ceil(sqrt(max(poly_id)+1)) AS BIGINT) AS w FROM corners)"""
+IN_POLYGON = """SELECT point_id, poly_id FROM (SELECT p.point_id, e.poly_id,
     count(*) FILTER ((e.y>p.y)<>(e.y2>p.y) AND CASE WHEN e.y2>e.y THEN (e.x2-e.x)*(p.y-e.y)-(p.x-e.x)*(e.y2-e.y) <= 0 ELSE (e.x2-e.x)*(p.y-e.y)-(p.x-e.x)*(e.y2-e.y) >= 0 END) AS n,
     count(*) FILTER ((e.x2-e.x)*(p.y-e.y)-(p.x-e.x)*(e.y2-e.y)=0 AND p.x BETWEEN least(e.x,e.x2) AND greatest(e.x,e.x2) AND p.y BETWEEN least(e.y,e.y2) AND greatest(e.y,e.y2)) AS edge
-    FROM ({FLAT_POINTS}) p, pedges e GROUP BY ALL) WHERE n%2=1 AND edge=0""")
+    FROM ({points}) p, ({edges}) e GROUP BY ALL) WHERE n%2=1 AND edge=0"""
+
+
+@query("gp9_points_in_polygons", "l:point_id,poly_id", IN_POLYGON.format(points=FLAT_POINTS, edges=APART))
 def _(f):
-    return polygon.points_in_polygons(_flat_points(f), _polys(f), cell=20.0)
+    polys = _polys(f)
+    w = math.ceil(math.sqrt(polys.agg(F.max("poly_id")).first()[0] + 1))
+    apart = polys.withColumns({"x": (F.col("x") / 1000.0 + F.col("poly_id") % w) * (960.0 / w), "y": (F.col("y") / 1000.0 + F.floor(F.col("poly_id") / w)) * (960.0 / w)})
+    return polygon.points_in_polygons(_flat_points(f), apart, cell=960.0 / w / 12)
 
 
 SEGMENT = "sqrt(pow(px-x-(x2-x)*t,2)+pow(py-y-(y2-y)*t,2))"

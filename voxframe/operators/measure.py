@@ -346,6 +346,30 @@ def stale_metrics(metrics: DataFrame, meshes: DataFrame, names: list[str]) -> Da
     return out.select("sample_id", *((F.col(f"{n}_version") != F.col("_now")).alias(f"{n}_stale") for n in names))
 
 
+def metric_row(voxels: DataFrame, soup: DataFrame, vertices: DataFrame, faces: DataFrame, voxel: float, domain_volume: float, directions: int = 2000, per_side: int = 100,
+               jitter: bool = True, smooth_step: float | None = None, anisotropy_mode: int | None = None) -> DataFrame:
+    """The full set of measures of each sample as one row, by the names of the metrics file.
+
+    ``voxels``: all voxels with ``solid``; ``soup``, ``vertices`` and ``faces``: the mesh; ``voxel`` the edge of a voxel and
+    ``domain_volume`` in the mesh's units. The structure model index is taken with ``smooth_step`` (the grid step), the degree
+    of anisotropy with ``anisotropy_mode``; either is left out without. Samples lacking a measure have null there.
+    """
+    from .rays import image_sizes, sampled_intercepts, walked_intercepts
+
+    domain = voxels.select("sample_id").distinct().withColumn("domain_volume", F.lit(domain_volume))
+    size = mesh_area_volume(soup)
+    named = lambda df, first: df.select("sample_id", F.col("thickness").alias(first), F.col("thickness_sd").alias(f"{first}_sd"))
+    way = tortuosity(voxels.filter("not solid"), image_sizes(voxels), voxel=voxel)
+    parts = [size, mesh_ratios(size, domain).select("sample_id", "porosity", "bs_bv", "bs_tv"), euler_number(voxels.filter("solid")), connectivity_density(vertices, faces, domain).select("sample_id", "conn_d"),
+             named(local_thickness(voxels, voxel), "tb_th"), named(local_thickness(voxels, voxel, inverse=True), "tb_sp"),
+             trabecular_number(walked_intercepts(voxels, directions, per_side, jitter=jitter), voxel), way.select("sample_id", F.col("status").alias("tortuosity_status"), "tortuosity")]
+    if smooth_step is not None:
+        parts.append(structure_model_index(vertices, faces, smooth_step).select("sample_id", "smi"))
+    if anisotropy_mode is not None:
+        parts.append(degree_of_anisotropy(mean_intercept_lengths(sampled_intercepts(voxels, directions, per_side, jitter=jitter)), anisotropy_mode))
+    return measure_all([materialize(part, "measure") for part in parts], domain)
+
+
 def measure_all(parts: list[DataFrame], samples: DataFrame) -> DataFrame:
     """One row per sample with the columns of all measures; null where a measure has none."""
     return reduce(lambda a, b: a.join(b, "sample_id", "left"), parts, samples.select("sample_id"))

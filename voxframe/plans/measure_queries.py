@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..operators import bricks, fields, graph, measure, rays, sampling, surface
-from ..sources.scratch import materialize
-from .fixtures import SIDE
+from ..sources.scratch import materialize, scratch_root
+from .fixtures import SIDE, STEP
 from .mesh_queries import _mesh
 from .registry import query
 
@@ -101,12 +104,16 @@ def _(f):
     return measure.paint_spheres(measure.ridge(distances), image.filter("solid"))
 
 
-@query("mt7_local_thickness", "l:sample_id d:thickness,thickness_sd", f"SELECT sample_id, avg(diameter)*0.5 AS thickness, stddev_pop(diameter)*0.5 AS thickness_sd FROM ({PAINT}) GROUP BY sample_id")
+THICKNESS = f"SELECT sample_id, avg(diameter)*0.5 AS thickness, stddev_pop(diameter)*0.5 AS thickness_sd FROM ({PAINT}) GROUP BY sample_id"
+SEPARATION = f"SELECT sample_id, avg(diameter)*0.5 AS thickness, stddev_pop(diameter)*0.5 AS thickness_sd FROM ({PAINT.replace('NOT b.solid', 'b.solid').replace('AND v.solid', 'AND NOT v.solid')}) GROUP BY sample_id"
+
+
+@query("mt7_local_thickness", "l:sample_id d:thickness,thickness_sd", THICKNESS)
 def _(f):
     return measure.local_thickness(f.voxels(), 0.5)
 
 
-@query("mt8_local_separation", "l:sample_id d:thickness,thickness_sd", f"SELECT sample_id, avg(diameter)*0.5 AS thickness, stddev_pop(diameter)*0.5 AS thickness_sd FROM ({PAINT.replace('NOT b.solid', 'b.solid').replace('AND v.solid', 'AND NOT v.solid')}) GROUP BY sample_id")
+@query("mt8_local_separation", "l:sample_id d:thickness,thickness_sd", SEPARATION)
 def _(f):
     return measure.local_thickness(f.voxels(), 0.5, inverse=True)
 
@@ -160,7 +167,10 @@ def _(f):
     return measure.degree_of_anisotropy(measure.mean_intercept_lengths(rays.sampled_intercepts(f.voxels(), 24, 8)))
 
 
-@query("mt11_trabecular_number", "l:sample_id d:tb_n", f"SELECT sample_id, sum(crossings)*0.5/(sum(length)*0.5) AS tb_n FROM ({_ray_sql(WALKED, 12, 6)}) GROUP BY sample_id")
+NUMBER = f"SELECT sample_id, sum(crossings)*0.5/(sum(length)*0.5) AS tb_n FROM ({_ray_sql(WALKED, 12, 6)}) GROUP BY sample_id"
+
+
+@query("mt11_trabecular_number", "l:sample_id d:tb_n", NUMBER)
 def _(f):
     return measure.trabecular_number(rays.walked_intercepts(f.voxels(), 12, 6, jitter=False), 0.5)
 
@@ -210,8 +220,11 @@ STATUS = """CASE WHEN first IS NULL THEN 'no open planes' WHEN b IS NULL THEN 'n
 SAMPLES = "(SELECT DISTINCT sample_id FROM image) s"
 
 
-@query("mt15_tortuosity", "l:sample_id s:status d:length,tortuosity", WALK.format(ends=WINDOW) + f"""
-    SELECT s.sample_id, {STATUS}, CASE WHEN b IS NOT NULL THEN greatest(1, b.cost/1e9/(last-first)) END AS tortuosity FROM {SAMPLES} LEFT JOIN span USING (sample_id) LEFT JOIN best USING (sample_id)""")
+TORTUOSITY = WALK.format(ends=WINDOW) + f"""
+    SELECT s.sample_id, {STATUS}, CASE WHEN b IS NOT NULL THEN greatest(1, b.cost/1e9/(last-first)) END AS tortuosity FROM {SAMPLES} LEFT JOIN span USING (sample_id) LEFT JOIN best USING (sample_id)"""
+
+
+@query("mt15_tortuosity", "l:sample_id s:status d:length,tortuosity", TORTUOSITY)
 def _(f):
     image = f.voxels()
     return measure.tortuosity(image.filter("not solid"), rays.image_sizes(image), voxel=0.5)
@@ -275,19 +288,20 @@ def _(f):
     return measure.stale_metrics(s.drop("mesh_version"), s.select("sample_id", "mesh_version"), ["area", "smi"])
 
 
-@query("mt22_metric_rows", "l:sample_id,chi,solid d:area,volume,porosity,bs_bv,bs_tv,conn_d,tb_th", f"""SELECT m.sample_id, c.chi, solid, area, volume, 1-volume/1728.0 AS porosity, area/volume AS bs_bv, area/1728.0 AS bs_tv, conn_d, 2*volume/area AS tb_th
-    FROM ({VOLUME}) m JOIN ({CHI}) c USING (sample_id) JOIN (SELECT sample_id, count(*) AS solid FROM image GROUP BY sample_id) n USING (sample_id) JOIN (SELECT sample_id, (1-(v.n-e.n+t.n)/2.0)/1728.0 AS conn_d FROM {CHI_MESH.split(" FROM ", 1)[1]}) d USING (sample_id)""")
+@query("mt22_metric_rows", "l:sample_id,chi,solid s:tortuosity_status d:area,volume,porosity,bs_bv,bs_tv,conn_d,tb_th,tb_th_sd,tb_sp,tb_sp_sd,tb_n,tortuosity", f"""
+    SELECT m.sample_id, c.chi, solid, area, volume, 1-volume/1728.0 AS porosity, area/volume AS bs_bv, area/1728.0 AS bs_tv, conn_d, th.thickness AS tb_th, th.thickness_sd AS tb_th_sd, sp.thickness AS tb_sp, sp.thickness_sd AS tb_sp_sd, tn.tb_n,
+        w.status AS tortuosity_status, w.tortuosity
+    FROM ({VOLUME}) m JOIN ({CHI}) c USING (sample_id) JOIN (SELECT sample_id, count(*) AS solid FROM image GROUP BY sample_id) n USING (sample_id)
+    JOIN (SELECT sample_id, (1-(v.n-e.n+t.n)/2.0)/1728.0 AS conn_d FROM {CHI_MESH.split(" FROM ", 1)[1]}) d USING (sample_id)
+    JOIN ({THICKNESS}) th USING (sample_id) JOIN ({SEPARATION}) sp USING (sample_id) JOIN ({NUMBER}) tn USING (sample_id) JOIN ({TORTUOSITY}) w USING (sample_id)""", digits=5)
 def _(f):
-    """Size, surface and connectivity measures of each image as one row; mean thickness by the plate model."""
+    """All measures of each image as one row, but for anisotropy and the structure model index, which stand in ``mt10`` and ``mt3``."""
     image = f.image()
+    voxels = materialize(f.voxels(), "voxels")
     soup = materialize(f.skin(), "soup")
-    size = measure.mesh_area_volume(soup)
-    domain = image.select("sample_id").distinct().withColumn("domain_volume", L(float(SIDE**3)))
     v, t = (materialize(part, "mesh") for part in surface.weld(soup, 1e-6))
-    parts = [size, measure.mesh_ratios(size, domain).select("sample_id", "porosity", "bs_bv", "bs_tv"), measure.euler_number(image),
-             measure.connectivity_density(v, t, domain).select("sample_id", "conn_d"), image.groupBy("sample_id").agg(F.count("*").alias("solid")),
-             size.select("sample_id", F.try_divide(F.col("volume") * 2, F.col("area")).alias("tb_th"))]
-    return measure.measure_all(parts, domain)
+    row = measure.metric_row(voxels, soup, v, t, 0.5, float(SIDE**3), directions=12, per_side=6, jitter=False)
+    return row.join(image.groupBy("sample_id").agg(F.count("*").alias("solid")), "sample_id")
 
 
 # the chain from seeds to metrics
@@ -351,6 +365,98 @@ def _(f):
     return done.select("sample_id", (F.col("status") != "open").alias("settled"), (F.abs(F.col("metric") - 0.6) < 0.1).alias("near"))
 
 
+def _knob_measures(f, stretches=True):
+    """Measures of a recipe (sample_id, stretch, iso, threshold) over the seeds of each sample.
+
+    Porosity from the voxels; thickness by the plate model, twice the solid over its surface; anisotropy as the ratio of the
+    intercept lengths along and across the stretch, from lines along the axes. Only stretched recipes ask for new contrasts.
+    """
+    grid = materialize(f.grid(), "grid")
+    plain = None if stretches else materialize(fields.contrasts(grid, f.common("seeds")), "contrasts")
+
+    def field(rows):
+        if stretches:
+            # a longer cell along x is the same pattern read at a shorter x
+            at = grid.join(rows.select("sample_id", "stretch"), "sample_id").withColumn("x", F.col("x") / F.col("stretch")).drop("stretch")
+            cached = fields.contrasts(at, f.common("seeds"))
+        else:
+            cached = plain
+        return cached.join(rows.select("sample_id", "iso", "threshold"), "sample_id").withColumn(
+            "solid", fields.blend(F.col("wall"), F.col("strut"), F.col("threshold")) < F.col("iso"))
+
+    def changes(df, axis):
+        rest = [c for c in "ijk" if c != axis]
+        return (F.col("solid") != F.lag("solid").over(Window.partitionBy("sample_id", *rest).orderBy(axis))).cast("int")
+
+    def porosity(rows):
+        return field(rows).groupBy("sample_id").agg((1 - F.count_if("solid") / F.count("*")).alias("metric"))
+
+    def thickness(rows):
+        faces = field(rows)
+        sides = faces.withColumns({f"c{a}": changes(faces, a) for a in "ijk"})
+        return sides.groupBy("sample_id").agg(F.try_divide(F.count_if("solid") * 2.0 * STEP, F.sum(F.coalesce("ci", F.lit(0)) + F.coalesce("cj", F.lit(0)) + F.coalesce("ck", F.lit(0)))).alias("metric"))
+
+    def anisotropy(rows):
+        faces = field(rows)
+        sides = faces.withColumns({f"c{a}": changes(faces, a) for a in "ijk"})
+        return sides.groupBy("sample_id").agg(F.try_divide(F.sum(F.col("cj") + F.col("ck")) / 2.0, F.sum("ci")).alias("metric"))
+
+    return {"anisotropy": anisotropy, "thickness": thickness, "porosity": porosity}
+
+
+@query("bt2_nested_calibration", "l:sample_id,rounds s:anisotropy_status,thickness_status,porosity_status d:stretch,iso,threshold,thickness_metric,porosity_metric")
+def _(f):
+    """Three targets a sample: anisotropy by stretch, thickness by iso level, porosity by openness."""
+    from ..plans.calibrate import nested
+
+    start = f.samples().select("sample_id", L(1.2).alias("stretch"), L(0.9).alias("iso"), L(0.5).alias("threshold"), (F.col("sample_id") % 3 * 0.1 + 1.1).alias("target_anisotropy"),
+                               (F.col("sample_id") % 4 * 0.1 + 1.4).alias("target_thickness"), L(0.64).alias("target_porosity"))
+    return nested(start, _knob_measures(f), tol=0.015, most=3)
+
+
+@query("bt4_two_knobs", "l:sample_id,backed_off s:porosity_status b:settled d:iso,threshold,porosity_metric")
+def _(f):
+    """Thickness by iso level, then porosity by openness, again while the one has moved the other."""
+    from ..plans.calibrate import two_knobs
+
+    measures = _knob_measures(f, stretches=False)
+    start = f.samples().select("sample_id", L(1.0).alias("stretch"), L(0.0).alias("smooth_k"), (F.col("sample_id") % 4 * 0.1 + 1.4).alias("target_thickness"), L(0.64).alias("target_porosity"))
+    return two_knobs(start.withColumn("iso", F.col("target_thickness")), measures["thickness"], measures["porosity"], tol=0.05, passes=2, backs=0)
+
+
+@query("bt9_reference_trials", "l:sample_id s:trial,number_formula b:converged d:iso,threshold,thickness,thickness_off,porosity,porosity_off,tb_n,tb_n_off")
+def _(f):
+    """Published rows against a manual trial (iso level as published, openness solved) and a calibrated one (both solved).
+
+    References come through the CSV reader; the number is compared by the formula that each row names.
+    """
+    from ..plans.calibrate import nested
+    from ..sources import tables
+
+    path = f"{scratch_root(f.spark)}/voxframe/literature-{uuid.uuid4().hex}"
+    rows = f.samples().select(F.col("sample_id").cast("string").alias("sample_id"), L("box").alias("container_type"), (F.col("sample_id") % 4 * 0.1 + 1.4).alias("tb_th"), (F.col("sample_id") % 3 * 4.0 + 68.0).alias("porosity_pct"),
+                              L(0.2).alias("tb_n"), F.when(F.col("sample_id") % 2 == 0, "inv_tbsp").otherwise("bvtv_tbth").alias("tbn_formula"))
+    tables.write_csv(rows, path)
+    refs = materialize(tables.read_references(f.spark, path).withColumn("sample_id", F.col("sample_id").cast("long")), "references")
+    measures = _knob_measures(f, stretches=False)
+    start = refs.select("sample_id", L(1.0).alias("stretch"), F.col("tb_th").alias("iso"), L(0.5).alias("threshold"), F.col("tb_th").alias("target_thickness"), (F.col("porosity_pct") / 100).alias("target_porosity"))
+    manual = nested(start, {"porosity": measures["porosity"]}, tol=0.03, most=4)
+    solved = nested(start, {k: measures[k] for k in ("thickness", "porosity")}, tol=0.03, most=4)
+    out = None
+    for name, trial in (("manual", manual), ("calibrated", solved)):
+        trial = materialize(trial, "trial")
+        thick = measures["thickness"](trial).select("sample_id", F.col("metric").alias("thickness"))
+        met = F.col("porosity_status").isin("ok", "pinned") & (F.col("thickness_status").isin("ok", "pinned") if name == "calibrated" else L(True))
+        part = trial.withColumn("converged", met).select("sample_id", L(name).alias("trial"), "converged", "iso", "threshold", F.col("porosity_metric").alias("porosity")).join(thick, "sample_id")
+        out = part if out is None else out.unionByName(part)
+    known = out.join(refs.select("sample_id", "tb_th", "porosity_pct", F.col("tb_n").alias("tb_n_ref"), F.col("tbn_formula").alias("number_formula")), "sample_id")
+    # plate model: the space between plates is what thickness leaves of the spacing
+    separation = F.try_divide(F.col("thickness") * F.col("porosity"), 1 - F.col("porosity"))
+    number = F.when(F.col("number_formula") == "inv_tbsp", measure.number_by_separation(separation)).otherwise(measure.number_by_ratio(1 - F.col("porosity"), F.col("thickness")))
+    return known.withColumns({"tb_n": number, "thickness_off": F.col("thickness") - F.col("tb_th"), "porosity_off": F.col("porosity") - F.col("porosity_pct") / 100}).withColumn(
+        "tb_n_off", F.col("tb_n") - F.col("tb_n_ref"))
+
+
 @query("bt10_phantom_truth", "l:sample_id,chi s:shape b:thin_ok", """SELECT sample_id, CASE sample_id%4 WHEN 3 THEN 0 ELSE 1 END AS chi, ['slab','cylinder','sphere','torus'][sample_id%4+1] AS shape, true AS thin_ok FROM ids""")
 def _(f):
     """Loops and thickness of analytic shapes against their known values: chi 1 without loops, 0 with one; thickness within a voxel and a half."""

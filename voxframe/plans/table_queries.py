@@ -232,13 +232,6 @@ def _(f):
     return tables.read_references(f.spark, path, {"tb_n": 1.25}).agg(F.count("*").alias("rows"), F.sum("tb_th").alias("tb_th"), F.sum("tb_n").alias("tb_n"))
 
 
-@query("bt9_reference_comparison", "l:sample_id,trial d:off", "SELECT sample_id, t.range AS trial, avg(x)-(1.0+max(t.range)*0.5) AS off FROM seeds, range(2) t GROUP BY sample_id, t.range")
-def _(f):
-    achieved = f.common("seeds").groupBy("sample_id").agg(F.avg("x").alias("achieved"))
-    trials = f.samples().select("sample_id", F.explode(F.sequence(L(0), L(1))).alias("trial")).withColumn("reference", F.col("trial") * 0.5 + 1.0)
-    return trials.join(achieved, "sample_id").withColumn("off", F.col("achieved") - F.col("reference"))
-
-
 @query("bt11_batch_chain", "l:sample_id,seeds,solid d:porosity")
 def _(f):
     """Recipes to seeds to field to porosity in one job: thinning, contrasts, blend, largest part."""

@@ -8,7 +8,7 @@ from voxframe.plans import registry
 
 QUERIES, SQL = registry.queries(), registry.oracle_sql()
 #: Queries of many rounds, run by the others' parts or by their own tests below.
-SLOW = {"me4_iso_surface", "me16_simplified", "mt15_tortuosity", "mt17_path_ends", "sj5_nearest_triangle"}
+SLOW = {"me4_iso_surface", "me16_simplified", "pr13_mesh_band", "mt17_path_ends", "mt16_end_distance_ratio", "sj5_nearest_triangle"}
 
 
 @pytest.fixture(scope="session")

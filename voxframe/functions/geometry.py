@@ -286,6 +286,8 @@ def smooth_min_weights(a: Column, b: Column, k: Column) -> tuple[Column, Column]
 def pair_value(a: Column, b: Column) -> Column:
     """Stable number in [0, 1) of an unordered pair of ids."""
     lo, hi = F.least(a, b), F.greatest(a, b)
+    # remainders first, so that no id is too large for the products
+    lo, hi = F.pmod(lo, F.lit(1000003)), F.pmod(hi, F.lit(1000003))
     return F.pmod(lo * 73856093 + hi * 19349663, F.lit(1000003)) / 1000003.0
 
 

@@ -7,6 +7,7 @@ split by adaptive execution, and nothing is broadcast without Spark's own size c
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -39,9 +40,14 @@ def _right(points: DataFrame, rid: str, by: str) -> DataFrame:
 
 
 def radius_join(left: DataFrame, right: DataFrame, radius: Column | float, cell: float, by: str = "sample_id", right_id: str = "seed_id") -> DataFrame:
-    """Pairs within ``radius`` (of the left row; at most ``cell``): left columns, right id, distance."""
+    """Pairs within ``radius`` (a number, or of the left row): left columns, right id, distance.
+
+    Right rows are copied to as many cells around their own as the largest radius reaches, which is measured first.
+    """
+    largest = left.agg(F.max(g.lit(radius))).first()[0] or 0.0
+    reach = max(1, math.ceil(largest / cell))
     r = _right(right, right_id, by)
-    near = spread_cells(r.select("*", *[F.floor(F.col(f"_r{a}") / cell).cast("int").alias(c) for a, c in zip("xyz", CELL)]))
+    near = spread_cells(r.select("*", *[F.floor(F.col(f"_r{a}") / cell).cast("int").alias(c) for a, c in zip("xyz", CELL)]), reach)
     joined = left.select("*", *cell_of(cell)).join(near, [by, *CELL])
     d = g.point_distance(g.vec(), (F.col("_rx"), F.col("_ry"), F.col("_rz")))
     return joined.withColumn("distance", d).filter(F.col("distance") <= g.lit(radius)).select(

@@ -259,15 +259,35 @@ def taubin_mesh(vertices: DataFrame, faces: DataFrame, rounds: int, lam: float =
 QUADRIC = ["q00", "q01", "q02", "q03", "q11", "q12", "q13", "q22", "q23", "q33"]
 
 
-def simplify(vertices: DataFrame, faces: DataFrame, ratio: float = 0.25, max_rounds: int = 40, max_error: float | None = None) -> tuple[DataFrame, DataFrame]:
-    """Quadric simplification in rounds of independent collapses: (vertices, faces) with about ``ratio`` of the faces.
+def _lowest(q: dict[str, Column], fallback: Column) -> tuple[g.Vector, Column]:
+    """(place where the quadric is least, whether it is well defined): the 3 x 3 system by Cramer's rule."""
+    m = [[q[f"q{min(i, j)}{max(i, j)}"] for j in range(3)] for i in range(3)]
+    right = [-q[f"q{i}3"] for i in range(3)]
 
-    Area-weighted plane quadrics are summed per vertex. In a round an edge is collapsed (to its
-    cheaper end or middle) if its (cost, id) is the least among all edges at either end and at
+    def det(c: list[list[Column]]) -> Column:
+        return c[0][0] * (c[1][1] * c[2][2] - c[1][2] * c[2][1]) - c[0][1] * (c[1][0] * c[2][2] - c[1][2] * c[2][0]) + c[0][2] * (c[1][0] * c[2][1] - c[1][1] * c[2][0])
+
+    whole, trace = det(m), m[0][0] + m[1][1] + m[2][2]
+    place = tuple(F.try_divide(det([[right[i] if j == k else m[i][j] for j in range(3)] for i in range(3)]), whole) for k in range(3))
+    return place, F.coalesce(F.abs(whole) > fallback * trace * trace * trace, F.lit(False))
+
+
+def simplify(vertices: DataFrame, faces: DataFrame, ratio: float = 0.25, max_rounds: int = 40, max_error: float | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Quadric simplification in rounds of independent collapses: (vertices, faces, report) with about ``ratio`` of the faces.
+
+    The report (sample_id, faces_before, faces_after, target, status, error) says ``ok`` where the target is met, ``stuck``
+    where no collapse was left that keeps the surface sound or below ``max_error``, ``rounds`` where rounds ran out; error is
+    the largest quadric cost of any collapse made.
+
+    Area-weighted plane quadrics are summed per vertex. In a round an edge is collapsed, to the place where the sum of
+    its ends' quadrics is least, or where that is singular or farther off than the edge is long to the cheaper of its ends
+    and middle, if its (cost, id) is the least among all edges at either end and at
     their neighbours, so that no two collapses touch; those that would turn a face over, touch a
     boundary or link more than two common neighbours are left out. Rounds stop at the target.
     """
-    target = faces.groupBy("sample_id").agg((F.count("*") * ratio).alias("_target"))
+    target = materialize(faces.groupBy("sample_id").agg(F.count("*").alias("faces_before"), (F.count("*") * ratio).alias("_target")), "targets")
+    errors: list[DataFrame] = []
+    status = "rounds"
     n = g.cross(g.sub(g.vec("b"), g.vec("a")), g.sub(g.vec("c"), g.vec("a")))
     for _ in range(max_rounds):
         soup = to_soup(vertices, faces).withColumn("area", g.norm(n) / 2)
@@ -289,9 +309,20 @@ def simplify(vertices: DataFrame, faces: DataFrame, ratio: float = 0.25, max_rou
             v = (*p, F.lit(1.0))
             return reduce(lambda s, t: s + t, (q[f"q{i}{j}"] * v[i] * v[j] * (1.0 if i == j else 2.0) for i in range(4) for j in range(i, 4)))
 
-        spots = [g.vec("a_"), g.vec("b_"), g.scale(g.add(g.vec("a_"), g.vec("b_")), F.lit(0.5))]
-        best = F.array_min(F.array(*(F.struct(F.round(F.greatest(cost(s), F.lit(0.0)), 12).alias("cost"), F.lit(k).alias("k"), *(e.alias(a) for a, e in zip("xyz", s))) for k, s in enumerate(spots))))
-        priced = ends.select("sample_id", "a", "b", best.alias("s")).select("sample_id", "a", "b", "s.cost", "s.x", "s.y", "s.z")
+        middle = g.scale(g.add(g.vec("a_"), g.vec("b_")), F.lit(0.5))
+        # the place is worked out in a frame about the edge's middle, where the system is best conditioned
+        moved_q = {f"q{i}{j}": q[f"q{i}{j}"] for i in range(3) for j in range(i, 3)} | {
+            f"q{i}3": q[f"q{i}3"] + sum((q[f"q{min(i, j)}{max(i, j)}"] * middle[j] for j in range(1, 3)), q[f"q0{i}"] * middle[0]) for i in range(3)}
+        offset, sound = _lowest(moved_q, F.lit(1e-6))
+        length = g.norm(g.sub(g.vec("b_"), g.vec("a_")))
+        placed = ends.withColumns({"_ox": offset[0], "_oy": offset[1], "_oz": offset[2], "_sound": sound, "_length": length})
+        near_by = F.col("_sound") & (g.norm(g.vec("_o")) <= F.col("_length"))
+        optimum = tuple(F.when(near_by, m + o) for m, o in zip(middle, g.vec("_o")))
+        spots = [g.vec("a_"), g.vec("b_"), middle, optimum]
+        priced_at = [F.struct(F.round(F.greatest(cost(s), F.lit(0.0)), 12).alias("cost"), F.lit(k).alias("k"), *(e.alias(a) for a, e in zip("xyz", s))) for k, s in enumerate(spots)]
+        priced_at[3] = F.when(near_by, priced_at[3])
+        best = F.array_min(F.array(*priced_at))
+        priced = placed.select("sample_id", "a", "b", best.alias("s")).select("sample_id", "a", "b", "s.cost", "s.x", "s.y", "s.z")
         if max_error is not None:
             priced = priced.filter(F.col("cost") <= max_error)
         priced = materialize(priced, "collapses")
@@ -324,12 +355,14 @@ def simplify(vertices: DataFrame, faces: DataFrame, ratio: float = 0.25, max_rou
         bad = after.filter(any_moved.isNotNull() & ~F.coalesce(gone, F.lit(False)) & (g.dot(turned, g.vec("n")) <= g.norm(turned) * 0.2)).select(
             "sample_id", any_moved.alias("a")).distinct()
         chosen = chosen.join(bad, ["sample_id", "a"], "left_anti")
-        over = faces.groupBy("sample_id").agg(F.count("*").alias("_n")).join(target, "sample_id").filter("_n > _target")
+        over = faces.groupBy("sample_id").agg(F.count("*").alias("_n")).join(target.drop("faces_before"), "sample_id").filter("_n > _target")
         room = over.select("sample_id", F.ceil((F.col("_n") - F.col("_target")) / 2).alias("_room"))
         order = Window.partitionBy("sample_id").orderBy("cost", "a", "b")
         chosen = materialize(chosen.join(room, "sample_id").withColumn("_k", F.row_number().over(order)).filter("_k <= _room").drop("_k", "_room"), "chosen")
         if not chosen.limit(1).count():
+            status = "stuck"
             break
+        errors.append(chosen.groupBy("sample_id").agg(F.max("cost").alias("_cost")))
         into = chosen.select("sample_id", F.col("b").alias("vertex_id"), F.col("a").alias("_to"))
         place = chosen.select("sample_id", F.col("a").alias("vertex_id"), *(F.col(a).alias(f"_{a}") for a in "xyz"))
         vertices = materialize(vertices.join(into, ["sample_id", "vertex_id"], "left_anti").join(place, ["sample_id", "vertex_id"], "left").select(
@@ -338,4 +371,9 @@ def simplify(vertices: DataFrame, faces: DataFrame, ratio: float = 0.25, max_rou
         for k in range(3):
             renamed = renamed.join(into.withColumnRenamed("vertex_id", f"v{k + 1}"), ["sample_id", f"v{k + 1}"], "left").withColumn(f"v{k + 1}", F.coalesce("_to", f"v{k + 1}")).drop("_to")
         faces = materialize(renamed.filter("v1 <> v2 and v2 <> v3 and v3 <> v1").select("sample_id", "face_id", "v1", "v2", "v3"), "faces")
-    return vertices, faces
+    worst = reduce(DataFrame.unionByName, errors).groupBy("sample_id").agg(F.max("_cost").alias("error")) if errors else target.select("sample_id", F.lit(0.0).alias("error"))
+    left = faces.groupBy("sample_id").agg(F.count("*").alias("faces_after"))
+    report = target.join(left, "sample_id", "left").join(worst, "sample_id", "left").select(
+        "sample_id", "faces_before", F.coalesce("faces_after", F.lit(0)).alias("faces_after"), F.ceil("_target").alias("target"),
+        F.when(F.coalesce("faces_after", F.lit(0)) <= F.col("_target") + 1, "ok").otherwise(status).alias("status"), F.coalesce("error", F.lit(0.0)).alias("error"))
+    return vertices, faces, report

@@ -44,8 +44,8 @@ MAX_GRAM = 4
 #: Sample: documents per language (in expectation) and the lengths of the pieces taken from each.
 MAX_DOCS = 800
 PIECE_CHARS = (240, 80, 24)
-#: Training: passes, texts a step and the first step size, which falls to zero linearly.
-EPOCHS, STEP_TEXTS, RATE = 6, 32, 0.5
+#: Training: steps, texts a step and the first step size, which falls to zero linearly; small samples are passed more often.
+STEPS, STEP_TEXTS, RATE = 1800, 32, 0.5
 #: Share of right answers among the accepted calibration pieces.
 TARGET = 0.995
 BLOCK = 1 << 19
@@ -166,12 +166,14 @@ def descend(texts: list[str], y: np.ndarray, n_classes: int, seed: int = 7) -> t
         found = [b for _, b in subwords(codes, len(codes))]
         bags.append(np.concatenate(found) if found else np.zeros(0, np.int64))
     usable = np.flatnonzero([len(b) > 0 for b in bags])
-    steps, done = EPOCHS * -(-len(usable) // STEP_TEXTS), 0
-    for _ in range(EPOCHS):
+    done = 0
+    while done < STEPS and len(usable):
         order = rng.permutation(usable)
         for low in range(0, len(order), STEP_TEXTS):
+            if done == STEPS:
+                break
             rows = order[low:low + STEP_TEXTS]
-            rate = np.float32(RATE * (1 - done / steps))
+            rate = np.float32(RATE * (1 - done / STEPS))
             done += 1
             sizes = np.array([len(bags[r]) for r in rows])
             flat = np.concatenate([bags[r] for r in rows])

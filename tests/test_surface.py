@@ -169,3 +169,22 @@ def test_radius_beyond_the_cell(spark):
     right = spark.createDataFrame([(1, n, *map(float, p)) for n, p in enumerate(b)], "sample_id long, seed_id long, x double, y double, z double")
     got = {(r["point_id"], r["seed_id"]) for r in spatial.radius_join(left, right, 3.7, cell=1.0).collect()}
     assert got == {(m, n) for m in range(30) for n in range(40) if np.linalg.norm(a[m] - b[n]) <= 3.7}
+
+
+def test_inscribed_circles_are_proven(spark):
+    """Within the tolerance of the best of many places, in shapes with notches and slivers."""
+    shapes = {1: [(0, 0), (4, 0), (4, 2), (0, 2)], 2: [(0, 0), (6, 0), (6, 6), (5, 6), (5, 1), (0, 1)], 3: [(0, 0), (10, 0.3), (0, 0.6)], 4: [(0, 0), (3, 0), (3, 3), (1.5, 0.8), (0, 3)]}
+    polys = spark.createDataFrame([(p, n + 1, float(x), float(y)) for p, s in shapes.items() for n, (x, y) in enumerate(s)], "poly_id long, seq int, x double, y double")
+    got = {r["poly_id"]: r for r in polygon.inscribed_circles(polys, tolerance=1e-3).collect()}
+    for p, s in shapes.items():
+        edges = list(zip(np.array(s, float), np.array(s[1:] + s[:1], float)))
+
+        def clearance(x, y):
+            inside = sum((a[1] > y) != (b[1] > y) and x < (b[0] - a[0]) * (y - a[1]) / (b[1] - a[1]) + a[0] for a, b in edges) % 2
+            near = min(np.linalg.norm(np.array([x, y]) - a - np.clip(np.dot(np.array([x, y]) - a, b - a) / np.dot(b - a, b - a), 0, 1) * (b - a)) for a, b in edges)
+            return near if inside else -near
+
+        low, high = np.min(s, axis=0), np.max(s, axis=0)
+        best = max(clearance(x, y) for x in np.linspace(low[0], high[0], 81) for y in np.linspace(low[1], high[1], 81))
+        r = got[p]
+        assert r["radius"] == pytest.approx(clearance(r["x"], r["y"])) and r["radius"] >= best - 1e-3 * max(high - low)

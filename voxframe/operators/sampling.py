@@ -77,6 +77,65 @@ def thin_by_distance(points: DataFrame, radius: Column | float, largest: float,
     return points.join(state.filter("state = 1").select(by, row_id), [by, row_id], "left_semi")
 
 
+def maximal_points(domains: DataFrame, radius: float, seed: int, inside: Column | None = None, levels: int = 10, by: str = "sample_id") -> DataFrame:
+    """Points of each domain (by, xmin..zmax, and what ``inside`` reads) more than ``radius`` apart that leave no room for another: by, seed_id, x, y, z.
+
+    Space is cut into cells that hold one point at most. In a round every cell that is still open draws one hashed place;
+    places too near to a point drop out, and of places near to one another the one with the least hash stays. Then open
+    cells are cut in eight, and those that one point covers altogether close. Rounds end when no cell is open, or after
+    ``levels`` cuts: what is left open then is narrower than radius / 2^levels (with ``inside``, cells beyond it stay open
+    till then). Equal seeds give equal points on any partitions; seed 0 draws a fresh one. Ids number the points of all domains.
+    """
+    seed = resolve_seed(seed)
+    box = [f"{a}{m}" for a in "xyz" for m in ("min", "max")]
+    extra = [c for c in domains.columns if c not in {by, *box}]
+    side = radius / 3**0.5
+    cells = [f"_c{a}" for a in "xyz"]
+    open_ = domains
+    for a, c in zip("xyz", cells):
+        open_ = open_.withColumn(c, F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil((F.col(f"{a}max") - F.col(f"{a}min")) / side).cast("long") - 1, F.lit(0)))))
+    open_ = materialize(open_, "open-cells")
+    bins = lambda place: [F.floor(e / radius).cast("long").alias(c) for e, c in zip(place, CELL)]
+
+    def around(points: DataFrame) -> DataFrame:
+        """Points copied to the bins within reach, as _x, _y, _z."""
+        near = points.select(by, *(F.col(a).alias(f"_{a}") for a in "xyz"), *(c for c in ("_h",) if c in points.columns), *bins(g.vec()))
+        for c in CELL:
+            near = near.withColumn(c, F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1)))
+        return near
+
+    kept: DataFrame | None = None
+    for level in range(levels + 1):
+        step = side / 2**level
+        drawn = [F.col(f"{a}min") + (F.col(c) + g.hash_uniform(seed, F.col(by), *map(F.col, cells), F.lit(level), F.lit(a))) * step for a, c in zip("xyz", cells)]
+        place = open_.withColumns({a: e for a, e in zip("xyz", drawn)}).withColumn("_h", F.xxhash64(F.lit(seed), by, *cells, F.lit(level)))
+        fits = reduce(lambda u, v: u & v, (F.col(a) <= F.col(f"{a}max") for a in "xyz"))
+        place = place.filter(fits if inside is None else fits & inside).select(by, *cells, "x", "y", "z", "_h").withColumns({c: e for c, e in zip(CELL, bins(g.vec()))})
+        gap = g.point_distance(g.vec(), g.vec("_"))
+        if kept is not None:
+            taken = place.join(around(kept), [by, *CELL]).filter(gap <= radius).select(by, *cells)
+            place = place.join(taken, [by, *cells], "left_anti")
+        place = materialize(place, "places")
+        beaten = place.join(around(place).withColumnRenamed("_h", "_other"), [by, *CELL]).filter((gap <= radius) & (F.col("_other") < F.col("_h"))).select(by, *cells)
+        new = place.join(beaten, [by, *cells], "left_anti").select(by, "x", "y", "z")
+        kept = materialize(new if kept is None else kept.unionByName(new), "points")
+        if level == levels:
+            break
+        for c in cells:
+            open_ = open_.withColumn(c, F.explode(F.array(F.col(c) * 2, F.col(c) * 2 + 1)))
+        half = step / 2
+        low = [F.col(f"{a}min") + F.col(c) * half for a, c in zip("xyz", cells)]
+        halved = open_.filter(reduce(lambda u, v: u & v, (e <= F.col(f"{a}max") for e, a in zip(low, "xyz"))))
+        middle = [e + half / 2 for e in low]
+        far = [F.abs(m - F.col(f"_{a}")) + half / 2 for m, a in zip(middle, "xyz")]
+        covered = halved.withColumns({c: e for c, e in zip(CELL, bins(middle))}).join(around(kept), [by, *CELL]).filter(
+            far[0] * far[0] + far[1] * far[1] + far[2] * far[2] <= radius * radius).select(by, *cells)
+        open_ = materialize(halved.join(covered, [by, *cells], "left_anti").select(by, *box, *extra, *cells), "open-cells")
+        if not open_.limit(1).count():
+            break
+    return number_rows(kept, [F.col(by), F.col("x"), F.col("y"), F.col("z")], "seed_id").select(by, F.col("seed_id").cast("long").alias("seed_id"), "x", "y", "z")
+
+
 def stochastic_radius(mean: Column, sd: Column, lo: Column, hi: Column, seed: int, *keys, tries: int = 16) -> Column:
     """The first of ``tries`` normal draws within [lo, hi], else the last one clamped."""
     def draw(k: int) -> Column:

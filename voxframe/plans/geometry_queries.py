@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..operators import fields, grid, sampling, spatial
+from ..sources.scratch import materialize
 from .fixtures import N, STEP, Fixtures
 from .registry import query
 
@@ -329,6 +330,17 @@ def _(f):
     return sampling.thin_by_distance(f.common("seeds"), 4.0, 4.0)
 
 
+@query("gn2_maximal_points", "l:sample_id,close_pairs,open_nodes", "SELECT sample_id, 0 AS close_pairs, 0 AS open_nodes FROM ids")
+def _(f):
+    """Points that leave no room for another: pairs within the distance and grid nodes with no point within it, counted."""
+    points = materialize(sampling.maximal_points(f.samples(), 5.0, seed=7), "maximal")
+    own = points.withColumnRenamed("seed_id", "own_id")
+    close = spatial.radius_join(own, points, 5.0, cell=5.0).filter("own_id < seed_id").groupBy("sample_id").agg(F.count("*").alias("close_pairs"))
+    met = spatial.radius_join(f.grid(), points, 5.0, cell=5.0).select("sample_id", *"ijk").distinct()
+    left = f.grid().join(met, ["sample_id", *"ijk"], "left_anti").groupBy("sample_id").agg(F.count("*").alias("open_nodes"))
+    return points.select("sample_id").distinct().join(close, "sample_id", "left").join(left, "sample_id", "left").na.fill(0, ["close_pairs", "open_nodes"])
+
+
 @query("gn3_graded_spacing", "l:sample_id,seed_id", """WITH RECURSIVE s AS (SELECT sample_id, seed_id, x, y, z, 1.5+(5.0-1.5)*greatest(least(abs(x-8)/8,1),0) AS rad, row_number() OVER (PARTITION BY sample_id ORDER BY seed_id) AS r FROM seeds),
     walk AS (SELECT sample_id, r, [{'id': seed_id, 'x': x, 'y': y, 'z': z}] AS kept FROM s WHERE r = 1 UNION ALL
     SELECT s.sample_id, s.r, CASE WHEN len(list_filter(kept, lambda q: sqrt((q.x-s.x)*(q.x-s.x)+(q.y-s.y)*(q.y-s.y)+(q.z-s.z)*(q.z-s.z)) <= s.rad)) = 0 THEN list_append(kept, {'id': s.seed_id, 'x': s.x, 'y': s.y, 'z': s.z}) ELSE kept END

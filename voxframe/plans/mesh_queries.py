@@ -271,7 +271,11 @@ def _(f):
     return made.select("sample_id", F.length(body).alias("bytes"), (F.length(F.regexp_replace(F.hex(body), "00", "")) / 2).cast("long").alias("solid"))
 
 
-@query("io7_meta_image", "l:sample_id,bytes b:named", "SELECT DISTINCT sample_id, 12*12*12 AS bytes, true AS named FROM image")
+META = "ObjectType = Image\\nNDims = 3\\nBinaryData = True\\nBinaryDataByteOrderMSB = False\\nOffset = 0 0 0\\nElementSpacing = 0.5 0.5 0.5\\nDimSize = 12 12 12\\nElementType = MET_UCHAR\\nElementDataFile = "
+
+
+@query("io7_meta_image", "l:sample_id,bytes,solid s:header", f"SELECT sample_id, 12*12*12 AS bytes, count(*) AS solid, concat(E'{META}', sample_id, E'.raw\\n') AS header FROM image GROUP BY sample_id")
 def _(f):
     made = image_files.image_bytes(f.voxels(), 0.5, "mhd")
-    return made.select("sample_id", F.length("content").alias("bytes"), F.decode("header", "UTF-8").contains("DimSize = 12 12 12").alias("named"))
+    solid = (F.length(F.regexp_replace(F.hex("content"), "00", "")) / 2).cast("long")
+    return made.select("sample_id", F.length("content").alias("bytes"), solid.alias("solid"), F.decode("header", "UTF-8").alias("header"))

@@ -141,7 +141,7 @@ def _(f):
 
 @query("gp13_inscribed_circles", "l:poly_id b:positive", "SELECT DISTINCT poly_id, true AS positive FROM corners")
 def _(f):
-    return polygon.inscribed_circles(_polys(f), n=12, rounds=2).withColumn("positive", F.col("radius") > 0)
+    return polygon.inscribed_circles(_polys(f), tolerance=0.01).withColumn("positive", F.col("radius") > 0)
 
 
 @query("gp14_densified_edges", "l:poly_id,seq,part d:x,y", """SELECT poly_id, seq, part, x+(x2-x)*part/m AS x, y+(y2-y)*part/m AS y FROM (SELECT *, unnest(range(m)) AS part FROM (

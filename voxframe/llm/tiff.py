@@ -75,69 +75,84 @@ def _lzw_width(next_code: int) -> int:
     return min(12, max(9, (next_code + 1).bit_length()))
 
 
+#: Width of the n-th code after a CLEAR, for writer and reader alike, and where its bits begin; tables are cleared before 4096 entries.
+_WIDTHS = np.array([_lzw_width(max(258, 257 + n)) for n in range(4096)])
+_STARTS = np.concatenate([[0], np.cumsum(_WIDTHS)[:-1]])
+
+
+def _lzw_codes(data: bytes):
+    """Runs of codes, each begun anew by a CLEAR; a run's codes are cut out of the bits in one step, as their widths are known."""
+    padded = np.frombuffer(data + bytes(4), np.uint8).astype(np.int64)
+    at, end = 0, len(data) * 8
+    while at < end:
+        n = int(np.searchsorted(_STARTS + _WIDTHS, end - at, "right"))
+        starts, widths = at + _STARTS[:n], _WIDTHS[:n]
+        low = starts >> 3
+        window = padded[low] << 24 | padded[low + 1] << 16 | padded[low + 2] << 8 | padded[low + 3]
+        codes = window >> (32 - (starts & 7) - widths) & ((1 << widths) - 1)
+        stop = np.flatnonzero((codes == CLEAR) | (codes == EOI))
+        if not len(stop):
+            yield codes.tolist()
+            if n == len(_WIDTHS):
+                raise ValueError("LZW table overflow")
+            return
+        first = int(stop[0])
+        yield codes[:first].tolist()
+        if codes[first] == EOI:
+            return
+        at += int(_STARTS[first] + _WIDTHS[first])
+
+
 def lzw_decode(data: bytes) -> bytes:
     single = [bytes((b,)) for b in range(256)] + [b"", b""]
-    table, previous, out = list(single), None, []
-    bits, have, at = 0, 0, 0
-    while True:
-        width = _lzw_width(len(table))
-        while have < width and at < len(data):
-            bits, have, at = (bits << 8 | data[at]) & 0xFFFFFF, have + 8, at + 1
-        if have < width:
-            break
-        have -= width
-        code = bits >> have & ((1 << width) - 1)
-        if code == EOI:
-            break
-        if code == CLEAR:
-            table, previous = list(single), None
-            continue
-        if previous is None:
-            entry = table[code]
-        else:
+    out: list[bytes] = []
+    for codes in _lzw_codes(data):
+        table, previous = list(single), b""
+        for code in codes:
+            if not previous:
+                previous = table[code]
+                out.append(previous)
+                continue
             entry = table[code] if code < len(table) else previous + previous[:1]
             table.append(previous + entry[:1])
-        out.append(entry)
-        previous = entry
-        # the writer clears before 4094 entries; a longer table means a broken file
-        if len(table) > 4096:
-            raise ValueError("LZW table overflow")
+            out.append(entry)
+            previous = entry
     return b"".join(out)
 
 
 def lzw_encode(data: bytes) -> bytes:
-    out, bits, have = bytearray(), 0, 0
-
-    def put(code: int, width: int) -> None:
-        nonlocal bits, have
-        bits, have = bits << width | code, have + width
-        while have >= 8:
-            have -= 8
-            out.append(bits >> have & 255)
-        bits &= (1 << have) - 1
-
-    # the reader's table is one entry behind the writer's until the first code after CLEAR
-    single = {bytes((b,)): b for b in range(256)}
-    table, size, current = dict(single), 258, b""
-    put(CLEAR, 9)
+    # each run of codes after a CLEAR has the widths of _WIDTHS; the CLEAR or EOI that ends it counts as its last
+    codes, widths = [np.array([CLEAR])], [_WIDTHS[:1]]
+    run: list[int] = []
+    table: dict[int, int] = {}
+    size, current = 258, -1
+
+    def close(end: int) -> None:
+        run.append(end)
+        codes.append(np.array(run))
+        widths.append(_WIDTHS[:len(run)])
+        run.clear()
+
     for b in data:
-        longer = current + bytes((b,))
-        if longer in table:
+        if current < 0:
+            current = b
+            continue
+        longer = table.get(current << 8 | b)
+        if longer is not None:
             current = longer
             continue
-        put(table[current], _lzw_width(size - (size > 258)) if size > 258 else 9)
-        table[longer], size, current = size, size + 1, bytes((b,))
+        run.append(current)
+        table[current << 8 | b], size, current = size, size + 1, b
         if size >= 4094:
-            put(table[current], _lzw_width(size - 1))
-            put(CLEAR, _lzw_width(size))
-            table, size, current = dict(single), 258, b""
-    if current:
-        put(table[current], _lzw_width(size - (size > 258)) if size > 258 else 9)
-        size += 1
-    put(EOI, _lzw_width(size - (size > 258)) if size > 258 else 9)
-    if have:
-        out.append(bits << (8 - have) & 255)
-    return bytes(out)
+            run.append(current)
+            close(CLEAR)
+            table, size, current = {}, 258, -1
+    if current >= 0:
+        run.append(current)
+    close(EOI)
+    code, width = np.concatenate(codes)[:, None], np.concatenate(widths)[:, None]
+    places = np.arange(11, -1, -1)
+    return np.packbits((code >> places & 1).astype(np.uint8)[places < width]).tobytes()
 
 
 CODECS = {
@@ -272,8 +287,7 @@ def tiff_pages(df: DataFrame, content: str = "content") -> DataFrame:
 ROW = 576
 PAGE_ROWS = 48
 #: (compression, predictor, tile) of the forms in which texts are stored, an equal share of texts each.
-FORMS = ((PACKBITS, 1, None), (PACKBITS, 1, (192, 96)), (LZW, 1, None), (DEFLATE, 1, None), (DEFLATE, 2, None), (DEFLATE, 2, (192, 96)),
-         (OLD_DEFLATE, 2, (288, 32)), (NONE, 1, None))
+FORMS = ((PACKBITS, 1, None), (LZW, 1, None), (DEFLATE, 2, None), (DEFLATE, 2, (192, 96)), (LZW, 2, (288, 32)), (OLD_DEFLATE, 1, None))
 
 
 def store_text(text: str | None) -> tuple[int, bytes]:

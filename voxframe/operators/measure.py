@@ -193,6 +193,20 @@ def local_thickness(image: DataFrame, voxel: float, inverse: bool = False) -> Da
     return painted.groupBy("sample_id").agg((F.avg("diameter") * voxel).alias("thickness"), (F.stddev_pop("diameter") * voxel).alias("thickness_sd"))
 
 
+def plate_thickness(voxels: DataFrame, step: float, keys: list[str] | None = None) -> DataFrame:
+    """keys, solid_voxels, faces, porosity, thickness of gridded voxels with ``solid``: twice the solid over the faces between solid and rest.
+
+    The plate model: a cheap stand-in for local thickness inside sweeps and solvers, one pass of windows along the lines.
+    """
+    keys = keys or ["sample_id"]
+    turns = {}
+    for c in CELL:
+        order = Window.partitionBy(*keys, *(o for o in CELL if o != c)).orderBy(c)
+        turns[f"_{c}"] = F.coalesce((F.col("solid") != F.lag("solid").over(order)).cast("int"), F.lit(0))
+    counted = voxels.withColumns(turns).groupBy(*keys).agg(F.count_if("solid").alias("solid_voxels"), F.count("*").alias("_all"), F.sum(sum((F.col(f"_{c}") for c in CELL[1:]), F.col("_i"))).alias("faces"))
+    return counted.select(*keys, "solid_voxels", "faces", (1 - F.col("solid_voxels") / F.col("_all")).alias("porosity"), F.try_divide(F.col("solid_voxels") * 2.0 * step, F.col("faces")).alias("thickness"))
+
+
 def number_by_ratio(bv_tv: Column, thickness: Column) -> Column:
     return F.try_divide(bv_tv, thickness)
 

@@ -321,21 +321,30 @@ def _(f):
     return fields.porosity(wall, 0.9).join(cells, "sample_id", "left").join(chi, "sample_id", "left").na.fill(0, ["surface_cells", "chi"])
 
 
-@query("bt6_sensitivity", "l:sample_id,step,solid_voxels d:threshold", """SELECT sample_id, r.n AS step, r.n*0.25 AS threshold, count(*) FILTER ((1-r.n*0.25)*wall+r.n*0.25*strut < 0.8) AS solid_voxels FROM contrast, (SELECT range AS n FROM range(5)) r GROUP BY ALL""")
+#: Solid voxels, porosity and plate thickness of each (sample, step) of rows with ``solid``.
+PLATES = f"""SELECT sample_id, step, count(*) FILTER (solid) AS solid_voxels, 1-count(*) FILTER (solid)/CAST(count(*) AS DOUBLE) AS porosity,
+    count(*) FILTER (solid)*2.0*{STEP}/nullif(count(*) FILTER (solid <> before_i)+count(*) FILTER (solid <> before_j)+count(*) FILTER (solid <> before_k), 0) AS thickness FROM (
+    SELECT *, lag(solid) OVER (PARTITION BY sample_id, step, j, k ORDER BY i) AS before_i, lag(solid) OVER (PARTITION BY sample_id, step, i, k ORDER BY j) AS before_j,
+        lag(solid) OVER (PARTITION BY sample_id, step, i, j ORDER BY k) AS before_k FROM ({{rows}})) GROUP BY sample_id, step"""
+
+
+@query("bt6_sensitivity", "l:sample_id,step,solid_voxels d:threshold,porosity,thickness", "SELECT *, step*0.25 AS threshold FROM (" + PLATES.format(
+    rows="SELECT sample_id, i, j, k, r.range AS step, (1-r.range*0.25)*wall+r.range*0.25*strut < 0.8 AS solid FROM contrast, range(5) r") + ")")
 def _(f):
+    """Openness over its range, one value at a time: what it does to solid, porosity and thickness."""
     cached = materialize(fields.contrasts(f.grid(), f.common("seeds")), "contrasts")
     swept = sampling.sweep_rows(f.samples().select("sample_id", L(0.5).alias("threshold")), {"threshold": (0.0, 1.0)}, 5)
-    joined = cached.join(swept, "sample_id")
-    value = fields.blend(F.col("wall"), F.col("strut"), F.col("threshold"))
-    return joined.groupBy("sample_id", "step", "threshold").agg(F.count_if(value < 0.8).alias("solid_voxels"))
+    rows = cached.join(swept, "sample_id").withColumn("solid", fields.blend(F.col("wall"), F.col("strut"), F.col("threshold")) < 0.8)
+    return measure.plate_thickness(rows, STEP, ["sample_id", "step", "threshold"])
 
 
-@query("bt5_iso_curve", "l:sample_id,step,solid_voxels d:iso", """SELECT sample_id, n AS step, n*0.25+0.25 AS iso, count(*) FILTER (wall < n*0.25+0.25) AS solid_voxels FROM contrast, (SELECT range AS n FROM range(6)) GROUP BY ALL""")
+@query("bt5_iso_curve", "l:sample_id,step,solid_voxels d:iso,porosity,thickness", "SELECT *, step*0.25+0.25 AS iso FROM (" + PLATES.format(
+    rows="SELECT sample_id, i, j, k, r.range AS step, wall < r.range*0.25+0.25 AS solid FROM contrast, range(6) r") + ")")
 def _(f):
+    """Thickness over even iso levels, from which a first guess for a target is read."""
     from ..plans.calibrate import iso_curve
 
-    cached = fields.contrasts(f.grid(), f.common("seeds")).withColumn("value", F.col("wall"))
-    return iso_curve(cached, 6)
+    return iso_curve(fields.contrasts(f.grid(), f.common("seeds")).withColumn("value", F.col("wall")), 6, STEP)
 
 
 @query("bt7_radius_transfer", "l:sample_id,level,seeds", """WITH RECURSIVE s AS (SELECT sample_id, l.n AS level, seed_id, x, y, z, row_number() OVER (PARTITION BY sample_id, l.n ORDER BY seed_id) AS r FROM seeds, (VALUES (2),(3),(4)) l(n)),
@@ -392,9 +401,7 @@ def _knob_measures(f, stretches=True):
         return field(rows).groupBy("sample_id").agg((1 - F.count_if("solid") / F.count("*")).alias("metric"))
 
     def thickness(rows):
-        faces = field(rows)
-        sides = faces.withColumns({f"c{a}": changes(faces, a) for a in "ijk"})
-        return sides.groupBy("sample_id").agg(F.try_divide(F.count_if("solid") * 2.0 * STEP, F.sum(F.coalesce("ci", F.lit(0)) + F.coalesce("cj", F.lit(0)) + F.coalesce("ck", F.lit(0)))).alias("metric"))
+        return measure.plate_thickness(field(rows), STEP).select("sample_id", F.col("thickness").alias("metric"))
 
     def anisotropy(rows):
         faces = field(rows)

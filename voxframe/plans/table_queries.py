@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..operators import bricks, graph, measure, polygon
 from ..sources import tables
-from ..sources.scratch import scratch_root
+from ..sources.scratch import materialize, scratch_root
+from .fixtures import STEP
 from .registry import query
 
 L = F.lit
@@ -232,12 +233,34 @@ def _(f):
     return tables.read_references(f.spark, path, {"tb_n": 1.25}).agg(F.count("*").alias("rows"), F.sum("tb_th").alias("tb_th"), F.sum("tb_n").alias("tb_n"))
 
 
-@query("bt11_batch_chain", "l:sample_id,seeds,solid d:porosity")
+@query("bt11_batch_chain", "l:row,seeds,solid d:radius,porosity,area,volume")
 def _(f):
-    """Recipes to seeds to field to porosity in one job: thinning, contrasts, blend, largest part."""
-    from ..operators import fields, sampling
-
-    seeds = sampling.thin_by_distance(f.common("seeds"), 3.0, 3.0)
-    field = fields.assemble(fields.contrasts(f.grid(), seeds), 1.2, 0.5)
-    kept, _ = bricks.remove_islands(field, 1.2, 9.0)
-    return fields.porosity(kept, 1.2).withColumnRenamed("solid_voxels", "solid").join(seeds.groupBy("sample_id").agg(F.count("*").alias("seeds")), "sample_id")
+    """A batch file of recipes to a file of results: thinning, stretched contrasts, graded iso level, largest part, mesh.
+
+    The rows of the file are numbered in the order of their values; row n uses the seeds of the n-th sample.
+    """
+    from ..functions import geometry as g
+    from ..operators import fields, sampling, surface
+
+    recipes, results = _folder(f, "batch"), _folder(f, "batch-results")
+    s = f.samples().select("sample_id")
+    tables.write_csv(s.select((F.col("sample_id") % 3 * 0.5 + 2.5 + F.col("sample_id") * 1e-6).alias("radius"), L(0.9).alias("thickness_min"), (F.col("sample_id") % 2 * 0.4 + 1.2).alias("thickness_max"),
+                              (F.col("sample_id") % 2 * 0.5 + 1.0).alias("stretch_y")), recipes)
+    batch = tables.read_batch(f.spark, recipes)
+    rows = sampling.number_rows(batch, [F.col(c) for c in batch.columns], "row").join(
+        sampling.number_rows(s, [F.col("sample_id")], "row"), "row")
+    rows = materialize(rows, "batch-rows")
+    seeds = f.common("seeds").join(rows.select("sample_id", "radius"), "sample_id")
+    kept_seeds = materialize(sampling.thin_by_distance(seeds, F.col("radius"), 4.0), "batch-seeds")
+    grid = f.grid().join(rows.select("sample_id", "stretch_y"), "sample_id").withColumn("y", F.col("y") / F.col("stretch_y")).drop("stretch_y")
+    cached = fields.contrasts(grid, kept_seeds).join(rows.select("sample_id", "thickness_min", "thickness_max", "stretch_y"), "sample_id")
+    iso = g.linear_radius(F.abs(F.col("x") - 9.0), F.col("thickness_min"), F.col("thickness_max"), L(9.0))
+    # the level is taken out of the field, so that one iso value of zero serves all recipes
+    field = materialize(cached.select("sample_id", "i", "j", "k", "x", (F.col("y") * F.col("stretch_y")).alias("y"), "z", (fields.blend(F.col("wall"), F.col("strut"), L(0.5)) - iso).alias("value")), "batch-field")
+    kept, _ = bricks.remove_islands(field, 0.0, 9.0)
+    kept = materialize(kept, "batch-kept")
+    vertices, faces = surface.iso_surface(fields.seal(kept, 0.0, STEP), 0.0)
+    size = measure.mesh_area_volume(surface.to_soup(vertices, faces))
+    out = rows.join(kept_seeds.groupBy("sample_id").agg(F.count("*").alias("seeds")), "sample_id").join(fields.porosity(kept, 0.0).withColumnRenamed("solid_voxels", "solid"), "sample_id").join(size, "sample_id", "left")
+    tables.write_csv(out.select("row", "seeds", "solid", "radius", "porosity", "area", "volume"), results)
+    return f.spark.read.csv(results, header=True, schema="row long, seeds long, solid long, radius double, porosity double, area double, volume double")

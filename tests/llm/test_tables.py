@@ -234,6 +234,14 @@ def test_vectors_too_large_are_refused(spark):
         negatives.quantised(spark.createDataFrame([(1, [5000.0], 1)], "vec_id long, embedding array<double>, label int")).collect()
 
 
+def test_repeat_index_leaves_no_table_behind(spark):
+    from voxframe.llm import suffix_dedup
+
+    docs = spark.createDataFrame([(n, "the same long passage of words that stands in every one of these documents " * 2 + str(n)) for n in range(6)], "doc_id long, text string")
+    assert suffix_dedup.remove_repeats(docs).count() == 6
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("voxframe_chunks")]
+
+
 # the registered queries and their SQL
 
 @pytest.mark.parametrize("name", sorted(entries.oracle_sql()))

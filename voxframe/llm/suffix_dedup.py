@@ -141,7 +141,10 @@ def _store_chunks(docs: DataFrame, buckets: int, id_col: str, text_col: str) ->
     name = f"voxframe_chunks_{uuid.uuid4().hex}"
     rows.write.bucketBy(buckets, "chunk").option("compression", "zstd").option(
         "path", f"{scratch_root(spark)}/voxframe/{name}").saveAsTable(name)
-    return spark.table(name)
+    chunks = spark.table(name)
+    # the frame knows files and buckets from here on; the name, which only a catalogue can give buckets, need not stay
+    spark.sql(f"DROP TABLE {name}")
+    return chunks
 
 
 # which anchors occur elsewhere

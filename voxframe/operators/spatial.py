@@ -147,6 +147,16 @@ def seed_adjacency(owned: DataFrame) -> DataFrame:
         F.count("*").alias("faces"), *(F.avg(f"m{c}").alias(f"m{c}") for c in ("i", "j", "k")))
 
 
+def open_contacts(adjacency: DataFrame, field: DataFrame, iso: Column | float) -> DataFrame:
+    """The touching cells of ``seed_adjacency`` with ``open``: the field at the grid point nearest to the contact's centre lies over ``iso``.
+
+    ``field``: sample_id, i, j, k, value. Contacts whose centre lies beyond the field are not open.
+    """
+    at = {c: F.floor(F.col(f"m{c}") + 0.5).cast("int") for c in "ijk"}
+    value = field.select("sample_id", *(F.col(c).cast("int").alias(c) for c in "ijk"), F.col("value").alias("_value"))
+    return adjacency.withColumns(at).join(value, ["sample_id", "i", "j", "k"], "left").withColumn("open", F.coalesce(F.col("_value") > g.lit(iso), F.lit(False))).select(*adjacency.columns, "open")
+
+
 # triangles: columns ax..cz, tri_id
 
 def corners() -> tuple[g.Vector, g.Vector, g.Vector]:

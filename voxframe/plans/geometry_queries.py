@@ -225,13 +225,22 @@ def _(f):
     return spatial.voronoi_assign(_near(f), ["i", "j", "k"])
 
 
-@query("sj11_seed_adjacency", "l:sample_id,a,b,faces d:mi,mj,mk", """SELECT sample_id, least(u,v) AS a, greatest(u,v) AS b, count(*) AS faces, avg(mi) AS mi, avg(mj) AS mj, avg(mk) AS mk FROM (
+CONTACTS = """SELECT sample_id, least(u,v) AS a, greatest(u,v) AS b, count(*) AS faces, avg(mi) AS mi, avg(mj) AS mj, avg(mk) AS mk FROM (
     SELECT o.sample_id, o.seed_id AS u, p.seed_id AS v, (o.i+p.i)/2.0 AS mi, (o.j+p.j)/2.0 AS mj, (o.k+p.k)/2.0 AS mk FROM near o JOIN near p
-    ON o.sample_id=p.sample_id AND o.rank=1 AND p.rank=1 AND ((p.i=o.i+1 AND p.j=o.j AND p.k=o.k) OR (p.i=o.i AND p.j=o.j+1 AND p.k=o.k) OR (p.i=o.i AND p.j=o.j AND p.k=o.k+1)) AND o.seed_id<>p.seed_id) GROUP BY ALL""")
+    ON o.sample_id=p.sample_id AND o.rank=1 AND p.rank=1 AND ((p.i=o.i+1 AND p.j=o.j AND p.k=o.k) OR (p.i=o.i AND p.j=o.j+1 AND p.k=o.k) OR (p.i=o.i AND p.j=o.j AND p.k=o.k+1)) AND o.seed_id<>p.seed_id) GROUP BY ALL"""
+
+
+@query("sj11_seed_adjacency", "l:sample_id,a,b,faces d:mi,mj,mk", CONTACTS)
 def _(f):
     return spatial.seed_adjacency(spatial.voronoi_assign(_near(f), ["i", "j", "k"]))
 
 
+@query("sj11_open_contacts", "l:sample_id,a,b b:open", f"SELECT c.sample_id, c.a, c.b, coalesce(f.value > 0.4, false) AS open FROM ({CONTACTS}) c LEFT JOIN field f ON f.sample_id=c.sample_id AND f.i=floor(c.mi+0.5) AND f.j=floor(c.mj+0.5) AND f.k=floor(c.mk+0.5)")
+def _(f):
+    """Edges of the pore network: contacts of cells that the field leaves open."""
+    return spatial.open_contacts(spatial.seed_adjacency(spatial.voronoi_assign(_near(f), ["i", "j", "k"])), f.field(), 0.4)
+
+
 @query("sj7_ray_box", "l:point_id d:entry,leave b:hit", """SELECT point_id, entry, leave, entry <= leave AND leave >= 0 AS hit FROM (SELECT point_id,
     greatest(least((2-x)/0.6,(9-x)/0.6), least((3-y)/0.48,(11-y)/0.48), least((4-z)/0.64,(12-z)/0.64)) AS entry,
     least(greatest((2-x)/0.6,(9-x)/0.6), greatest((3-y)/0.48,(11-y)/0.48), greatest((4-z)/0.64,(12-z)/0.64)) AS leave FROM points)""")

@@ -158,3 +158,24 @@ def test_stl_errors_are_rows(spark, tmp_path):
     (tmp_path / "ok.stl").write_bytes(b"\0" * 80 + (1).to_bytes(4, "little") + np.zeros(1, mesh_files.RECORD).tobytes())
     got = {r["path"].rsplit("/", 1)[1]: r["error"] for r in mesh_files.read_stl(spark, str(tmp_path)).collect()}
     assert got["short.stl"] == "shorter than its header" and got["cut.stl"] == "ends within its triangles" and got["ok.stl"] is None
+
+
+def test_every_point_meets_every_polygon_as_it_is(spark, sf):
+    """The query asks all points against all polygons in their own place, where they overlap."""
+    from voxframe.operators import polygon
+    from voxframe.plans import registry
+    from voxframe.plans.fixtures import Fixtures
+
+    tables = Fixtures(spark, sf)
+    points = tables.common("points").selectExpr("point_id", "floor(x*60) AS x", "floor(y*60) AS y").toPandas()
+    x, y, want = points["x"].to_numpy(float), points["y"].to_numpy(float), set()
+    for poly, rows in polygon.counter_clockwise(tables.common("corners")).toPandas().groupby("poly_id"):
+        c = rows.sort_values("seq")[["x", "y"]].to_numpy()
+        odd, on = np.zeros(len(x), bool), np.zeros(len(x), bool)
+        for (ax, ay), (bx, by) in zip(c, np.roll(c, -1, 0)):
+            side = (bx - ax) * (y - ay) - (x - ax) * (by - ay)
+            odd ^= ((ay > y) != (by > y)) & ((side > 0) == (by > ay))
+            on |= (side == 0) & (x >= min(ax, bx)) & (x <= max(ax, bx)) & (y >= min(ay, by)) & (y <= max(ay, by))
+        want |= {(int(p), int(poly)) for p in points["point_id"][odd & ~on]}
+    got = [tuple(r) for r in registry.queries()["gp9_points_in_polygons"](spark, sf).select("point_id", "poly_id").collect()]
+    assert len(got) == len(set(got)) and set(got) == want

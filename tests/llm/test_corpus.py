@@ -540,6 +540,33 @@ def test_tree_matching_is_the_largest(monkeypatch):
         assert all(a < c and b < d for (a, b), (c, d) in zip(common, common[1:]))
 
 
+@pytest.mark.parametrize("n", [150, 320])
+def test_long_lists_are_matched_as_short_ones(monkeypatch, n):
+    """The largest set of pairs whatever the number of children, and the same pairs however the table is filled."""
+    rng = random.Random(n)
+    kinds = ["<p>a</p>", "<p>a<b>x</b></p>", "<ul><li>1</li></ul>", "<ul><li>1</li><li>2<i>c</i></li></ul>", "<h2>t</h2>"]
+    x, y = ("<div>" + "".join(rng.choices(kinds, k=n)) + "</div>" for _ in range(2))
+    inner = {("p", "p"): 1, ("ul", "ul"): 2, ("h2", "h2"): 1}
+
+    def matched(cells):
+        monkeypatch.setattr(wrapper, "TABLE_CELLS", cells)
+        for known in ("_MATCHED", "_PLACES"):
+            getattr(wrapper, known, {}).clear()
+        a, b = wrapper.parse(x), wrapper.parse(y)
+        pairs = wrapper.match_trees(a, b)
+        places = [{id(k): i for i, k in enumerate(wrapper.in_order(t))} for t in (a, b)]
+        return a.kids[0].kids, b.kids[0].kids, sorted((places[0][id(p)], places[1][id(q)]) for p, q in pairs)
+
+    xs, ys, got = matched(400)
+    weight = lambda p, q: inner[p.tag, q.tag] + (len(p.kids) == len(q.kids) == 2) * (1 + 1) + (p.tag == "p" and len(p.kids) == len(q.kids) == 1)
+    best = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
+    for i, p in enumerate(xs):
+        for j, q in enumerate(ys):
+            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + weight(p, q) if p.tag == q.tag else 0)
+    assert len(got) == 2 + best[-1][-1]
+    assert got == matched(0)[2] == matched(1 << 40)[2]
+
+
 # repeated spans
 
 def slow_repeats(rows, length=50):

@@ -24,17 +24,20 @@ A page of which template nodes hold more than half the text is taken for a copy
 others and keeps them. Null and empty pages, and pages without text, give an empty text. Null urls form one
 host of their own. Repeated rows each get their result, extra columns play no part, an
 empty table gives an empty result. Depth and number of children are not limited: trees
-are walked with stacks, and long lists of children are aligned by a longest common
-subsequence of their labels in place of the weighted table.
+are walked with stacks, and long lists of children are aligned by the same weighted table as
+short ones, of which every so many rows are kept. Subtrees of equal shape (labels and order) align
+alike, so each pair of shapes is aligned once.
 """
 
 from __future__ import annotations
 
 import html as entities
+import math
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from itertools import count
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,8 +56,10 @@ HOLDS = 0.7
 #: Share of a page's text from which a block's name does not make it a never-part.
 PROTECTED = 0.4
 MASK = (1 << 63) - 1
-#: Cells of a table of child lists from which labels alone are aligned.
-TABLE_CELLS = 40_000
+#: Cells of a table of child lists up to which it is filled cell by cell, and beyond which row by row, with equal values.
+TABLE_CELLS = 400
+#: Shapes, aligned children and characters of reference pages that a worker remembers.
+KNOWN = 1 << 20
 
 # Fixed values of HTML: elements without content, raw text elements, blocks, and elements that end an open one.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -95,11 +100,11 @@ def named_part(names: str) -> str | None:
 class Node:
     """An element: ``children`` are elements and text pieces in order, ``kids`` the elements among them."""
 
-    __slots__ = ("label", "tag", "path", "depth", "part", "never", "children", "kids", "own", "size")
+    __slots__ = ("label", "tag", "path", "depth", "part", "never", "children", "kids", "own", "size", "shape", "count", "at")
 
     def __init__(self, label: str, tag: str, path: int, depth: int, part: str | None):
         self.label, self.tag, self.path, self.depth, self.part = label, tag, path, depth, part
-        self.never, self.size, self.own = False, 0, None
+        self.never, self.size, self.own, self.shape = False, 0, None, None
         self.children: list = []
         self.kids: list[Node] = []
 
@@ -195,12 +200,6 @@ def _judge(root: Node) -> None:
             k.never = True
 
 
-@lru_cache(maxsize=64)
-def parse_reference(page: str) -> Node:
-    """As ``parse``; a worker meets the same few reference pages again and again."""
-    return parse(page)
-
-
 def own_text(node: Node) -> str:
     if node.own is None:
         node.own = " ".join(" ".join([c for c in node.children if isinstance(c, str)]).split())
@@ -232,66 +231,161 @@ def common_labels(xs: list[Node], ys: list[Node]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def match_trees(a: Node, b: Node) -> list[tuple[Node, Node]]:
-    """Pairs of simple tree matching: roots match by label, children in order, the largest set."""
-    if a.label != b.label:
-        return []
-    matched: dict[tuple[int, int], tuple[int, list[tuple[int, int]]]] = {}
+class Memory(dict):
+    """A dict that empties itself, when asked to between two pages, once more than KNOWN was held."""
+
+    held = 0
+
+    def keep(self, key, value, size: int):
+        self[key] = value
+        self.held += size
+        return value
+
+    def tidy(self) -> None:
+        if self.held > KNOWN:
+            self.clear()
+            self.held = 0
+
+
+#: (label, shapes of the children) -> number; a number never comes back, so that shapes seen before and after tidying differ.
+_SHAPES = Memory()
+_NUMBERS = count()
+#: (shape, shape) -> (matched nodes, matched children); (shape, shape) of whole pages -> places of the matched nodes.
+_MATCHED, _PLACES = Memory(), Memory()
 
-    def plain(x: Node, y: Node) -> bool:
-        return len(x.kids) * len(y.kids) > TABLE_CELLS
 
-    # node pairs that a table may ask for, parents first
-    todo, seen, asked = [(a, b)], {(id(a), id(b))}, []
+def mark_shapes(root: Node) -> list[Node]:
+    """The nodes in page order, with ``at`` (place in it), ``count`` (nodes of the subtree) and ``shape`` set."""
+    nodes = in_order(root)
+    if root.shape is None:
+        for at in range(len(nodes) - 1, -1, -1):
+            node = nodes[at]
+            node.at, node.count = at, 1 + sum([k.count for k in node.kids])
+            key = (node.label, *[k.shape for k in node.kids])
+            node.shape = _SHAPES.get(key)
+            if node.shape is None:
+                node.shape = _SHAPES.keep(key, next(_NUMBERS), len(key))
+    return nodes
+
+
+def _table(weights: list, width: int) -> Iterator[tuple[int, list]]:
+    """(row, the table's values in it) from the last row back; ``weights`` has one list for each row of the table.
+
+    A large table keeps about the root of its rows, fills the others again between two of them, and so holds
+    few rows at once.
+    """
+    small = len(weights) * width <= TABLE_CELLS
+    step = len(weights) + 1 if small else math.isqrt(len(weights)) + 1
+
+    def fill(above, lo: int, hi: int) -> Iterator:
+        for w in weights[lo:hi]:
+            if small:
+                row, left = [0], 0
+                for up, corner, v in zip(above[1:], above, w):
+                    if up > left:
+                        left = up
+                    if v and corner + v > left:
+                        left = corner + v
+                    row.append(left)
+            else:
+                row = np.zeros(width + 1, np.int64)
+                np.maximum.accumulate(np.maximum(above[1:], np.where(w > 0, above[:-1] + w, 0)), out=row[1:])
+            yield row
+            above = row
+
+    above = [0] * (width + 1) if small else np.zeros(width + 1, np.int64)
+    kept = [above]
+    if not small:
+        for n, row in enumerate(fill(above, 0, len(weights)), 1):
+            if n % step == 0:
+                kept.append(row)
+    for k in range(len(kept) - 1, -1, -1):
+        rows = [kept[k], *fill(kept[k], k * step, min(len(weights), (k + 1) * step))]
+        rows = rows[:step]
+        for n in range(len(rows) - 1, -1, -1):
+            yield k * step + n, rows[n]
+
+
+def align(xs: list[Node], ys: list[Node]) -> tuple[int, list[tuple[int, int]]]:
+    """Most nodes that order-preserving pairs of these siblings match, and the pairs (indices)."""
+    common = {p.label for p in xs} & {q.label for q in ys}
+    if not common:
+        return 0, []
+    # siblings without a partner of their label are in no pair
+    mine, others = [i for i, p in enumerate(xs) if p.label in common], [j for j, q in enumerate(ys) if q.label in common]
+    xs, ys = [xs[i] for i in mine], [ys[j] for j in others]
+    if not {p.label for p in xs if p.kids} & {q.label for q in ys if q.kids}:
+        # every pair counts one: the longest common subsequence of labels, with the table's choice among equals
+        pairs = [(mine[i], others[j]) for j, i in common_labels(ys, xs)]
+        return len(pairs), pairs
+    by_shape: dict[int, list] = {}
+    large = len(xs) * len(ys) > TABLE_CELLS
+    for p in xs:
+        if p.shape not in by_shape:
+            w = [0 if p.label != q.label else p.count if p.shape == q.shape else _MATCHED[p.shape, q.shape][0] if p.kids and q.kids else 1 for q in ys]
+            by_shape[p.shape] = np.array(w, np.int64) if large else w
+    rows = _table([by_shape[p.shape] for p in xs], len(ys))
+    pairs, j = [], len(ys)
+    i, row = next(rows)
+    total = int(row[j])
+    for above_i, above in rows:
+        # in row i: up while the value stays, else left while it stays, else a pair
+        if row[j] != above[j]:
+            while row[j] == row[j - 1]:
+                j -= 1
+                if row[j] == above[j]:
+                    break
+            else:
+                j -= 1
+                pairs.append((mine[i - 1], others[j]))
+        i, row = above_i, above
+        if not j:
+            break
+    return total, pairs[::-1]
+
+
+def _match_shapes(a: Node, b: Node) -> None:
+    """Fills ``_MATCHED`` for the pair and all pairs of shapes that it asks for, children first."""
+    todo = [(a, b)]
     while todo:
-        x, y = todo.pop()
-        asked.append((x, y))
-        if not x.kids or not y.kids:
+        x, y = todo[-1]
+        if x.shape == y.shape or (x.shape, y.shape) in _MATCHED:
+            todo.pop()
             continue
-        if plain(x, y):
-            pairs = [(x.kids[i], y.kids[j]) for i, j in common_labels(x.kids, y.kids)]
-        else:
-            pairs = [(p, q) for p in x.kids for q in y.kids if p.label == q.label]
-        for p, q in pairs:
-            if p.kids and q.kids and (id(p), id(q)) not in seen:
-                seen.add((id(p), id(q)))
-                todo.append((p, q))
-    weight = lambda p, q: matched[(id(p), id(q))][0] if p.kids and q.kids else 1
-    for x, y in reversed(asked):
-        xs, ys = x.kids, y.kids
-        if not xs or not ys:
-            matched[(id(x), id(y))] = 1, []
-            continue
-        if plain(x, y):
-            pairs = common_labels(xs, ys)
-            matched[(id(x), id(y))] = 1 + sum(weight(xs[i], ys[j]) for i, j in pairs), pairs
+        ps, qs = ({k.shape: k for k in n.kids if k.kids}.values() for n in (x, y))
+        first = [(p, q) for p in ps for q in qs if p.label == q.label and p.shape != q.shape and (p.shape, q.shape) not in _MATCHED]
+        if first:
+            todo.extend(first)
             continue
-        rows = [[0] * (len(ys) + 1)]
-        for p in xs:
-            above, row, left, label = rows[-1], [0], 0, p.label
-            for j, q in enumerate(ys):
-                left = max(left, above[j + 1])
-                if q.label == label:
-                    left = max(left, above[j] + weight(p, q))
-                row.append(left)
-            rows.append(row)
-        pairs, i, j = [], len(xs), len(ys)
-        while i and j:
-            if rows[i][j] == rows[i - 1][j]:
-                i -= 1
-            elif rows[i][j] == rows[i][j - 1]:
-                j -= 1
-            else:
-                i, j = i - 1, j - 1
-                pairs.append((i, j))
-        matched[(id(x), id(y))] = 1 + rows[-1][-1], pairs[::-1]
+        n, pairs = align(x.kids, y.kids)
+        _MATCHED.keep((x.shape, y.shape), (1 + n, pairs), 1 + len(pairs))
+        todo.pop()
+
+
+def match_places(a: Node, b: Node) -> list[tuple[int, int]]:
+    """Places, in page order, of the pairs of simple tree matching; both trees have their shapes marked."""
+    if a.label != b.label:
+        return []
+    key = (a.shape, b.shape)
+    if key in _PLACES:
+        return _PLACES[key]
+    _match_shapes(a, b)
     out, todo = [], [(a, b)]
     while todo:
         x, y = todo.pop()
-        out.append((x, y))
+        if x.shape == y.shape:
+            out.extend(zip(range(x.at, x.at + x.count), range(y.at, y.at + y.count)))
+            continue
+        out.append((x.at, y.at))
         if x.kids and y.kids:
-            todo.extend((x.kids[i], y.kids[j]) for i, j in matched[(id(x), id(y))][1])
-    return out
+            todo.extend((x.kids[i], y.kids[j]) for i, j in _MATCHED[x.shape, y.shape][1])
+    return _PLACES.keep(key, out, len(out))
+
+
+def match_trees(a: Node, b: Node) -> list[tuple[Node, Node]]:
+    """Pairs of simple tree matching: roots match by label, children in order, the largest set."""
+    xs, ys = mark_shapes(a), mark_shapes(b)
+    return [(xs[i], ys[j]) for i, j in match_places(a, b)]
 
 
 def text_hash(text: str) -> int:
@@ -421,29 +515,43 @@ def _references(pages: DataFrame) -> DataFrame:
 FIGURES = "host string, reference long, node int, path long, text long, depth int, first long, second long"
 
 
+_REFERENCES = Memory()
+
+
+def parse_reference(page: str) -> tuple[Node, list[tuple[str, tuple | None] | None]]:
+    """The tree, and per node its own text, with the key of its figures if it is a block; a worker meets the same few pages again and again."""
+    if page in _REFERENCES:
+        return _REFERENCES[page]
+    tree, name = parse(page), text_hash(page)
+    slots = [None if y.never or not own_text(y) else (y.own, (name, k, y.path, text_hash(y.own), y.depth) if y.tag in BLOCK else None)
+             for k, y in enumerate(mark_shapes(tree))]
+    return _REFERENCES.keep(page, (tree, slots), len(page) // 4)
+
+
 def page_figures(page: str, references: list[str]) -> Iterator[tuple[tuple, int, int]]:
     """((reference, node, path, text, depth), first, second): for each aligned node of a reference, pages that
     have it and pages that keep its text; for each block path (reference 0), varying characters and 0."""
+    for memory in (_SHAPES, _MATCHED, _PLACES, _REFERENCES):
+        memory.tidy()
     tree = parse(page)
+    nodes = mark_shapes(tree)
     fixed: set[int] = set()
-    others = [r for r in references if r != page]
-    for reference in others:
-        other = parse_reference(reference)
-        numbers = {id(n): k for k, n in enumerate(in_order(other))}
-        pairs = match_trees(tree, other)
-        for x, y in pairs:
-            text = own_text(y)
-            if y.never or not text:
+    for reference in references:
+        if reference == page:
+            continue
+        other, slots = parse_reference(reference)
+        for i, j in match_places(tree, other):
+            if slots[j] is None:
                 continue
-            same = own_text(x) == text
+            text, key = slots[j]
+            same = own_text(nodes[i]) == text
             if same:
-                fixed.add(id(x))
-            if y.tag not in BLOCK:
-                continue
-            yield (text_hash(reference), numbers[id(y)], y.path, text_hash(text), y.depth), 1, int(same)
+                fixed.add(id(nodes[i]))
+            if key:
+                yield key, 1, int(same)
     sizes = varying_sizes(tree, fixed)
     sums: dict[tuple[int, int], int] = {}
-    for node in in_order(tree):
+    for node in nodes:
         if sizes[id(node)] and (node.tag in BLOCK and node.tag not in HEADINGS and node.tag != "p" or node is tree):
             sums[(node.path, node.depth)] = sums.get((node.path, node.depth), 0) + sizes[id(node)]
     for (path, depth), n in sums.items():

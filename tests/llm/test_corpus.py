@@ -308,6 +308,33 @@ def test_near_groups_equal_brute_force_at_jaccard_08(spark, monkeypatch, frequen
     assert near_sets.keep_one(docs.limit(0)).count() == 0
 
 
+def test_frequent_shingles_are_counted_over_all_texts(spark, monkeypatch):
+    """No text is left out, and counts of several blocks and ranges add up."""
+    monkeypatch.setattr(near_sets, "COUNTED", 7)
+    monkeypatch.setattr(near_sets, "SAMPLE", 10, raising=False)
+    rng = random.Random(5)
+    common = [prose(rng, 12) for _ in range(6)]
+    texts = [" ".join([prose(rng, 8), *rng.sample(common, rng.randrange(4))]) for _ in range(120)] + [None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    counts = collections.Counter(int(h) >> 32 for t in texts for h in np.unique(near_sets.shingles(t)))
+    want = sorted(h for h, n in counts.items() if n >= near_sets.FREQUENT)
+    assert len(want) > 40 and near_sets._frequent(docs).tolist() == want
+    monkeypatch.setattr(near_sets, "LATE", 5)
+    assert sorted(counts[h] for h in near_sets._frequent(docs).tolist()) == sorted(counts.values())[-5:]
+
+
+def test_prefixes_of_near_sets_meet_often_enough():
+    rng = np.random.default_rng(2)
+    for _ in range(400):
+        n = int(rng.integers(1, 120))
+        both = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        a, b = (np.unique(np.r_[both, rng.integers(0, 1 << 63, int(rng.integers(0, n // 8 + 1))).astype(np.uint64)]) for _ in range(2))
+        late = np.unique((rng.choice(both, len(both) // 3) >> np.uint64(32)).astype(np.uint32))
+        if 5 * len(both) >= 4 * len(np.union1d(a, b)):
+            met = np.intersect1d(near_sets.prefix(a, late), near_sets.prefix(b, late))
+            assert len(met) >= near_sets.least_shared(min(len(a), len(b)))
+
+
 # lines
 
 def slow_lines(rows):

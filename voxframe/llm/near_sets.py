@@ -7,14 +7,16 @@ first, and a search that misses no pair completes it:
 1. Texts of equal shingle sets become one class with its least id.
 2. Classes of equal or near fingerprints (``simhash.near_links``) are verified by their exact
    Jaccard similarity and joined, so that a large group of near copies is one component early.
-3. Prefix filter: shingles have one order for all texts. Of n shingles a pair at 0.8 or more
-   shares one of the first n - ceil(0.8 n) + 1 of either side, and the first one shared leaves
-   room for enough others. Pairs of different components that meet so are verified too.
+3. Prefix filter: shingles have one order for all texts. A pair at 0.8 or more shares at least
+   t = ceil(0.8 n) of n shingles, so the first MEETINGS of those shared (all t, if fewer) lie
+   among the first n - t + MEETINGS of either side, and each leaves room for enough others. Pairs
+   of different components that meet so often are verified too.
 4. Components of all verified pairs.
 
-The order puts shingles that a sample of texts shows to be frequent last, so that a passage of
-many texts is no meeting place. Any order gives the same groups; in a corpus far larger than the
-sample, more shingles of middling frequency stay in front and more pairs are verified.
+The order puts the LATE most frequent shingles last, so that a passage of many texts is no meeting
+place. They are counted over all texts, by the upper 32 bits of their hashes: shingles that agree
+in these are late together. Any order gives the same groups; in a far larger corpus more shingles
+of middling frequency stay in front and more pairs are verified.
 
 Words are what ASCII white space separates, A-Z in lower case; a shorter text is one shingle.
 Null and empty texts are alike. Shingles are compared as 64-bit hashes. Of rows that share an id
@@ -23,6 +25,7 @@ one stays; extra columns are kept; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,8 +39,12 @@ from .common import discard, map_lists, materialize
 
 WORDS = 5
 BUDGET = 4
-#: Texts of the sample that orders the shingles, about, and the sampled texts from which a shingle is frequent.
-SAMPLE, FREQUENT = 200_000, 5
+#: Texts from which a shingle is frequent, and the most frequent shingles that the order puts last, at most.
+FREQUENT, LATE = 5, 1 << 20
+#: Shared shingles of the prefixes from which a pair is verified.
+MEETINGS = 8
+#: Texts that one task counts together, and texts (about) whose number of shingles one range of hashes holds.
+COUNTED, RANGE = 8192, 4096
 #: Ids up to which they are sent to all tasks.
 SENT_IDS = 500_000
 #: Passes in which pairs are verified, to hold less on disk at once.
@@ -76,29 +83,63 @@ def set_key(members: np.ndarray) -> int:
     return xxh64_intdigest(members.tobytes(), 7) if len(members) else 0
 
 
+def least_shared(n: int) -> int:
+    """Shingles of n that a set at 0.8 must share, at most MEETINGS."""
+    return min(MEETINGS, (4 * n + 4) // 5)
+
+
 def prefix(members: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """The first shingles, in the common order, of a sorted set; a pair at 0.8 shares one of them."""
+    """The first shingles, in the common order, of a sorted set; a pair at 0.8 shares MEETINGS of them."""
     n = len(members)
-    if len(frequent):
-        late = np.isin(members, frequent, assume_unique=True)
+    if len(frequent) and n:
+        upper = (members >> np.uint64(32)).astype(np.uint32)
+        late = frequent[np.minimum(np.searchsorted(frequent, upper), len(frequent) - 1)] == upper
         members = np.concatenate([members[~late], members[late]])
-    return members[:n - (4 * n + 4) // 5 + 1] if n else members
+    return members[:n - (4 * n + 4) // 5 + least_shared(n)]
+
+
+def pack(values: np.ndarray, counts: np.ndarray) -> bytes:
+    """Ascending 32-bit values and their counts in few bytes: planes of the steps' bytes compress well."""
+    steps = np.diff(values, prepend=np.uint32(0)).astype("<u4")
+    return zlib.compress(np.c_[steps.view(np.uint8).reshape(-1, 4), counts.astype("<u4").view(np.uint8).reshape(-1, 4)].T.tobytes(), 1)
+
+
+def unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    planes = np.ascontiguousarray(np.frombuffer(zlib.decompress(packed), np.uint8).reshape(8, -1).T)
+    return np.cumsum(planes[:, :4].copy().view("<u4")[:, 0], dtype=np.uint32), planes[:, 4:].copy().view("<u4")[:, 0]
 
 
 def _frequent(docs: DataFrame) -> np.ndarray:
-    """Sorted hashes of shingles that FREQUENT or more texts of a sample hold."""
-    parts = max(1, docs.count() // SAMPLE)
-    sample = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) == 0).select("text")
+    """Sorted upper halves of the hashes of shingles that FREQUENT or more texts hold, the LATE most frequent."""
+    ranges, least = max(16, docs.count() // RANGE), FREQUENT
+    edges = np.linspace(0, 1 << 32, ranges + 1).astype(np.uint64)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for k in range(0, len(pdf), 256):
-                sets = [np.unique(shingles(t)) for t in pdf["text"].iloc[k:k + 256]]
-                hashes, counts = np.unique(np.concatenate(sets), return_counts=True)
-                yield pd.DataFrame({"h": hashes.view(np.int64), "n": counts})
+        def packed(sets: list) -> pd.DataFrame:
+            values, counts = np.unique(np.concatenate(sets), return_counts=True)
+            at = np.searchsorted(values, edges)
+            return pd.DataFrame([(k, pack(values[i:j], counts[i:j])) for k, (i, j) in enumerate(zip(at, at[1:])) if i < j], columns=["part", "packed"])
 
-    counted = sample.mapInPandas(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT)
-    return np.sort(counted.select("h").toPandas()["h"].to_numpy(np.int64).view(np.uint64))
+        held: list = []
+        for pdf in batches:
+            for text in pdf["text"]:
+                held.append((np.unique(shingles(text)) >> np.uint64(32)).astype(np.uint32))
+                if len(held) == COUNTED:
+                    yield packed(held)
+                    held = []
+        if held:
+            yield packed(held)
+
+    def total(pdf: pd.DataFrame) -> pd.DataFrame:
+        values, counts = (np.concatenate(x) for x in zip(*map(unpack, pdf["packed"])))
+        distinct, place = np.unique(values, return_inverse=True)
+        n = np.bincount(place, weights=counts).astype(np.int64)
+        return pd.DataFrame({"h": distinct[n >= least].astype(np.int64), "n": n[n >= least]})
+
+    counted = materialize(docs.select("text").mapInPandas(run, "part int, packed binary").groupBy("part").applyInPandas(total, "h long, n long"), "frequent")
+    found = np.sort(counted.orderBy(F.desc("n"), "h").limit(LATE).select("h").toPandas()["h"].to_numpy(np.int64).astype(np.uint32))
+    discard(counted)
+    return found
 
 
 def _prints(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
@@ -179,11 +220,13 @@ def _prefix_pairs(grouped: DataFrame) -> DataFrame:
     shared = materialize(rows.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("shingle"), "shared")
     meeting = materialize(rows.join(F.broadcast(shared) if shared.count() <= SENT_IDS else shared, "shingle", "left_semi"), "meeting")
     named = lambda s: meeting.select("shingle", *(F.col(c).alias(f"{c}_{s}") for c in ("key", "n", "component", "at")))
-    pairs = materialize(named("a").join(named("b"), "shingle").filter(
+    met = named("a").join(named("b"), "shingle").filter(
         (F.col("key_a") < F.col("key_b")) & (F.col("component_a") != F.col("component_b"))
         & (5 * F.least("n_a", "n_b") >= 4 * F.greatest("n_a", "n_b"))
-        & (9 * F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= 4 * (F.col("n_a") + F.col("n_b")))
-    ).select(F.col("key_a").alias("a"), F.col("key_b").alias("b")).distinct(), "pairs")
+        & (9 * (F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) + MEETINGS - 1) >= 4 * (F.col("n_a") + F.col("n_b"))))
+    enough = F.least(F.lit(MEETINGS), F.floor((4 * F.least("n_a", "n_b") + 4) / 5))
+    pairs = materialize(met.groupBy(F.col("key_a").alias("a"), F.col("key_b").alias("b")).agg(
+        F.count("*").alias("met"), F.min(enough).alias("enough")).filter("met >= enough").select("a", "b"), "pairs")
     discard(shared, meeting)
     return pairs
 

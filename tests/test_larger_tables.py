@@ -2,7 +2,9 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from voxframe.functions import geometry as g
 from voxframe.plans import registry
 
 QUERIES, SQL = registry.queries(), registry.oracle_sql()
@@ -26,3 +28,10 @@ def test_parts_numbered_like_suppliers(spark, tmp_path, name):
     spark.createDataFrame([(3, 14), (1000007, 3), (1000014, 20), (1000021, 7), (1000003, 21)], "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
     assert same(spark, tmp_path, name)
 
+def test_rays_on_a_border_hit(spark):
+    """Places on the long side of a triangle, of which u + v is one in numbers divided once."""
+    rows = [(n / 100, 16 - n / 100) for n in range(100, 1501)]
+    on = [r for r in rows if (r[0] - 1) / 14.0 + (r[1] - 1) / 14.0 <= 1]
+    three = lambda *v: tuple(F.lit(float(x)) for x in v)
+    hit = g.ray_meets_triangle((F.lit(0.0), F.col("y"), F.col("z")), three(1, 0, 0), three(12, 1, 1), three(12, 15, 1), three(12, 1, 15))
+    assert spark.createDataFrame(rows, "y double, z double").filter(hit.isNotNull()).count() == len(on)

@@ -1,10 +1,12 @@
 """What only larger tables bring about: part numbers that reach into those of the suppliers, points on borders, large shares of a table in one place."""
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from voxframe.functions import geometry as g
+from voxframe.operators import spatial
 from voxframe.plans import registry
 
 QUERIES, SQL = registry.queries(), registry.oracle_sql()
@@ -35,3 +37,30 @@ def test_rays_on_a_border_hit(spark):
     three = lambda *v: tuple(F.lit(float(x)) for x in v)
     hit = g.ray_meets_triangle((F.lit(0.0), F.col("y"), F.col("z")), three(1, 0, 0), three(12, 1, 1), three(12, 15, 1), three(12, 1, 15))
     assert spark.createDataFrame(rows, "y double, z double").filter(hit.isNotNull()).count() == len(on)
+
+
+def test_nearest_columns_by_brute_force(spark, monkeypatch):
+    """Ranks side by side and as rows, with ties, few seeds, keys without any, and keys dealt to several tasks."""
+    rng = np.random.default_rng(3)
+    left = [(k, n, *map(float, rng.integers(0, 4, 3))) for k in range(4) for n in range(40)]
+    right = [(k, n, *map(float, rng.integers(0, 4, 3))) for k, m in ((0, 30), (1, 2), (2, 9)) for n in range(m)]
+    points = spark.createDataFrame(left, "sample_id long, point_id long, x double, y double, z double")
+    seeds = spark.createDataFrame(right[::-1], "sample_id long, seed_id long, x double, y double, z double")
+    want = {}
+    for k, n, *p in left:
+        order = sorted((sum((a - b) ** 2 for a, b in zip(p, q)), s) for j, s, *q in right if j == k)
+        if order:
+            want[k, n] = [d2 ** 0.5 for d2, _ in order[:4]] + [None] * (4 - len(order[:4])) + [s for _, s in order[:4]] + [None] * (4 - len(order[:4]))
+    for most in (1 << 20, 7):
+        monkeypatch.setattr(spatial, "KEY_ROWS", most)
+        for small in (5000, 0):
+            got = spatial.nearest_columns(points, seeds, 4, ["point_id"], small_right=small)
+            assert {(r["sample_id"], r["point_id"]): [*r[5:]] for r in got.collect()} == want
+        rows = {(r["sample_id"], r["point_id"], r["rank"]): r["seed_id"] for r in spatial.knn_join(points, seeds, 4, ["point_id"]).collect()}
+        assert rows == {(*key, n + 1): row[4 + n] for key, row in want.items() for n in range(4) if row[4 + n] is not None}
+
+
+@pytest.mark.parametrize("name", ["fd1_contrasts", "fd9_gradient_normalised", "fd20_legacy_field", "sj10_voronoi_cells"])
+def test_a_grid_is_never_broadcast(spark, sf, name):
+    """Spark takes a grid for as small as the samples it is made of."""
+    assert "Broadcast" not in QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()

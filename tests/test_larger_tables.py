@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from voxframe.functions import geometry as g
-from voxframe.operators import spatial
+from voxframe.operators import fields, measure, plates, spatial, surface
 from voxframe.plans import registry
 
 QUERIES, SQL = registry.queries(), registry.oracle_sql()
@@ -64,3 +64,40 @@ def test_nearest_columns_by_brute_force(spark, monkeypatch):
 def test_a_grid_is_never_broadcast(spark, sf, name):
     """Spark takes a grid for as small as the samples it is made of."""
     assert "Broadcast" not in QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_plates_over_bricks(spark):
+    """Counts by bricks of four voxels, for two settings at once, are those of windows along the lines."""
+    rng = np.random.default_rng(5)
+    rows = [(n, i, j, k, float(rng.random())) for n in range(2) for i in range(9) for j in range(6) for k in range(5)]
+    field = spark.createDataFrame(rows, "sample_id long, i int, j int, k int, value double")
+    settings = spark.createDataFrame([(n, s, s / 4) for n in range(2) for s in (1, 2)], "sample_id long, step int, iso double")
+    counts = plates.plate_counts(plates.plate_bricks(field, ["value"], side=4), ["value"], settings, lambda v, s: v["value"] < s["iso"], side=4)
+    got = {(r["sample_id"], r["step"]): (r["solid_voxels"], r["faces"], r["porosity"], r["thickness"]) for r in plates.plate_figures(counts, 2.0).collect()}
+    levels = field.join(settings, "sample_id").withColumn("solid", F.col("value") < F.col("iso"))
+    want = measure.plate_thickness(levels, 2.0, ["sample_id", "step"]).collect()
+    assert got == {(r["sample_id"], r["step"]): (r["solid_voxels"], r["faces"], r["porosity"], r["thickness"]) for r in want}
+
+
+def test_weld_in_tasks_and_by_windows(spark):
+    """Both ways give the same numbers, also where samples are welded a few triangles at a time."""
+    rng = np.random.default_rng(7)
+    rows = [(s, t * 3, *map(float, rng.integers(-2, 3, 9) * 0.5)) for s in range(5) for t in range(12)]
+    soup = spark.createDataFrame(rows[::-1], "sample_id long, tri_id long, " + ", ".join(f"{c}{a} double" for c in "abc" for a in "xyz"))
+    parts = [[sorted(map(tuple, df.select(*names).collect())) for df, names in zip(surface.weld(soup, 1e-6, small), (["sample_id", "vertex_id", "x", "y", "z"], ["sample_id", "face_id", "v1", "v2", "v3"]))]
+             for small in (1 << 20, 0)]
+    assert parts[0] == parts[1] and len(parts[0][1]) == 60
+
+
+def joins(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_spread_sides_are_not_broadcast(spark):
+    """Tables that an explode multiplies inside joins keep out of the driver, however small Spark takes them for."""
+    points = spark.createDataFrame([(0, n, float(n), 0.0, 0.0) for n in range(4)], "sample_id long, seed_id long, x double, y double, z double")
+    assert "BroadcastHashJoin" not in joins(spatial.radius_join(points.withColumnRenamed("seed_id", "own"), points, 1.5, 1.5))
+    voxels = spark.createDataFrame([(0, i, j, k, 1, True) for i in range(3) for j in range(3) for k in range(3)], "sample_id long, i int, j int, k int, d2 long, solid boolean")
+    assert "BroadcastHashJoin" not in joins(measure.paint_spheres(voxels, voxels))
+    assert "Inner, BuildRight" not in joins(measure.ridge(voxels)) and "Inner, BuildLeft" not in joins(measure.ridge(voxels))
+    assert "BroadcastHashJoin" not in joins(fields.seal(voxels.withColumn("value", F.lit(0.5)), 0.4, 1.0))
